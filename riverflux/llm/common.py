@@ -8,14 +8,16 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_own_scratch: dict[str, str] = {}
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: ASCII white space, the separators of the word pattern [^\x20\x09-\x0D]+
 WHITE = r"[\x20\x09-\x0D]+"
 
 
 def ascii_lower(text: Column) -> Column:
-    """Lower-case A-Z and nothing else."""
-    return F.translate(text, UPPER, UPPER.lower())
+    """Lower-case A-Z and nothing else; plain lower() does just that where all of the text is ASCII."""
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, UPPER, UPPER.lower())).otherwise(F.lower(text))
 
 
 def words(text: Column, separator: str = WHITE) -> Column:
@@ -29,20 +31,38 @@ def let(value: Column, body) -> Column:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is set."""
+    """The shared folder that the cluster names; a temporary one only where none is set (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="spark-scratch-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+        if "path" not in _own_scratch:
+            _own_scratch["path"] = tempfile.mkdtemp(prefix="spark-scratch-")
+        path = _own_scratch["path"]
+    return path.rstrip("/")
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back: the lineage ends here, so a lost
     executor costs a file read and not a recomputation, and several consumers share one pass."""
-    path = f"{scratch_dir(df.sparkSession).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize() wrote, once nothing lazy reads them any more."""
+    for df in tables:
+        path = getattr(df, "_scratch_path", None)
+        if path:
+            sc = df.sparkSession.sparkContext
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def long_array(values) -> Column:
+    """An array<bigint> constant from one string literal, folded by the optimizer."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -61,10 +81,22 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         both = materialize(cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         low = materialize(both.groupBy("u").agg(F.min("v").alias("m")))
         large = materialize(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
+        discard(cur, both, low)
         low = materialize(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         cur = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        discard(large, low)
         several = cur.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
         parents = cur.select(F.col("v").alias("u")).distinct()
         if several.isEmpty() and cur.join(parents, "u", "left_semi").isEmpty():
             return cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def bit(at: Column) -> Column:
+    """A long with bit at (mod 64) set."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+
+
+def has_bit(array: Column, at: Column) -> Column:
+    """Whether bit at of an array of longs is set."""
+    return F.get(array, F.shiftright(at, 6).cast("int")).bitwiseAND(bit(at)) != 0

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riverflux.llm.common import ascii_lower, let, materialize
+from riverflux.llm.common import ascii_lower, bit, has_bit, let, long_array, materialize
 
 #: (host, path prefix, verdict)
 RULES = (
@@ -40,11 +40,13 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def keys_of(host: Column, path: Column, lengths: list[int]) -> Column:
-    """All possible rules host + path prefix that fit, the longest first; none without a host."""
+def keys_of(host: Column, path: Column, depths: list[int], lengths: list[int]) -> Column:
+    """All possible rules host + path prefix that fit, the longest first; none without a host.
+
+    depths: how many labels the rules' hosts have; lengths: how long the rules' paths are."""
 
     def of(labels: Column) -> Column:
-        suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels) - i + 1)))
+        suffixes = F.filter(F.array(*[F.when(F.size(labels) >= n, F.concat_ws(".", F.slice(labels, -n, n))) for n in depths]), lambda h: h.isNotNull())
         prefixes = F.filter(F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths]), lambda p: p.isNotNull())
         return F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.concat(h, p))))
 
@@ -69,18 +71,16 @@ class Level:
             raise ValueError(f"a level of {self.bits} bits is over the bound of {MAX_BITS}")
         self.salts = [seed * 64 + i for i in range(self.k)]
         at = keys.select(F.explode(F.array(*[bit_at(F.col("key"), s, self.bits) for s in self.salts])).alias("at"))
-        words = at.groupBy(F.floor(F.col("at") / 64).cast("int").alias("word")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.pmod("at", F.lit(64)).cast("int"))).alias("ones"))
+        words = at.groupBy(F.floor(F.col("at") / 64).cast("int").alias("word")).agg(F.bit_or(bit(F.col("at"))).alias("ones"))
         values = [0] * (self.bits // 64)
         for row in words.collect():  # at most bits / 64 rows, bounded by MAX_BITS
             values[row.word] = row.ones
-        self.words = F.lit(values).cast("array<bigint>") if values else F.array()
+        self.words = long_array(values)
 
     def accepts(self, key: Column) -> Column:
         test = F.lit(True)
         for s in self.salts:
-            at = bit_at(key, s, self.bits)
-            one = F.shiftrightunsigned(F.element_at(self.words, (F.floor(at / 64) + 1).cast("int")), F.pmod(at, F.lit(64)).cast("int"))
-            test = test & (one.bitwiseAND(F.lit(1).cast("long")) == 1)
+            test = test & has_bit(self.words, bit_at(key, s, self.bits))
         return test
 
 
@@ -118,15 +118,15 @@ def judge_urls(pages: DataFrame, rules=RULES, url_col: str = "url", default: str
     """
     spark = pages.sparkSession
     verdicts = {h + p: v for h, p, v in rules}
+    depths = sorted({h.count(".") + 1 for h, _, _ in rules})
     lengths = sorted({len(p) for _, p, _ in rules})
     parts = pages.withColumn("host", host_of(F.col(url_col))).withColumn("path", path_of(F.col(url_col)))
     if not rules:
         return parts.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
-    keys = keys_of(F.col("host"), F.col("path"), lengths)
+    keys = keys_of(F.col("host"), F.col("path"), depths, lengths)
     universe = materialize(parts.select("host", F.substring("path", 1, max(lengths)).alias("path")).distinct().select(F.explode(keys).alias("key")).distinct())
     rows = materialize(spark.createDataFrame([(k,) for k in sorted(verdicts)], "key string"))
     levels = build_cascade(universe, rows)
-    rule = F.element_at(F.filter(keys, lambda k: listed(levels, k)), 1)
     parts = parts.withColumn("rule", F.try_element_at(F.filter(keys, lambda k: listed(levels, k)), F.lit(1)))
     blocked = F.col("rule").isin([k for k, v in verdicts.items() if v == "block"])
     return parts.withColumn("verdict", F.when(F.col("rule").isNull(), F.lit(default)).when(blocked, F.lit("block")).otherwise(F.lit("allow")))
