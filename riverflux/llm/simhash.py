@@ -92,15 +92,13 @@ def linked(fps: DataFrame, near: int = NEAR) -> DataFrame:
     fps = fps.select("fp")
     variants = fps.select("fp", F.explode(punctured_variants(F.col("fp"))).alias("key"))
     w = Window.partitionBy("key").orderBy("fp")
-    met = variants.select("fp", "key", F.collect_list("fp").over(w.rowsBetween(-near, -1)).alias("before"), F.row_number().over(w).alias("at"))
-    met = met.where(F.size("before") > 0).select(
-        "fp", F.filter("before", lambda x: F.bit_count(x.bitwiseXOR(F.col("fp"))) <= RADIUS).alias("before"), F.when(F.col("at") > near + 1, F.col("key")).alias("crowded")
-    )
-    met = materialize(met.where((F.size("before") > 0) | F.col("crowded").isNotNull()))
+    size = F.count("*").over(Window.partitionBy("key"))
+    met = variants.select("fp", F.collect_list("fp").over(w.rowsBetween(-near, -1)).alias("before"), size.alias("size")).where("size > 1")
+    close = F.filter("before", lambda x: F.bit_count(x.bitwiseXOR(F.col("fp"))) <= RADIUS)
+    met = materialize(met.select("fp", close.alias("before"), (F.col("size") > near + 1).alias("crowded")).where((F.size("before") > 0) | F.col("crowded")))
     pairs = met.select(F.explode("before").alias("a"), F.col("fp").alias("b"))
-    crowded = met.select(F.col("crowded").alias("key")).where("key is not null").distinct()
-    if not crowded.isEmpty():
-        some = materialize(variants.join(crowded, "key", "left_semi").select("fp").distinct())
+    some = materialize(met.where("crowded").select("fp").distinct())
+    if not some.isEmpty():
         one = some.select(F.col("fp").alias("a"), F.explode(ball(F.col("fp"), 1)).alias("key"))
         two = some.select(F.col("fp").alias("b"), F.explode(ball(F.col("fp"), 2)).alias("key"))
         more = one.join(two, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
