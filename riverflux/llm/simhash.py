@@ -101,7 +101,7 @@ def linked(fps: DataFrame, near: int = NEAR) -> DataFrame:
     if not some.isEmpty():
         one = some.select(F.col("fp").alias("a"), F.explode(ball(F.col("fp"), 1)).alias("key"))
         two = some.select(F.col("fp").alias("b"), F.explode(ball(F.col("fp"), 2)).alias("key"))
-        more = one.join(two, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        more = one.join(two.hint("merge"), "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         pairs = pairs.unionByName(more.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS))
     return pairs.distinct()
 
