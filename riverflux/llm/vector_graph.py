@@ -1,9 +1,10 @@
 """Near-duplicate vectors by robust-pruned flat graphs over overlapping cluster shards.
 
 Vectors that are compared with each other (equal label, equal length) are dealt to the shard of their
-nearest centroid, and as guests to every other shard that can hold one of their partners: the ball of the
-link radius around the vector reaches over the plane between the two centroids. So each link's ends
-meet in a shard, whatever the clustering is like. A large shard is searched in blocks of bounded size.
+nearest centroid, and as guests to the other shards that are likely to hold one of their partners: those whose
+plane to the nearest centroid is within a margin. A large shard is searched in blocks of bounded size. At the end
+some queries are audited by brute force over all vectors, and if links were missed, all is dealt again with the
+full link radius as the margin, with which each link's ends meet in a shard whatever the vectors are like.
 
 Each block gets a flat proximity graph: near and random candidates are thinned by robust pruning (a
 candidate goes if a kept one is nearer to it by a factor than the vector itself), reverse arcs are added,
@@ -34,15 +35,19 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 COSINE = 0.98
 #: Vectors of the sample that places the centroids, members a centroid should get, most centroids.
-SAMPLE, SHARD, MOST_CENTROIDS = 16384, 1000, 4096
-#: Most members of a block.
-BLOCK = 1500
-DEGREE, NEAR, FAR, ALPHA = 24, 48, 32, 1.2
+SAMPLE, SHARD, MOST_CENTROIDS = 16384, 5000, 4096
+#: Most members of a block, queries of a task, and queries that are searched at once.
+BLOCK, ASKED, PIECE = 6000, 1500, 500
+#: A partner's place seen along one direction is spread by the link radius over the root of the dimension; guests
+#: stand in shards up to this many such spreads behind the plane.
+SPREADS = 4
+DEGREE, NEAR, FAR, ALPHA = 24, 32, 16, 1.2
 BEAM = 32
 #: Chords up to this many link radii are followed when a search expands.
 MARGIN = 1.5
-#: One query in so many is audited; below the recall the beam grows.
-AUDIT, RECALL = 20, 0.999
+#: One query in so many is audited in its block; below the recall the beam grows. So many are audited over all
+#: vectors; below the recall all is dealt again with the margin that can lose nothing.
+AUDIT, AUDIT_ALL, RECALL = 20, 64, 0.999
 
 
 def centroids_of(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -57,57 +62,55 @@ def centroids_of(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def shards_of(x: np.ndarray, c: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+def shards_of(x: np.ndarray, c: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
     """(row, centroid) of every shard a row belongs to, its home first."""
     d2 = np.maximum((x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1), 0)
     home = np.argmin(d2, axis=1)
     between = np.sqrt(np.maximum((c * c).sum(1)[:, None] - 2 * c @ c.T + (c * c).sum(1), 0))[home]
-    beyond = d2 - d2[np.arange(len(x)), home][:, None] <= 2 * between * (radius + 1e-9) + 1e-12
+    beyond = d2 - d2[np.arange(len(x)), home][:, None] <= 2 * between * (margin + 1e-9) + 1e-12
     beyond[np.arange(len(x)), home] = False
     rows, other = np.nonzero(beyond)
     return np.concatenate((np.arange(len(x)), rows)), np.concatenate((home, other))
 
 
-def prune(gram: np.ndarray, seed: int = 0) -> list[np.ndarray]:
-    """Adjacency lists of a robust-pruned graph in which node 0's component, the medoid's, is all."""
-    n = len(gram)
-    dist = np.sqrt(np.maximum(2 - 2 * gram, 0))
+def prune(x: np.ndarray, seed: int = 0) -> list[np.ndarray]:
+    """Adjacency lists of a robust-pruned graph in which the medoid reaches every row of x."""
+    n = len(x)
     rng = np.random.default_rng(seed)
-    near = np.argpartition(dist, min(NEAR, n - 1), axis=1)[:, : NEAR + 1] if n > NEAR + 1 else np.tile(np.arange(n), (n, 1))
-    cand = np.concatenate((near, rng.integers(0, n, (n, FAR))), axis=1)
-    own = np.arange(n)[:, None]
-    d = np.take_along_axis(dist, cand, axis=1)
-    d[cand == own] = np.inf
-    order = np.argsort(d, axis=1, kind="stable")
-    cand, d = np.take_along_axis(cand, order, axis=1), np.take_along_axis(d, order, axis=1)
-    alive, degree = np.isfinite(d), np.zeros(n, dtype=int)
-    kept = np.zeros_like(alive)
-    for j in range(cand.shape[1]):
-        take = alive[:, j] & (degree < DEGREE)
-        kept[:, j] = take
-        degree += take
-        rows = np.nonzero(take)[0]
-        if len(rows):
-            closer = ALPHA * dist[cand[rows, j][:, None], cand[rows]] <= d[rows]
+    kept_a, kept_b = [], []
+    for at in range(0, n, 256):
+        own = np.arange(at, min(at + 256, n))
+        sims = x[own] @ x.T
+        near = np.argpartition(-sims, NEAR, axis=1)[:, : NEAR + 1] if n > NEAR + 1 else np.tile(np.arange(n), (len(own), 1))
+        cand = np.concatenate((near, rng.integers(0, n, (len(own), FAR))), axis=1)
+        d = np.sqrt(np.maximum(2 - 2 * np.take_along_axis(sims, cand, axis=1), 0))
+        d[cand == own[:, None]] = np.inf
+        order = np.argsort(d, axis=1, kind="stable")
+        cand, d = np.take_along_axis(cand, order, axis=1), np.take_along_axis(d, order, axis=1)
+        v = x[cand]
+        between = np.sqrt(np.maximum(2 - 2 * (v @ v.transpose(0, 2, 1)), 0))
+        alive, degree = np.isfinite(d), np.zeros(len(own), dtype=int)
+        for j in range(cand.shape[1]):
+            take = alive[:, j] & (degree < DEGREE)
+            degree += take
+            kept_a.append(own[take])
+            kept_b.append(cand[take, j])
+            closer = ALPHA * between[:, j] <= d
             closer[:, : j + 1] = False
-            alive[rows] &= ~closer
-    a, j = np.nonzero(kept)
-    b = cand[a, j]
+            alive &= ~(closer & take[:, None])
+    a, b = np.concatenate(kept_a), np.concatenate(kept_b)
     pairs = np.unique(np.concatenate((a * n + b, b * n + a)))
     lists = np.split(pairs % n, np.searchsorted(pairs // n, np.arange(1, n)))
-    start = int(np.argmax(gram.sum(1)))
-    seen = np.zeros(n, dtype=bool)
-    frontier = [start]
+    seen, frontier = np.zeros(n, dtype=bool), [int(np.argmax(x @ x.sum(0)))]
     while True:
         while frontier:
             seen[frontier] = True
-            frontier = [v for v in np.unique(np.concatenate([lists[u] for u in frontier] + [np.empty(0, int)])).astype(int) if not seen[v]]
+            frontier = [v for v in np.unique(np.concatenate([lists[u] for u in frontier])).astype(int) if not seen[v]]
         if seen.all():
             return lists
-        rest, inside = np.nonzero(~seen)[0], np.nonzero(seen)[0]
-        part = dist[np.ix_(rest, inside)]
-        i, j = np.unravel_index(np.argmin(part), part.shape)
-        u, v = int(rest[i]), int(inside[j])
+        u = int(np.nonzero(~seen)[0][0])
+        inside = np.nonzero(seen)[0]
+        v = int(inside[np.argmax(x[inside] @ x[u])])
         lists[u], lists[v] = np.append(lists[u], v), np.append(lists[v], u)
         frontier = [u]
 
@@ -115,50 +118,61 @@ def prune(gram: np.ndarray, seed: int = 0) -> list[np.ndarray]:
 def search(queries: np.ndarray, x: np.ndarray, lists: list[np.ndarray], cosine: float, beam: int) -> np.ndarray:
     """Boolean matrix of the rows of x that each query's search finds at the cosine or above."""
     n, m = len(x), len(queries)
-    width = max((len(a) for a in lists), default=0)
-    table = np.full((n, max(1, width)), -1)
+    beam = min(beam, n)
+    table = np.full((n, max(1, max(len(a) for a in lists))), -1)
     for i, a in enumerate(lists):
         table[i, : len(a)] = a
-    medoid = int(np.argmax(x @ x.sum(0)))
-    sims = np.full((m, n), -np.inf)
-    opened = np.zeros((m, n), dtype=bool)
-    sims[:, medoid] = queries @ x[medoid]
+    small, q32 = x.astype(np.float32), queries.astype(np.float32)
     outer = 1 - (MARGIN * np.sqrt(2 - 2 * cosine)) ** 2 / 2
-
-    def open_(q: np.ndarray, v: np.ndarray) -> None:
-        """Look at the neighbours of node v for query q, a bounded piece at a time."""
+    medoid = int(np.argmax(x @ x.sum(0)))
+    seen, opened = np.zeros((m, n), dtype=bool), np.zeros((m, n), dtype=bool)
+    near = np.zeros((m, n), dtype=bool)  # in the range or its margin
+    ids, sims = np.full((m, beam), -1), np.full((m, beam), -np.inf, np.float32)
+    ids[:, 0], sims[:, 0] = medoid, q32 @ small[medoid]
+    seen[:, medoid] = True
+    near[:, medoid] = sims[:, 0] >= outer
+
+    def look(q: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Open node v for query q: its neighbours and their cosines, -inf for those already seen."""
         opened[q, v] = True
-        for at in range(0, len(q), 4096):
-            qs = np.repeat(q[at : at + 4096], table.shape[1])
-            ns = table[v[at : at + 4096]].ravel()
-            new = ns >= 0
-            new[new] = sims[qs[new], ns[new]] == -np.inf
-            qs, ns = qs[new], ns[new]
-            sims[qs, ns] = np.einsum("ij,ij->i", queries[qs], x[ns])
+        found = table[v]
+        s = np.full(found.shape, -np.inf, np.float32)
+        rows, cols = np.nonzero((found >= 0) & ~seen[q[:, None], found])
+        new = found[rows, cols]
+        s[rows, cols] = np.einsum("ij,ij->i", q32[q[rows]], small[new])
+        seen[q[rows], new] = True
+        hit = s[rows, cols] >= outer
+        near[q[rows[hit]], new[hit]] = True
+        return found, s
 
     active = np.arange(m)
-    while len(active):  # the best node not yet opened, if it is among the beam's best
-        s = sims[active]
-        bar = np.partition(s, n - beam, axis=1)[:, n - beam] if beam < n else np.full(len(active), -np.inf)
-        s = np.where(opened[active], -np.inf, s)
+    while len(active):  # the best of the beam that isn't open yet
+        s = np.where((ids[active] < 0) | opened[active[:, None], ids[active]], -np.inf, sims[active])
         best = np.argmax(s, axis=1)
-        value = s[np.arange(len(active)), best]
-        go = (value > -np.inf) & (value >= bar)
+        go = s[np.arange(len(active)), best] > -np.inf
         active, best = active[go], best[go]
-        open_(active, best)
+        if len(active):
+            found, new = look(active, ids[active, best])
+            all_ids, all_sims = np.concatenate((ids[active], found), axis=1), np.concatenate((sims[active], new), axis=1)
+            top = np.argpartition(-all_sims, beam - 1, axis=1)[:, :beam]
+            sims[active] = np.take_along_axis(all_sims, top, axis=1)
+            ids[active] = np.where(sims[active] > -np.inf, np.take_along_axis(all_ids, top, axis=1), -1)
     while True:  # then outwards through all that lies in the range or its margin
-        q, v = np.nonzero((sims >= outer) & ~opened)
+        q, v = np.nonzero(near & ~opened)
         if not len(q):
-            return sims >= cosine
-        open_(q, v)
-
-
-def blocks_needed(n: int) -> int:
-    return max(1, -(-n // BLOCK))
-
-
-def forest(nodes: int, a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """For each node the smallest id that it is connected to by the pairs a, b."""
+            break
+        for at in range(0, len(q), 8192):
+            look(q[at : at + 8192], v[at : at + 8192])
+    q, v = np.nonzero(near)
+    out = np.zeros((m, n), dtype=bool)
+    for at in range(0, len(q), 1 << 16):  # verified in double precision
+        i, j = q[at : at + (1 << 16)], v[at : at + (1 << 16)]
+        out[i, j] = np.einsum("ij,ij->i", queries[i], x[j]) >= cosine
+    return out
+
+
+def forest(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each node the smallest id that it is connected to by the pairs of nodes a, b."""
     low = ids.copy()
     while True:
         before = low.copy()
@@ -176,7 +190,7 @@ def build_block(part: pd.DataFrame) -> pd.DataFrame:
     """The graph of one block: id and its neighbours' ids."""
     part = part.sort_values("id")
     x, ids = stack(part["vec"]), part["id"].to_numpy()
-    return pd.DataFrame({"id": ids, "near": [ids[a] for a in prune(x @ x.T)]})
+    return pd.DataFrame({"id": ids, "near": [ids[a] for a in prune(x)]})
 
 
 def searcher(cosine: float):
@@ -191,52 +205,59 @@ def searcher(cosine: float):
         q, qids = stack(queries["vec"]), queries["id"].to_numpy()
         place = {int(v): i for i, v in enumerate(ids)}
         lists = [np.array([place[v] for v in (near if near is not None else ()) if v in place], dtype=int) for near in targets["near"]]
-        audit = np.nonzero(qids % AUDIT == 0)[0]
-        if not len(audit):
-            audit = np.arange(1)
-        beam = BEAM
-        while True:
-            found = search(q, x, lists, cosine, beam)
-            truth = q[audit] @ x.T >= cosine
-            hit, all_ = int((found[audit] & truth).sum()), int(truth.sum())
-            if hit >= RECALL * all_ or beam >= len(x):
-                break
-            beam = beam * 2 if beam < 256 else len(x)
-        found &= qids[:, None] != ids[None, :]
-        a, b = np.nonzero(found)
-        low = forest(len(qids) + len(ids), a, b + len(qids), np.concatenate((qids, ids)))
-        links = found @ n
-        extra = np.zeros(len(qids), dtype=np.int64)
-        at = np.zeros(len(qids), dtype=np.int64)
-        at[0], extra[0] = all_, hit
-        own = pd.DataFrame({"id": qids, "links": links, "low": low[: len(qids)], "audited": at, "found": extra})
-        linked = np.unique(b)
-        others = pd.DataFrame({"id": ids[linked], "links": 0, "low": low[len(qids) + linked], "audited": 0, "found": 0})
+        low = np.concatenate((qids, ids))
+        links, audited, recalled = np.zeros(len(qids), dtype=np.int64), np.zeros(len(qids), dtype=np.int64), np.zeros(len(qids), dtype=np.int64)
+        linked = np.zeros(len(ids), dtype=bool)
+        ends: list[tuple[np.ndarray, np.ndarray]] = []
+        for at in range(0, len(qids), PIECE):
+            part_ids, y = qids[at : at + PIECE], q[at : at + PIECE]
+            audit = np.nonzero(part_ids % AUDIT == 0)[0]
+            beam = BEAM
+            while True:
+                found = search(y, x, lists, cosine, beam)
+                truth = y[audit] @ x.T >= cosine
+                hit, all_ = int((found[audit] & truth).sum()), int(truth.sum())
+                if hit >= RECALL * all_ or beam >= len(x):
+                    break
+                beam = beam * 2 if beam < 256 else len(x)
+            audited[at], recalled[at] = all_, hit
+            found &= part_ids[:, None] != ids[None, :]
+            links[at : at + PIECE] = found @ n
+            a, b = np.nonzero(found)
+            linked[b] = True
+            # of the piece's links a spanning forest stays: each node and the first node that it reaches
+            first = forest(a + at, b + len(qids), np.arange(len(low)))
+            moved = np.nonzero(first != np.arange(len(low)))[0]
+            ends.append((moved, first[moved]))
+        low = forest(*(np.concatenate(e) for e in zip(*ends)), low)
+        own = pd.DataFrame({"id": qids, "links": links, "low": low[: len(qids)], "audited": audited, "found": recalled})
+        others = pd.DataFrame({"id": ids[linked], "links": 0, "low": low[len(qids) :][linked], "audited": 0, "found": 0})
         return pd.concat([own, others])
 
     return search_block
 
 
-def link_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, audits: list | None = None) -> DataFrame:
-    """One row per row of rows: id, n_links, component_id, kept.
+def audit_all(classes: DataFrame, cosine: float) -> DataFrame:
+    """id, links: links of AUDIT_ALL classes to all others, by brute force. A stated query set against all rows."""
+    spark = classes.sparkSession
+    asked = classes.orderBy(F.xxhash64("key")).limit(AUDIT_ALL).select("id", "grp", "vec").collect()
+    sent = spark.sparkContext.broadcast([(r.id, r.grp, np.array(r.vec)) for r in asked])
 
-    Vectors link at the cosine or above, if their labels are equal and not null and they have equally many
-    components. Null, empty and zero vectors and those with null or non-finite components have no links
-    and are components of their own. Ids are expected to be distinct; repeated rows link with each other
-    and share their id's component. No rows give no rows. audits: gets (links that brute force finds for
-    the audited queries, those of them that were found).
-    """
-    spark = rows.sparkSession
-    radius = float(np.sqrt(2 - 2 * cosine))
-    vec = F.col(vec_col).cast("array<double>")
-    norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda s, v: s + v * v))
-    good = F.forall(vec, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & (norm > 0) & (norm < float("inf")) & F.col(label_col).isNotNull()
-    key = F.md5(F.concat_ws(",", F.col(label_col).cast("string"), F.col(vec_col).cast("array<string>")))
-    unit = F.when(good, F.transform(vec, lambda v: v / norm))
-    all_rows = materialize(rows.select(F.col(id_col).alias("id"), F.when(good, key).alias("key"), F.concat_ws("/", F.col(label_col).cast("string"), F.size(vec_col).cast("string")).alias("grp"), unit.alias("vec")))
-    classes = all_rows.where("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("grp").alias("grp"), F.first("vec").alias("vec"))
-    classes = materialize(classes)
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for grp, part in batch.groupby("grp"):
+                x, ids, n = stack(part["vec"]), part["id"].to_numpy(), part["n"].to_numpy()
+                for i, g, v in sent.value:
+                    if g == grp:
+                        yield pd.DataFrame({"id": [i], "links": [int(n[(x @ v >= cosine) & (ids != i)].sum())]})
 
+    return materialize(classes.select("id", "n", "grp", "vec").mapInPandas(count, "id long, links long").groupBy("id").agg(F.sum("links").alias("links")))
+
+
+def search_shards(classes: DataFrame, cosine: float, spreads: float | None) -> DataFrame:
+    """id, links, low (and audited, found) of all searches; spreads: the guests' margin, None for the full one."""
+    spark = classes.sparkSession
+    radius = float(np.sqrt(2 - 2 * cosine))
     sizes = {r.grp: r.n for r in classes.groupBy("grp").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "grp").limit(MOST_CENTROIDS).collect()}
     total = max(1, sum(sizes.values()))
     sample = classes.where(F.pmod(F.xxhash64("key"), F.lit(1_000_003)) < F.lit(1_000_003.0 * min(1.0, SAMPLE / total))).select("grp", "id", "vec").collect()
@@ -255,32 +276,61 @@ def link_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
             for grp, part in batch.groupby("grp"):
                 x = stack(part["vec"])
                 c = sent.value.get(grp)
-                row, shard = shards_of(x, c, radius) if c is not None else (np.arange(len(x)), np.zeros(len(x), dtype=int))
+                row, shard = shards_of(x, c, min(radius, spreads * radius / np.sqrt(x.shape[1])) if spreads else radius) if c is not None else (np.arange(len(x)), np.zeros(len(x), dtype=int))
                 for at in range(0, len(row), 5000):
                     r, s = row[at : at + 5000], shard[at : at + 5000]
                     yield pd.DataFrame({"shard": [f"{grp}#{i}" for i in s], "home": np.arange(at, at + len(r)) < len(x), "id": part["id"].to_numpy()[r], "n": part["n"].to_numpy()[r], "vec": [x[i] for i in r]})
 
     members = materialize(classes.select("id", "n", "grp", "vec").mapInPandas(deal, "shard string, home boolean, id long, n long, vec array<double>"))
-    count = members.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    count = members.groupBy("shard").agg(F.ceil(F.count_if("home") / BLOCK).cast("int").alias("blocks"), F.ceil(F.count("*") / ASKED).cast("int").alias("pieces"))
     # one row for each shard: MOST_CENTROIDS and the groups that are too small for one
-    members = members.join(count, "shard").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    members = materialize(members)
+    members = members.join(count, "shard").where("blocks > 0")
+    members = materialize(members.withColumns({"block": F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), "piece": F.pmod(F.xxhash64("id", F.lit(1)), F.col("pieces")).cast("int")}))
+    # guests are built into the graphs too, so lists of shards that overlap tie them together
     lists = members.select("shard", "block", "id", "vec").groupBy("shard", "block").applyInPandas(build_block, "id long, near array<long>")
     united = materialize(lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    targets = members.where("home").join(united, "id").select("shard", "block", every.alias("asked"), F.lit(True).alias("target"), "id", "n", "vec", "near")
-    queries = members.select("shard", every.alias("block"), F.col("block").alias("asked"), F.lit(False).alias("target"), "id", "n", "vec", F.lit(None).cast("array<long>").alias("near"))
-    found = targets.unionByName(queries).groupBy("shard", "block", "asked").applyInPandas(searcher(cosine), "id long, links long, low long, audited long, found long")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    targets = members.where("home").join(united, "id").select("shard", "block", every("pieces").alias("piece"), F.lit(True).alias("target"), "id", "n", "vec", "near")
+    queries = members.select("shard", every("blocks").alias("block"), "piece", F.lit(False).alias("target"), "id", "n", "vec", F.lit(None).cast("array<long>").alias("near"))
+    found = targets.unionByName(queries).groupBy("shard", "block", "piece").applyInPandas(searcher(cosine), "id long, links long, low long, audited long, found long")
     found = materialize(found)
+    discard(members, united)
+    return found
+
+
+def link_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, audits: list | None = None) -> DataFrame:
+    """One row per row of rows: id, n_links, component_id, kept.
+
+    Vectors link at the cosine or above, if their labels are equal and not null and they have equally many
+    components. Null, empty and zero vectors and those with null or non-finite components have no links
+    and are components of their own. Ids are expected to be distinct; repeated rows link with each other
+    and share their id's component. No rows give no rows. audits: gets (links of the
+    audited queries by brute force, links found) over all vectors, then in the blocks.
+    """
+    vec = F.col(vec_col).cast("array<double>")
+    norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda s, v: s + v * v))
+    good = F.forall(vec, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & (norm > 0) & (norm < float("inf")) & F.col(label_col).isNotNull()
+    key = F.md5(F.concat_ws(",", F.col(label_col).cast("string"), F.col(vec_col).cast("array<string>")))
+    unit = F.when(good, F.transform(vec, lambda v: v / norm))
+    all_rows = materialize(rows.select(F.col(id_col).alias("id"), F.when(good, key).alias("key"), F.concat_ws("/", F.col(label_col).cast("string"), F.size(vec_col).cast("string")).alias("grp"), unit.alias("vec")))
+    classes = all_rows.where("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("grp").alias("grp"), F.first("vec").alias("vec"))
+    classes = materialize(classes)
+
+    found = search_shards(classes, cosine, SPREADS)
+    truth = audit_all(classes, cosine)
+    got = found.join(F.broadcast(truth.select("id")), "id").agg(F.sum("links")).first()[0] or 0  # AUDIT_ALL ids
+    want = truth.agg(F.sum("links")).first()[0] or 0
+    if got < RECALL * want:
+        found = search_shards(classes, cosine, None)
     if audits is not None:
-        audits += found.agg(F.coalesce(F.sum("audited"), F.lit(0)).alias("a"), F.coalesce(F.sum("found"), F.lit(0)).alias("f")).collect()[0]
+        audits.append((want, got))
+        audits.append(tuple(found.agg(F.coalesce(F.sum("audited"), F.lit(0)), F.coalesce(F.sum("found"), F.lit(0))).first()))
     groups = connected_components(found.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct())
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     known = classes.select("key", "id", "n").join(links, "id", "left").join(groups, F.col("id") == F.col("node"), "left")
     known = materialize(known.select(F.col("key").alias("k"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("links"), F.coalesce("component", "id").alias("component")))
     out = all_rows.select("id", "key").join(known, F.col("key") == F.col("k"), "left")
     component = F.coalesce("component", "id")
-    discard(members, united)
     return out.select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
 
 
