@@ -75,7 +75,7 @@ def gram(samples: DataFrame) -> DataFrame:
     cols = [F.get("x", i) for i in range(7)] + [F.col(f"target_{h}h") for h in HORIZONS]
     pairs = [(i, j) for i in range(7) for j in range(i, 10)]
     one = design(samples).agg(*[F.sum(cols[i] * cols[j]).alias(f"p{i}_{j}") for i, j in pairs])
-    return one.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"p{i}_{j}").alias("v")) for i, j in pairs])).alias("g")).select("g.*")
+    return one.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"p{i}_{j}").alias("v")) for i, j in pairs])).alias("g")).select("g.*").where("v is not null")
 
 
 def regression_fit(samples: DataFrame) -> dict[int, list[float]]:

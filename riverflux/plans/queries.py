@@ -67,11 +67,26 @@ joint AS (SELECT lp.day AS day, lp.label AS label, nb.o AS o, any_value(ln(prior
 """
 
 
+#: Date columns of the results, which are given as text: engines hand out dates in different types.
+DATES = {
+    "reload_flood_events": ["start_date", "end_date"], "flood_events_safe": ["start_date", "end_date", "end_date_safe"], "event_durations": ["start_date"], "peak_ranking": ["start_date"],
+    "latest_prediction": ["for_date"], "forecast_series": ["for_date"], "local_time_conversion": ["local_day"],
+} | dict.fromkeys(
+    "abs_rate_after_filter daily_levels daily_precip zscore_anomaly upstream_self_join rain_left_join event_range_join eps_neighbour_counts daily_profiles daily_profiles_labelled daily_profiles_deduped "
+    "daily_profiles_long profile_for_date season_soil_bins day_of_year_sincos format_arrival nb_probabilities bn_infer".split(),
+    ["day"],
+)
+
+
 def query(name: str, sql: str | None = None, ctes: str = CTES):
+    """Register a function under a name; the decorated function itself is left as it is."""
+
     def add(f: Query) -> Query:
-        QUERIES[name] = f
+        dates = DATES.get(name, [])
+        QUERIES[name] = (lambda s, d: f(s, d).withColumns({c: F.col(c).cast("string") for c in dates})) if dates else f
         if sql:
-            SQL[name] = f"WITH {ctes}\n{sql}" if ctes else sql
+            whole = f"WITH {ctes}\n{sql}" if ctes else sql
+            SQL[name] = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS VARCHAR) AS {c}' for c in dates)}) FROM ({whole})" if dates else whole
         return f
 
     return add
