@@ -77,7 +77,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     cur = materialize(ends.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct())
     while True:
         if cur.isEmpty():
-            return cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            return with_roots(cur)
         both = materialize(cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         low = materialize(both.groupBy("u").agg(F.min("v").alias("m")))
         large = materialize(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
@@ -89,7 +89,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         several = cur.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
         parents = cur.select(F.col("v").alias("u")).distinct()
         if several.isEmpty() and cur.join(parents, "u", "left_semi").isEmpty():
-            return cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            return with_roots(cur)
+
+
+def with_roots(stars: DataFrame) -> DataFrame:
+    """node, component of finished stars (u under its root v), the roots included."""
+    roots = stars.select(F.col("v").alias("u"), "v").distinct()
+    return stars.unionByName(roots).select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
 def bit(at: Column) -> Column:

@@ -36,8 +36,8 @@ def normal(text: Column) -> Column:
 
 
 def parsed(messages: DataFrame) -> DataFrame:
-    """Adds lines (array of level, body), units (array of level, hash, size), clean."""
-    lines = F.transform(F.split(F.coalesce("text", F.lit("")), BREAK), lambda x: F.struct(level_of(x).alias("level"), F.trim(F.regexp_replace(x, QUOTE, "")).alias("body")))
+    """Adds lines (array of level, body, raw), units (array of level, hash, size), clean."""
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), BREAK), lambda x: F.struct(level_of(x).alias("level"), F.trim(F.regexp_replace(x, QUOTE, "")).alias("body"), x.alias("raw")))
     out = messages.withColumn("lines", lines)
     at = F.sequence(F.lit(0), F.size("lines") - 1)
     line = lambda i: F.get("lines", i)
@@ -48,11 +48,11 @@ def parsed(messages: DataFrame) -> DataFrame:
     passages = F.transform(
         "starts", lambda s, k: F.struct(line(s)["level"].alias("level"), F.array_join(F.slice(bodies, s + 1, F.coalesce(F.get("starts", k + 1), F.size("lines")) - s), " ").alias("body"))
     )
-    single = F.filter("lines", lambda x: x["body"] != "")
+    single = F.transform(F.filter("lines", lambda x: x["body"] != ""), lambda x: F.struct(x["level"].alias("level"), x["body"].alias("body")))
     units = F.transform(F.concat(passages, single), lambda u: F.struct(u["level"].alias("level"), normal(u["body"]).alias("body")))
     units = F.transform(F.filter(units, lambda u: u["body"] != ""), lambda u: F.struct(u["level"].alias("level"), F.md5(u["body"]).alias("hash"), F.length(u["body"]).alias("size")))
     own = F.filter(at, lambda i: (line(i)["level"] == 0) & ~announces(i))
-    clean = F.array_join(F.transform(own, lambda i: F.get(F.split(F.coalesce("text", F.lit("")), BREAK), i)), "\n")
+    clean = F.array_join(F.transform(own, lambda i: line(i)["raw"]), "\n")
     clean = F.regexp_replace(F.regexp_replace(clean, r"\n\s*\n(?:\s*\n)+", "\n\n"), r"^\s+|\s+$", "")
     return out.withColumns({"units": F.array_distinct(units), "clean": clean}).drop("lines", "starts")
 
