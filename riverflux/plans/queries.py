@@ -247,7 +247,8 @@ query("daily_profiles_labelled", PROFILE_SQL.format(LABEL_SQL.format("label")))(
 query("daily_profiles_deduped", "SELECT day, arg_max(label, peak) AS label, count(*) AS n_floods FROM (SELECT p.day AS day, f.category AS label, f.peak_level_cm AS peak FROM (SELECT DISTINCT day FROM profiles) p JOIN floods f ON p.day BETWEEN start_date AND coalesce(end_date, start_date)) GROUP BY 1")(
     lambda s, d: profiles(s, d, True).where("label is not null").select("day", "label").join(profiles(s, d).groupBy("day").agg(F.count("*").alias("n_floods")), "day")
 )
-query("daily_profiles_long", PROFILE_SQL.format("label").replace("FROM profiles", "FROM lp"), LONG_CTES)(lambda s, d: rounded(long_profiles(s, d)))
+# means of a few five-digit levels: eight digits, as six would round ties
+query("daily_profiles_long", PROFILE_SQL.format("label").replace("FROM profiles", "FROM lp").replace(", 6)", ", 8)"), LONG_CTES)(lambda s, d: rounded(long_profiles(s, d), 8))
 
 
 @query("profile_for_date", f"SELECT DATE '2024-01-10' AS day, round(max(level_cm), 6) AS max_level_cm, round(avg(level_cm), 6) AS avg_level_cm, round(max(rate), 6) AS max_rate_cm_h FROM (SELECT *, abs(level_cm - lag(level_cm) OVER (ORDER BY measured_at)) AS rate FROM water WHERE station_id = 1 AND measured_at >= TIMESTAMP '2024-01-10' AND measured_at < TIMESTAMP '2024-01-11') WHERE {DAY_SQL.format('measured_at')} = DATE '2024-01-10'")

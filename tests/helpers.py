@@ -21,6 +21,6 @@ def canonical(frame) -> tuple[list[str], list[tuple]]:
     def text(v):
         if v is None or v != v:
             return ""
-        return f"{v:.6f}" if isinstance(v, float) else str(v)
+        return f"{v:.9f}" if isinstance(v, float) else str(v)
 
     return columns, sorted(tuple(map(text, row)) for row in frame[columns].itertuples(index=False))
