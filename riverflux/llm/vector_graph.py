@@ -1,10 +1,10 @@
 """Near-duplicate vectors by robust-pruned flat graphs over overlapping cluster shards.
 
 Vectors that are compared with each other (equal label, equal length) are dealt to the shard of their
-nearest centroid, and as guests to the other shards that are likely to hold one of their partners: those whose
-plane to the nearest centroid is within a margin. A large shard is searched in blocks of bounded size. At the end
-some queries are audited by brute force over all vectors, and if links were missed, all is dealt again with the
-full link radius as the margin, with which each link's ends meet in a shard whatever the vectors are like.
+nearest centroid, and as guests to all other shards that can hold one of their partners: a partner at home
+there lies beyond the planes between that centroid and all others, so a shard is left out only if one of those
+planes is farther away than the link radius. With that each link's ends meet in a shard whatever the vectors are
+like. A large shard is searched in blocks of bounded size.
 
 Each block gets a flat proximity graph: near and random candidates are thinned by robust pruning (a
 candidate goes if a kept one is nearer to it by a factor than the vector itself), reverse arcs are added,
@@ -38,15 +38,14 @@ COSINE = 0.98
 SAMPLE, SHARD, MOST_CENTROIDS = 16384, 5000, 4096
 #: Most members of a block, queries of a task, and queries that are searched at once.
 BLOCK, ASKED, PIECE = 6000, 1500, 500
-#: A partner's place seen along one direction is spread by the link radius over the root of the dimension; guests
-#: stand in shards up to this many such spreads behind the plane.
-SPREADS = 4
+#: Nearest centroids whose planes are tried to rule out a shard, distances to centroids that are held at once.
+PLANES, DISTANCES = 8, 2_000_000
 DEGREE, NEAR, FAR, ALPHA = 24, 32, 16, 1.2
 BEAM = 32
 #: Chords up to this many link radii are followed when a search expands.
 MARGIN = 1.5
 #: One query in so many is audited in its block; below the recall the beam grows. So many are audited over all
-#: vectors; below the recall all is dealt again with the margin that can lose nothing.
+#: vectors where a caller asks for it.
 AUDIT, AUDIT_ALL, RECALL = 20, 64, 0.999
 
 
@@ -62,15 +61,20 @@ def centroids_of(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def shards_of(x: np.ndarray, c: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, centroid) of every shard a row belongs to, its home first."""
+def shards_of(x: np.ndarray, c: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, centroid) of every shard a row belongs to, its home first; no shard is left out that is the home of
+    a point within the radius."""
     d2 = np.maximum((x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1), 0)
     home = np.argmin(d2, axis=1)
-    between = np.sqrt(np.maximum((c * c).sum(1)[:, None] - 2 * c @ c.T + (c * c).sum(1), 0))[home]
-    beyond = d2 - d2[np.arange(len(x)), home][:, None] <= 2 * between * (margin + 1e-9) + 1e-12
-    beyond[np.arange(len(x)), home] = False
+    apart = np.sqrt(np.maximum((c * c).sum(1)[:, None] - 2 * c @ c.T + (c * c).sum(1), 0))
+    every = np.arange(len(x))
+    planes = np.argpartition(d2, PLANES - 1, axis=1)[:, :PLANES] if len(c) > PLANES else np.tile(np.arange(len(c)), (len(x), 1))
+    beyond = np.ones(d2.shape, dtype=bool)
+    for near in (home, *planes.T):
+        beyond &= d2 - d2[every, near][:, None] <= 2 * apart[near] * (radius + 1e-9) + 1e-12
+    beyond[every, home] = False
     rows, other = np.nonzero(beyond)
-    return np.concatenate((np.arange(len(x)), rows)), np.concatenate((home, other))
+    return np.concatenate((every, rows)), np.concatenate((home, other))
 
 
 def prune(x: np.ndarray, seed: int = 0) -> list[np.ndarray]:
@@ -254,8 +258,8 @@ def audit_all(classes: DataFrame, cosine: float) -> DataFrame:
     return materialize(classes.select("id", "n", "grp", "vec").mapInPandas(count, "id long, links long").groupBy("id").agg(F.sum("links").alias("links")))
 
 
-def search_shards(classes: DataFrame, cosine: float, spreads: float | None) -> DataFrame:
-    """id, links, low (and audited, found) of all searches; spreads: the guests' margin, None for the full one."""
+def search_shards(classes: DataFrame, cosine: float) -> DataFrame:
+    """id, links, low (and audited, found) of all searches."""
     spark = classes.sparkSession
     radius = float(np.sqrt(2 - 2 * cosine))
     sizes = {r.grp: r.n for r in classes.groupBy("grp").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "grp").limit(MOST_CENTROIDS).collect()}
@@ -274,12 +278,17 @@ def search_shards(classes: DataFrame, cosine: float, spreads: float | None) -> D
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for grp, part in batch.groupby("grp"):
-                x = stack(part["vec"])
+                x, ids, n = stack(part["vec"]), part["id"].to_numpy(), part["n"].to_numpy()
                 c = sent.value.get(grp)
-                row, shard = shards_of(x, c, min(radius, spreads * radius / np.sqrt(x.shape[1])) if spreads else radius) if c is not None else (np.arange(len(x)), np.zeros(len(x), dtype=int))
-                for at in range(0, len(row), 5000):
-                    r, s = row[at : at + 5000], shard[at : at + 5000]
-                    yield pd.DataFrame({"shard": [f"{grp}#{i}" for i in s], "home": np.arange(at, at + len(r)) < len(x), "id": part["id"].to_numpy()[r], "n": part["n"].to_numpy()[r], "vec": [x[i] for i in r]})
+                if c is None:
+                    c = np.zeros((1, x.shape[1]))
+                some = max(1, DISTANCES // len(c))
+                for start in range(0, len(x), some):
+                    own = np.arange(start, min(start + some, len(x)))
+                    row, shard = shards_of(x[own], c, radius)
+                    for at in range(0, len(row), 5000):
+                        r, s = own[row[at : at + 5000]], shard[at : at + 5000]
+                        yield pd.DataFrame({"shard": [f"{grp}#{i}" for i in s], "home": np.arange(at, at + len(r)) < len(own), "id": ids[r], "n": n[r], "vec": [x[i] for i in r]})
 
     members = materialize(classes.select("id", "n", "grp", "vec").mapInPandas(deal, "shard string, home boolean, id long, n long, vec array<double>"))
     count = members.groupBy("shard").agg(F.ceil(F.count_if("home") / BLOCK).cast("int").alias("blocks"), F.ceil(F.count("*") / ASKED).cast("int").alias("pieces"))
@@ -316,14 +325,11 @@ def link_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
     classes = all_rows.where("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("grp").alias("grp"), F.first("vec").alias("vec"))
     classes = materialize(classes)
 
-    found = search_shards(classes, cosine, SPREADS)
-    truth = audit_all(classes, cosine)
-    got = found.join(F.broadcast(truth.select("id")), "id").agg(F.sum("links")).first()[0] or 0  # AUDIT_ALL ids
-    want = truth.agg(F.sum("links")).first()[0] or 0
-    if got < RECALL * want:
-        found = search_shards(classes, cosine, None)
+    found = search_shards(classes, cosine)
     if audits is not None:
-        audits.append((want, got))
+        truth = audit_all(classes, cosine)
+        got = found.join(F.broadcast(truth.select("id")), "id").agg(F.sum("links")).first()[0] or 0  # AUDIT_ALL ids
+        audits.append((truth.agg(F.sum("links")).first()[0] or 0, got))
         audits.append(tuple(found.agg(F.coalesce(F.sum("audited"), F.lit(0)), F.coalesce(F.sum("found"), F.lit(0))).first()))
     groups = connected_components(found.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct())
     links = found.groupBy("id").agg(F.sum("links").alias("links"))

@@ -91,6 +91,29 @@ def test_vector_search_in_several_shards_and_blocks(spark, monkeypatch):
     assert audits[0][1] >= 0.9 * audits[0][0]
 
 
+def test_links_along_the_line_between_centroids_are_found(spark, monkeypatch):
+    monkeypatch.setattr(vector_graph, "SHARD", 30)
+    monkeypatch.setattr(vector_graph, "AUDIT_ALL", 0)  # as where no audited query has a partner
+    turn = np.random.default_rng(5).uniform(0, 2 * np.pi, 150)
+    ring = np.zeros((150, 64))
+    ring[:, 0], ring[:, 1] = np.cos(turn), np.sin(turn)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(ring)]
+    out = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vector_graph.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert out == brute_links(rows)
+
+
+def test_no_shard_of_a_partner_is_left_out():
+    rng = np.random.default_rng(6)
+    c = rng.normal(size=(30, 64)) * np.array([1.0] * 3 + [0.02] * 61)
+    x = rng.normal(size=(300, 64)) * np.array([1.0] * 3 + [0.02] * 61)
+    step = rng.normal(size=x.shape) * np.array([1.0] * 3 + [0.02] * 61)
+    y = x + 0.199 * step / np.linalg.norm(step, axis=1)[:, None]
+    home = np.argmin(((y[:, None] - c) ** 2).sum(2), axis=1)
+    row, shard = vector_graph.shards_of(x, c, 0.2)
+    assert set(enumerate(home.tolist())) <= set(zip(row.tolist(), shard.tolist()))
+    assert len(row) < 0.5 * len(x) * len(c)
+
+
 # ---- 2
 
 
