@@ -8,11 +8,11 @@ like. A large shard is searched in blocks of bounded size.
 
 Each block gets a flat proximity graph: near and random candidates are thinned by robust pruning (a
 candidate goes if a kept one is nearer to it by a factor than the vector itself), reverse arcs are added,
-and whatever the medoid does not reach is tied to what it does. Adjacency lists of a vector that stands
-in several shards are united. Every member of a shard is then searched in its blocks: greedily from the
-medoid with a beam, then outwards through all vectors in the range and a margin. The recall of each
-search is audited against brute force for a part of the queries; where it misses links the beam is
-doubled, at last to the whole block. Found pairs are verified by their cosine in double precision.
+and whatever the medoid does not reach is tied to what it does. A block's graph holds the vectors at home there;
+guests only ask. Every member of a shard is then searched in its blocks: greedily from the medoid with a
+beam, then outwards through all vectors in the range and a margin. Each piece of queries is audited against
+brute force for a part of its queries; where one of them misses links the beam is doubled, and at last the
+whole piece is compared with the whole block. Found pairs are verified by their cosine in double precision.
 
 Equal vectors are one class with a count. Links are counted in the block and only a spanning forest of
 them leaves it, so no row count grows with the square of a group.
@@ -41,10 +41,11 @@ BLOCK, ASKED, PIECE = 6000, 1500, 500
 #: Nearest centroids whose planes are tried to rule out a shard, distances to centroids that are held at once.
 PLANES, DISTANCES = 8, 2_000_000
 DEGREE, NEAR, FAR, ALPHA = 24, 32, 16, 1.2
-BEAM = 32
+BEAM, WIDEST = 32, 256
 #: Chords up to this many link radii are followed when a search expands.
 MARGIN = 1.5
-#: One query in so many is audited in its block; below the recall the beam grows. So many are audited over all
+#: One query in so many (by rank in its piece) is audited in its block; if one is below the recall the beam grows,
+#: up to the widest, after which all of the piece is compared. So many are audited over all
 #: vectors where a caller asks for it.
 AUDIT, AUDIT_ALL, RECALL = 20, 64, 0.999
 
@@ -215,15 +216,16 @@ def searcher(cosine: float):
         ends: list[tuple[np.ndarray, np.ndarray]] = []
         for at in range(0, len(qids), PIECE):
             part_ids, y = qids[at : at + PIECE], q[at : at + PIECE]
-            audit = np.nonzero(part_ids % AUDIT == 0)[0]
+            audit = np.arange(0, len(part_ids), AUDIT)
+            truth = y[audit] @ x.T >= cosine
             beam = BEAM
             while True:
-                found = search(y, x, lists, cosine, beam)
-                truth = y[audit] @ x.T >= cosine
-                hit, all_ = int((found[audit] & truth).sum()), int(truth.sum())
-                if hit >= RECALL * all_ or beam >= len(x):
+                found = search(y, x, lists, cosine, beam) if beam <= WIDEST else y @ x.T >= cosine
+                hits = (found[audit] & truth).sum(1)
+                if (hits >= RECALL * truth.sum(1)).all() or beam > WIDEST:
                     break
-                beam = beam * 2 if beam < 256 else len(x)
+                beam *= 2
+            all_, hit = int(truth.sum()), int(hits.sum())
             audited[at], recalled[at] = all_, hit
             found &= part_ids[:, None] != ids[None, :]
             links[at : at + PIECE] = found @ n
@@ -295,15 +297,14 @@ def search_shards(classes: DataFrame, cosine: float) -> DataFrame:
     # one row for each shard: MOST_CENTROIDS and the groups that are too small for one
     members = members.join(count, "shard").where("blocks > 0")
     members = materialize(members.withColumns({"block": F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), "piece": F.pmod(F.xxhash64("id", F.lit(1)), F.col("pieces")).cast("int")}))
-    # guests are built into the graphs too, so lists of shards that overlap tie them together
-    lists = members.select("shard", "block", "id", "vec").groupBy("shard", "block").applyInPandas(build_block, "id long, near array<long>")
-    united = materialize(lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))
+    # only what is searched is built in, so that the medoid reaches all of it
+    lists = materialize(members.where("home").select("shard", "block", "id", "vec").groupBy("shard", "block").applyInPandas(build_block, "id long, near array<long>"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    targets = members.where("home").join(united, "id").select("shard", "block", every("pieces").alias("piece"), F.lit(True).alias("target"), "id", "n", "vec", "near")
+    targets = members.where("home").join(lists, "id").select("shard", "block", every("pieces").alias("piece"), F.lit(True).alias("target"), "id", "n", "vec", "near")
     queries = members.select("shard", every("blocks").alias("block"), "piece", F.lit(False).alias("target"), "id", "n", "vec", F.lit(None).cast("array<long>").alias("near"))
     found = targets.unionByName(queries).groupBy("shard", "block", "piece").applyInPandas(searcher(cosine), "id long, links long, low long, audited long, found long")
     found = materialize(found)
-    discard(members, united)
+    discard(members, lists)
     return found
 
 

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from helpers import canonical, duck_rows
@@ -102,6 +103,20 @@ def test_links_along_the_line_between_centroids_are_found(spark, monkeypatch):
     assert out == brute_links(rows)
 
 
+def test_block_search_ends_with_all_of_the_block():
+    rng = np.random.default_rng(7)
+    x = np.repeat(np.eye(16)[:2], 20, axis=0) + rng.normal(scale=0.01, size=(40, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    ids = np.array([v for v in range(1, 60) if v % 20][:40])
+    # arcs within each half only, as where a guest that isn't searched tied the halves
+    near = [ids[:20] if i < 20 else ids[20:] for i in range(40)]
+    part = pd.DataFrame({"id": ids, "n": 1, "vec": list(x), "near": near})
+    out = vector_graph.searcher(0.98)(pd.concat([part.assign(target=True), part.assign(target=False, near=None)]))
+    links = out.groupby("id")["links"].sum()
+    assert links.to_dict() == dict(zip(ids.tolist(), ((x @ x.T >= 0.98).sum(1) - 1).tolist()))
+    assert out["audited"].sum() > 0 and out["audited"].sum() == out["found"].sum()
+
+
 def test_no_shard_of_a_partner_is_left_out():
     rng = np.random.default_rng(6)
     c = rng.normal(size=(30, 64)) * np.array([1.0] * 3 + [0.02] * 61)
