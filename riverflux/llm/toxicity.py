@@ -8,7 +8,8 @@ excess, its three largest, its mean and how many windows reach the threshold go
 calibration, fitted on labelled documents that trained neither dictionary.
 
 The dictionaries and the calibration are fitted on a bounded sample of labelled documents, SAMPLE rows
-at most on average; every document is scored over its whole text.
+at most on average; every document is scored over its whole text. A calibration row counts for as many
+labelled rows as its class's sampling share says, so the scores do not depend on how far the sample was cut.
 """
 
 from __future__ import annotations
@@ -98,15 +99,16 @@ def design(f: np.ndarray) -> np.ndarray:
     return np.column_stack([f[:, 0], f[:, 1], np.log1p(100 * f[:, 2]), np.log1p(f[:, 3]), np.log1p(f[:, 4])])
 
 
-def logistic(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 1e-2) -> np.ndarray:
-    """Weights, the last for the constant, by Newton's method with a small ridge."""
-    mu, sd = x.mean(0), x.std(0)
+def logistic(x: np.ndarray, y: np.ndarray, times: np.ndarray, steps: int = 60, ridge: float = 1e-2) -> np.ndarray:
+    """Weights, the last for the constant, by Newton's method with a small ridge; times: how often each row counts."""
+    mu = np.average(x, axis=0, weights=times)
+    sd = np.sqrt(np.average((x - mu) ** 2, axis=0, weights=times))
     sd[sd == 0] = 1
     z = np.column_stack([(x - mu) / sd, np.ones(len(x))])
     w = np.zeros(z.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        w -= np.linalg.solve((z.T * (p * (1 - p))) @ z + ridge * np.eye(len(w)), z.T @ (p - y) + ridge * w)
+        w -= np.linalg.solve((z.T * (times * p * (1 - p))) @ z + ridge * np.eye(len(w)), z.T @ (times * (p - y)) + ridge * w)
     return np.append(w[:-1] / sd, w[-1] - (w[:-1] * mu / sd).sum())
 
 
@@ -142,7 +144,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (remainder(F.col(id_col), 3) != 1))
     marked = marked.groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) == 1).alias("toxic"))
     n = {r.toxic: r.n for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    share = F.when(F.col("toxic"), F.lit(sample[0] / max(1, n.get(True, 0)))).otherwise(F.lit(sample[1] / max(1, n.get(False, 0))))
+    shares = {kind: min(1.0, most / max(1, n.get(kind, 0))) for kind, most in zip((True, False), sample)}
+    share = F.when(F.col("toxic"), F.lit(shares[True])).otherwise(F.lit(shares[False]))
     some = marked.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_003)) < share * 1_000_003)
     some = some.withColumn("fit", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(4)) > 0)
     # at most about sum(sample) rows of an id and two flags, whatever the input's size
@@ -162,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         prior = (n.get(True, 0) + 0.5) / (sum(n.values()) + 1)
         weights = np.array([0.0] * 5 + [np.log(prior / (1 - prior))])
     else:
-        weights = logistic(design(np.array([r.f for r in held])), y)
+        weights = logistic(design(np.array([r.f for r in held])), y, np.array([1 / shares[r.toxic] for r in held]))
     return {"ordinary": ordinary, "toxic": special, "weights": weights.tolist()}
 
 

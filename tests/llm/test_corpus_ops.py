@@ -292,6 +292,23 @@ def test_toxicity_of_held_out_documents(spark, sf):
     assert r.hit >= 0.95 * r.said and r.hit >= 0.65 * r.there
 
 
+def test_toxicity_does_not_depend_on_the_sample(spark):
+    rng = random.Random(3)
+    docs, labels = [], []
+    for i in range(6000):
+        bad = rng.random() < 0.1
+        said = rng.random() < (0.6 if bad else 0.06)  # the word alone leaves the label open: the prior decides
+        docs.append((i, " ".join([f"wort{rng.randrange(300)}" for _ in range(20)] + ["grobianisch"] * said)))
+        labels.append((i, int(bad)))
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    mean = {}
+    for sample in ((6000, 18000), (300, 900)):
+        model = toxicity.train(docs, labels, sample=sample)
+        mean[sample] = toxicity.score_toxicity(docs, model).agg(F.avg("score")).first()[0]
+    assert mean[6000, 18000] == pytest.approx(0.1, abs=0.02)
+    assert mean[300, 900] == pytest.approx(mean[6000, 18000], abs=0.04)
+
+
 def test_toxicity_edges(spark, edge, none):
     labels = spark.createDataFrame([(4, 1, 1), (5, 1, 0), (None, 1, 1), (7, 1, None), (4, 1, 0)], "doc_id long, quality int, toxic int")
     for given in (labels, labels.limit(0)):
