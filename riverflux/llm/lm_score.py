@@ -7,7 +7,7 @@ share of the kind's counts. Biases start from the counts, so training can only i
 
 Training is truncated backpropagation through time in numpy with AdaGrad: each task trains on its
 partition of the training documents, the tasks' weights are averaged (in the tasks, by their tokens), and
-the next round starts from the average. Counts cover all training documents. Scoring carries the state
+the next round starts from the average. Each training document is in one round; counts cover all of them. Scoring carries the state
 through the whole document, WINDOW steps at a time, for many documents at once.
 
 Counts of the FAST commonest words are sent to the tasks; the rarer words of each document meet
@@ -36,8 +36,6 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 HEAD, KINDS, STATE, FAST = 4096, 64, 16, 65536
 #: Steps of a window, documents trained side by side, step size, rounds of averaging.
 WINDOW, LANES, RATE, ROUNDS = 24, 64, 0.12, 2
-#: Training documents that the recurrent part is fitted on: one in so many (counts take all).
-TRAIN_EVERY = 12
 #: Distinct words that a counting task holds, tokens that a scoring task has in hand.
 HELD, IN_HAND = 400_000, 1_500_000
 #: Partitions in which weights are averaged before the driver gets them.
@@ -284,18 +282,18 @@ def average(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def fit(docs: DataFrame, vocab: Vocabulary) -> dict[str, np.ndarray]:
-    """docs: column text. ROUNDS rounds, each over its own part of the documents."""
+    """docs: column text. ROUNDS rounds, each over its own part of the rows, together over all of them."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(vocab)
     params = start(vocab)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"turn": batch["turn"], "ids": [sent.value.ids(words_of(t)) for t in batch["text"]]})
+            yield pd.DataFrame({"turn": batch["turn"], "ids": [np.array(sent.value.ids(words_of(t)), np.int32) for t in batch["text"]]})
 
-    turn = (F.pmod(F.xxhash64("text", F.lit(11)), F.lit(TRAIN_EVERY * ROUNDS)) / TRAIN_EVERY).cast("int")
-    part = F.pmod(F.xxhash64("text", F.lit(13)), F.lit(TRAIN_EVERY)) == 0
-    coded = materialize(docs.where(part).select("text", turn.alias("turn")).mapInPandas(encode, "turn int, ids array<int>"))
+    # by row and not by text, so that copies are spread over the rounds
+    turn = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(11)), F.lit(ROUNDS)).cast("int")
+    coded = materialize(docs.select("text", turn.alias("turn")).mapInPandas(encode, "turn int, ids array<int>"))
     for round_ in range(ROUNDS):
         now = spark.sparkContext.broadcast(pack(params))
 

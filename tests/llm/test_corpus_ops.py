@@ -410,6 +410,16 @@ def test_training_beats_word_frequencies():
     assert lm_score.score_ids(p, vocab, many) == pytest.approx([lm_score.score_ids(p, vocab, [d])[0] for d in many], rel=1e-4)
 
 
+def test_all_training_documents_are_learnt(spark):
+    words = [f"w{i}".encode() for i in range(60)]
+    vocab = lm_score.Vocabulary([(w, 2) for w in words] + [(b"", 60)], [0.0] * lm_score.KINDS, 180, 61)
+    p = lm_score.fit(spark.createDataFrame([(f"w{i} w{i}",) for i in range(60)], "text string"), vocab)
+    moved = np.abs(p["x"] - lm_score.start(vocab)["x"]).max(1) > 0
+    assert [w for w in words if not moved[vocab.head[w]]] == []
+    copies = lm_score.fit(spark.createDataFrame([("w1 w2 w3",)] * 40, "text string"), vocab)
+    assert (copies["cb"] != lm_score.start(vocab)["cb"]).any()
+
+
 # ---- 10
 
 
