@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riverflux.llm.common import materialize
@@ -25,17 +25,24 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 
+def row_key(docs: DataFrame) -> Column:
+    """Tells rows apart by id and text, rows without an id last; never null itself, so that nulls meet in a join."""
+    return F.struct(docs["doc_id"].isNull().alias("no_id"), docs["doc_id"].alias("doc_id"), F.md5(docs["text"].cast("binary")).alias("text_md5"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group: the one with the smallest id. Rows without an id stay."""
-    groups = simhash_groups(docs.select("doc_id", "text"))
-    first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """Keeps one document of each group: the one with the smallest id, one without an id only where none has any."""
+    keyed = docs.withColumn("__key", row_key(docs))
+    groups = simhash_groups(keyed.select("__key", "text"), id_col="__key")
+    first = groups.where(F.col("__key") == F.col("component_id")).select("__key").distinct()
+    return keyed.join(first, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that hold no window of a benchmark item."""
-    hits = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(hits.where("contaminated").select("doc_id"), "doc_id", "left_anti")
+    hits = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated")
+    bad = hits.select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_md5").alias("__key"))
+    return docs.withColumn("__key", row_key(docs)).join(bad, "__key", "left_anti").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -460,3 +460,18 @@ def test_pipeline_stages(spark, sf):
     out = P.STAGES[-1][1](spark, kept, sf)
     assert out.count() == kept.count() and out.where("taken > 2 * size").count() == 0
     assert kept.count() >= 0.8 * docs.count()
+
+
+def test_pipeline_tells_rows_apart_by_id_and_text(spark, tmp_path):
+    import corpus_pipeline as P
+
+    item = " ".join(f"frage{i}" for i in range(15))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    other = [" ".join(f"{w}{i}" for i in range(40)) for w in ("alpha", "beta", "gamma")]
+    rows = [(1, other[0]), (1, other[1]), (None, other[1]), (None, other[2]), (None, other[2]), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = [tuple(r) for r in P.near_duplicates(spark, docs, str(tmp_path)).collect()]
+    assert sorted(out, key=str) == sorted([(1, other[0]), (1, other[1]), (None, other[2]), (None, None)], key=str)
+    docs = spark.createDataFrame([(1, item), (1, other[0]), (None, item), (None, other[1]), (None, None)], "doc_id long, text string")
+    out = [tuple(r) for r in P.decontamination(spark, docs, str(tmp_path)).collect()]
+    assert sorted(out, key=str) == sorted([(1, other[0]), (None, other[1]), (None, None)], key=str)
