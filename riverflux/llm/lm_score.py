@@ -1,14 +1,14 @@
 """Scoring texts with a gated recurrent language model.
 
-The model's vocabulary is the HEAD commonest words and, for all other words, CLASSES kinds told apart by
-their spelling. The output is factored by class: first a softmax over classes given the state, then, for a
-class of head words, a softmax over its words given the state; within a kind of rarer words a word has its
-share of the kind's counts. Biases start from the counts, so training can only improve on word frequencies.
+The model's vocabulary is the HEAD commonest words and, for all other words, KINDS kinds told apart by
+their spelling. The output is factored by class: first a softmax over classes given the state, then one
+over the class's words given the state; the kinds are the words of a class of their own, and a rarer word has
+its share of its kind's counts. Biases start from the counts, so training can only improve on word frequencies.
 
-Training is truncated backpropagation through time in numpy with AdaGrad: each task trains on its
-partition of the training documents, the tasks' weights are averaged (in the tasks, by their tokens), and
-the next round starts from the average. Each training document is in one round; counts cover all of them. Scoring carries the state
-through the whole document, WINDOW steps at a time, for many documents at once.
+Training is truncated backpropagation through time in numpy with AdaGrad: learners train side by side on their
+part of the documents, their weights are averaged (in the tasks, by their tokens), and the next round starts
+from the average. Each training document is in one round; counts cover all of them. Scoring carries the state
+through the whole document, for many documents at once.
 
 Counts of the FAST commonest words are sent to the tasks; the rarer words of each document meet
 their counts in one shuffle join, which has no hot key, as its words are rare by construction.
@@ -33,11 +33,15 @@ from riverflux.llm.toxicity import remainder
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Words with an output of their own, kinds of rarer words, state size, words whose counts are sent.
-HEAD, KINDS, STATE, FAST = 4096, 64, 16, 65536
+HEAD, KINDS, STATE, FAST = 4096, 64, 24, 65536
 #: Steps of a window, documents trained side by side, step size, rounds of averaging.
-WINDOW, LANES, RATE, ROUNDS = 24, 64, 0.12, 2
+WINDOW, LANES, RATE, ROUNDS = 24, 256, 0.3, 2
+#: Longest piece of a document that a training lane takes at once.
+PIECE = 768
 #: Distinct words that a counting task holds, tokens that a scoring task has in hand.
 HELD, IN_HAND = 400_000, 1_500_000
+#: Tokens that a learner is meant to get in all rounds, most learners (beyond, each gets more).
+TOKENS, MOST_LEARNERS = 3_000_000, 2048
 #: Partitions in which weights are averaged before the driver gets them.
 AVERAGERS = 8
 END = b""
@@ -102,18 +106,33 @@ class Vocabulary:
         share = np.cumsum(np.sqrt(p)) / np.sqrt(p).sum()
         self.class_of = np.minimum((share * (max(1, int(np.sqrt(len(p)) * 0.75)) - 1e-9)).astype(int), len(p) - 1)
         self.class_of = np.unique(self.class_of, return_inverse=True)[1]
+        # the kinds are the words of a last class
+        p = np.concatenate((p, self.mass))
+        self.class_of = np.append(self.class_of, np.full(KINDS, self.class_of.max() + 1))
         self.classes = int(self.class_of.max()) + 1
         self.first = np.searchsorted(self.class_of, np.arange(self.classes + 1))
         self.log_word = np.log(p)
-        by_class = np.bincount(self.class_of, weights=p, minlength=self.classes)
-        self.log_class = np.log(np.concatenate((by_class, self.mass)) / self.denominator)
-        self.inputs = len(p) + KINDS
+        self.log_class = np.log(np.bincount(self.class_of, weights=p, minlength=self.classes) / self.denominator)
+        self.inputs = len(p)
+
+        # by place in fast: head word or kind, and log10 of the count and one
+        self.place = {w: i for i, (w, _) in enumerate(fast)}
+        self.id_of = np.array([self.head.get(w, -1) if w in self.head else len(head) + kind_of(w) for w, _ in fast], dtype=np.int64)
+        self.log_of = np.log10(np.array([c + 1.0 for _, c in fast]))
+
+    def looked_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Head words and kinds of the words and then the end, and the words' places in fast, -1 where rarer."""
+        at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        ids = np.zeros(len(words) + 1, dtype=np.int64)
+        if len(self.id_of):
+            ids[:-1] = self.id_of[at]
+        rare = np.nonzero(at < 0)[0]
+        ids[rare] = [len(self.head) + kind_of(words[j]) for j in rare.tolist()]
+        return ids, at
 
     def ids(self, words: list[bytes]) -> list[int]:
         """Head words, then kinds; the end comes last."""
-        get, base = self.head.get, len(self.head)
-        found = [get(w, -1) for w in words]
-        return [i if i >= 0 else base + kind_of(w) for i, w in zip(found, words)] + [0]
+        return self.looked_up(words)[0].tolist()
 
 
 NAMES = ("x", "u", "b", "c", "cb", "w", "wb")
@@ -123,11 +142,10 @@ def start(vocab: Vocabulary, seed: int = 7) -> dict[str, np.ndarray]:
     """x: gates of each input; u: gates of the state; c, cb: classes; w, wb: words within their class."""
     rng = np.random.default_rng(seed)
     small = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
-    head = len(vocab.head)
     b = np.zeros(3 * STATE, np.float32)
     return {
-        "x": small(vocab.inputs, 3 * STATE), "u": small(STATE, 3 * STATE), "b": b, "c": small(STATE, vocab.classes + KINDS) * np.float32(0.1), "cb": vocab.log_class.astype(np.float32),
-        "w": small(head, STATE) * np.float32(0.1), "wb": vocab.log_word.astype(np.float32),
+        "x": small(vocab.inputs, 3 * STATE), "u": small(STATE, 3 * STATE), "b": b, "c": small(STATE, vocab.classes) * np.float32(0.1), "cb": vocab.log_class.astype(np.float32),
+        "w": small(vocab.inputs, STATE) * np.float32(0.1), "wb": vocab.log_word.astype(np.float32),
     }
 
 
@@ -145,109 +163,119 @@ def step(p: dict, gx: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
     return a + z * (h - a), z, r, a, gh[:, 2 * s :]
 
 
-def log_softmax(a: np.ndarray) -> np.ndarray:
-    a = a - a.max(axis=1, keepdims=True)
-    return a - np.log(np.exp(a).sum(axis=1, keepdims=True))
+def softmax_at(a: np.ndarray, at: np.ndarray, want_rest: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """Log of each row's softmax at one column, and (a is overwritten) the softmax less one there: its gradient."""
+    rows = np.arange(len(a))
+    a -= a.max(axis=1, keepdims=True)
+    own = a[rows, at]
+    np.exp(a, out=a)
+    total = a.sum(axis=1, keepdims=True)
+    if want_rest:
+        a /= total
+        a[rows, at] -= 1
+    return own - np.log(total[:, 0]), a if want_rest else None
 
 
 def outputs(p: dict, vocab: Vocabulary, h: np.ndarray, target: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """Natural log probability of each target's class, and word for head words, given the states h. With grad,
+    """Natural log probability of each target, a head word or a kind, given the states h. With grad,
     gradients of the negative sum are added there and the one by h is returned."""
-    head = len(vocab.head)
-    cls = np.where(target < head, vocab.class_of[np.minimum(target, head - 1)], vocab.classes + target - head)
-    rows = np.arange(len(h))
-    lp = log_softmax(h @ p["c"] + p["cb"])
-    out = lp[rows, cls]
+    cls = vocab.class_of[target]
+    order = np.argsort(cls, kind="stable")  # the tokens of a class stand together
+    h, target, cls = h[order], target[order], cls[order]
+    lp, d = softmax_at(h @ p["c"] + p["cb"], cls, grad is not None)
     dh = None
     if grad is not None:
-        d = np.exp(lp)
-        d[rows, cls] -= 1
         grad["c"] += h.T @ d
         grad["cb"] += d.sum(0)
         dh = d @ p["c"].T
-    order = np.argsort(cls, kind="stable")
-    bounds = np.searchsorted(cls[order], np.arange(vocab.classes + 1))
+    bounds = np.searchsorted(cls, np.arange(vocab.classes + 1))
     for k in np.nonzero(bounds[1:] > bounds[:-1])[0]:
         a, b = vocab.first[k], vocab.first[k + 1]
         if b - a == 1:
             continue
-        at = order[bounds[k] : bounds[k + 1]]
-        hk, t = h[at], target[at] - a
-        lw = log_softmax(hk @ p["w"][a:b].T + p["wb"][a:b])
-        out[at] += lw[np.arange(len(at)), t]
+        at = slice(bounds[k], bounds[k + 1])
+        w, hk = p["w"][a:b], h[at]
+        lw, d = softmax_at(hk @ w.T + p["wb"][a:b], target[at] - a, grad is not None)
+        lp[at] += lw
         if grad is not None:
-            d = np.exp(lw)
-            d[np.arange(len(at)), t] -= 1
             grad["w"][a:b] += d.T @ hk
             grad["wb"][a:b] += d.sum(0)
-            dh[at] += d @ p["w"][a:b]
-    return out, dh
+            dh[at] += d @ w
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    return lp[back], None if dh is None else dh[back]
 
 
-def train_on(p: dict, vocab: Vocabulary, texts: Iterator[list[int]]) -> int:
-    """Fit p in place to the documents, LANES side by side; the number of tokens seen."""
-    s, seen = STATE, 0
-    memory = {k: np.full_like(v, 0.1) for k, v in p.items()}
-    lanes: list[np.ndarray] = [np.empty(0, np.int64)] * LANES
-    fresh: list[list[int]] = [[] for _ in range(LANES)]
-    state, last = np.zeros((LANES, s), np.float32), np.zeros(LANES, np.int64)
+def windows_of(texts: Iterator[list[int]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Lanes that are live, their next tokens (lane, step), the tokens before these, and where the state starts anew.
+
+    A lane is an endless row of pieces of documents of at most PIECE tokens, so that no long document runs on
+    by itself at the end; a piece knows the token before it. When no more come, the lanes run out."""
+    pieces = ((np.asarray(doc, dtype=np.int64), at) for doc in texts for at in range(0, len(doc), PIECE))
+    lanes = [np.empty((3, 0), dtype=np.int64)] * LANES  # token, token before, 1 at a piece's start
+    left = np.zeros(LANES, dtype=np.int64)
     more = True
-    while more:
-        for i in range(LANES):  # refill; positions at which a document starts reset the state
-            while more and len(lanes[i]) < WINDOW:
-                doc = next(texts, None)
+    while more or left.any():
+        for i in np.nonzero(left < WINDOW)[0]:
+            while more and left[i] < WINDOW:
+                doc, at = next(pieces, (None, 0))
                 if doc is None:
                     more = False
                     break
-                fresh[i].append(len(lanes[i]))
-                lanes[i] = np.concatenate((lanes[i], np.asarray(doc, dtype=np.int64)))
-        steps = WINDOW
-        live = np.array([len(x) >= steps for x in lanes])
-        if not more:
-            live = np.array([len(x) > 0 for x in lanes])
-            steps = min([WINDOW, *(len(x) for x in lanes if len(x))], default=0)
-            if not live.any():
-                break
-            more = True  # until all lanes are empty
-        use = np.nonzero(live)[0]
-        tok = np.stack([lanes[i][:steps] for i in use])
-        keep = np.ones((len(use), steps), np.float32)
-        for row, i in enumerate(use):
-            for f in fresh[i]:
-                if f < steps:
-                    keep[row, f] = 0
-            fresh[i] = [f - steps for f in fresh[i] if f >= steps]
-            lanes[i] = lanes[i][steps:]
-        prev = np.concatenate((last[use][:, None], tok[:, :-1]), axis=1)
-        prev[keep == 0] = 0
-        h, saved = state[use], []
+                tok = doc[at : at + PIECE]
+                new = np.zeros((3, len(tok)), dtype=np.int64)
+                new[0], new[1, 1:], new[1, 0], new[2, 0] = tok, tok[:-1], doc[at - 1] if at else 0, 1
+                lanes[i] = np.concatenate((lanes[i], new), axis=1)
+                left[i] += len(tok)
+        use = np.nonzero(left)[0]
+        if not len(use):
+            return
+        steps = int(min(WINDOW, left[use].min()))
+        out = np.stack([lanes[i][:, :steps] for i in use])
+        for i in use:
+            lanes[i] = lanes[i][:, steps:]
+        left[use] -= steps
+        yield use, out[:, 0], out[:, 1], out[:, 2] > 0
+
+
+def train_on(p: dict, vocab: Vocabulary, texts: Iterator[list[int]]) -> int:
+    """Fit p in place to the documents, LANES side by side; the number of tokens seen."""
+    s, seen = STATE, 0
+    memory = {k: np.full_like(v, 0.1) for k, v in p.items()}
+    state = np.zeros((LANES, s), np.float32)
+    for use, tok, prev, begins in windows_of(texts):
+        lanes, steps = tok.shape
+        keep = (~begins).astype(np.float32)
+        gates = p["x"][prev.T] + p["b"]
+        h = state[use]
+        h_in, z, r, a, g = (np.empty((steps, lanes, s), np.float32) for _ in range(5))
+        hs = np.empty((steps, lanes, s), np.float32)
         for t in range(steps):
-            h_in = h * keep[:, t : t + 1]
-            h, z, r, a, g = step(p, p["x"][prev[:, t]] + p["b"], h_in)
-            saved.append((h_in, z, r, a, g, h))
-        state[use], last[use] = h, tok[:, -1]
-        grad = {k: np.zeros_like(v) for k, v in p.items() if k != "x"}
-        hs = np.concatenate([x[5] for x in saved])  # by step, then lane
-        _, dh_all = outputs(p, vocab, hs, tok.T.ravel(), grad)
-        dh_all = dh_all.reshape(steps, len(use), s)
-        carry, gx = np.zeros((len(use), s), np.float32), np.empty((steps, len(use), 3 * s), np.float32)
+            h_in[t] = h * keep[:, t : t + 1]
+            h, z[t], r[t], a[t], g[t] = step(p, gates[t], h_in[t])
+            hs[t] = h
+        state[use] = h
+        grad = {k: np.zeros_like(v) for k, v in p.items() if k not in ("x", "u", "b")}
+        _, dh = outputs(p, vocab, hs.reshape(-1, s), tok.T.ravel(), grad)
+        dh = dh.reshape(steps, lanes, s)
+        carry = np.zeros((lanes, s), np.float32)
+        gx, gh = np.empty((steps, lanes, 3 * s), np.float32), np.empty((steps, lanes, 3 * s), np.float32)
+        da_z, back_z, back_r = (1 - z) * (1 - a * a), (h_in - a) * z * (1 - z), g * r * (1 - r)
+        u = np.ascontiguousarray(p["u"].T)
         for t in reversed(range(steps)):
-            h_in, z, r, a, g, _ = saved[t]
-            d = dh_all[t] + carry
-            da = d * (1 - z) * (1 - a * a)
-            dz = d * (h_in - a) * z * (1 - z)
-            dr = da * g * r * (1 - r)
-            gx[t] = np.concatenate((dz, dr, da), axis=1)
-            gh = np.concatenate((dz, dr, da * r), axis=1)
-            grad["u"] += h_in.T @ gh
-            carry = (d * z + gh @ p["u"].T) * keep[:, t : t + 1]
-        grad["b"] += gx.sum(axis=(0, 1))
-        n = tok.size
-        ids, at = np.unique(prev.T.ravel(), return_inverse=True)
-        gids = np.zeros((len(ids), 3 * s), np.float32)
-        np.add.at(gids, at, gx.reshape(-1, 3 * s))
+            d = dh[t] + carry
+            da = d * da_z[t]
+            gx[t, :, :s], gx[t, :, s : 2 * s], gx[t, :, 2 * s :] = d * back_z[t], da * back_r[t], da
+            gh[t, :, : 2 * s], gh[t, :, 2 * s :] = gx[t, :, : 2 * s], da * r[t]
+            carry = (d * z[t] + gh[t] @ u) * keep[:, t : t + 1]
+        gx, n = gx.reshape(-1, 3 * s), tok.size
+        grad["u"] = h_in.reshape(-1, s).T @ gh.reshape(-1, 3 * s)
+        grad["b"] = gx.sum(axis=0)
+        flat = prev.T.ravel()
+        order = np.argsort(flat, kind="stable")
+        ids, at = np.unique(flat[order], return_index=True)
         scale = np.float32(1 / np.sqrt(n))
-        gids *= scale
+        gids = np.add.reduceat(gx[order], at, axis=0) * scale
         memory["x"][ids] += gids * gids
         p["x"][ids] -= np.float32(RATE) * gids / np.sqrt(memory["x"][ids])
         for k, gk in grad.items():
@@ -282,18 +310,22 @@ def average(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def fit(docs: DataFrame, vocab: Vocabulary) -> dict[str, np.ndarray]:
-    """docs: column text. ROUNDS rounds, each over its own part of the rows, together over all of them."""
+    """docs: columns id, text. ROUNDS rounds, each over its own part of the rows, together over all of them.
+
+    Rows are dealt by a hash to a number of learners that follows the number of tokens, and learned in the hash's
+    order, so the weights do not depend on how the table or the cluster is cut. (Only rows without an id
+    are dealt by position, as a mass of them may share one text.)"""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(vocab)
     params = start(vocab)
+    learners = max(1, min(MOST_LEARNERS, round(vocab.n / TOKENS)))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"turn": batch["turn"], "ids": [np.array(sent.value.ids(words_of(t)), np.int32) for t in batch["text"]]})
+            yield pd.DataFrame({"deal": batch["deal"], "ids": [sent.value.looked_up(words_of(t))[0].astype(np.int32) for t in batch["text"]]})
 
-    # by row and not by text, so that copies are spread over the rounds
-    turn = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(11)), F.lit(ROUNDS)).cast("int")
-    coded = materialize(docs.select("text", turn.alias("turn")).mapInPandas(encode, "turn int, ids array<int>"))
+    place = F.when(F.col("id").isNull(), F.monotonically_increasing_id())
+    coded = materialize(docs.select("text", F.xxhash64("id", "text", place, F.lit(11)).alias("deal")).mapInPandas(encode, "deal long, ids array<int>"))
     for round_ in range(ROUNDS):
         now = spark.sparkContext.broadcast(pack(params))
 
@@ -303,7 +335,8 @@ def fit(docs: DataFrame, vocab: Vocabulary) -> dict[str, np.ndarray]:
             if n:
                 yield pd.DataFrame({"weights": [pack(p)], "tokens": [n]})
 
-        sets = coded.where(F.col("turn") == round_).mapInPandas(train, "weights binary, tokens long")
+        turn = coded.where(F.pmod(F.shiftright("deal", 32), F.lit(ROUNDS)) == round_)
+        sets = turn.repartition(learners, "deal").sortWithinPartitions("deal").mapInPandas(train, "weights binary, tokens long")
         # AVERAGERS sets of bounded size reach the driver, however many tasks have trained
         few = sets.repartition(AVERAGERS).mapInPandas(average, "weights binary, tokens long").collect()
         mean = list(average(iter([pd.DataFrame({"weights": [bytes(r.weights) for r in few], "tokens": [r.tokens for r in few]})]))) if few else []
@@ -352,8 +385,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    learn = rows.where(remainder(F.col("id"), 7) != 2).select("text")
-    counts = materialize(learn.mapInPandas(count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    learn = rows.where(remainder(F.col("id"), 7) != 2)
+    counts = materialize(learn.select("text").mapInPandas(count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
     kinds = counts.where(F.length("word") > 0).groupBy(kind_column(F.col("word")).alias("kind")).agg(F.sum(F.col("n") + 1).alias("mass"), F.sum("n").alias("n"), F.count("*").alias("v")).collect()
     fast = [(bytes(r.word), r.n) for r in commonest(counts, FAST).collect()]
     ends = sum(r.n for r in counts.where(F.length("word") == 0).collect())
@@ -372,10 +405,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocab, raw = sent.value
         p = unpack(raw, start(vocab))
-        logs = {w: np.log10(c + 1.0) for w, c in vocab.fast.items()}
         head = len(vocab.head)
         log_mass = np.log10(vocab.mass)
-        end = logs.get(END, 0.0)
+        end = float(vocab.log_of[vocab.place[END]]) if END in vocab.place else 0.0
 
         def finish(ids: list, coded: list[np.ndarray], known: list[tuple]) -> pd.DataFrame:
             model = score_ids(p, vocab, coded) / np.log(10)
@@ -392,16 +424,12 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         for batch in batches:
             for i, t in zip(batch["id"], batch["text"]):
                 words = words_of(t)
-                c = np.fromiter(map(vocab.head.get, words, repeat(-1)), np.int64, len(words))
-                found = np.fromiter(map(logs.get, words, repeat(-1.0)), np.float64, len(words))
-                outside = np.nonzero(c < 0)[0]
-                c[outside] = [head + kind_of(words[j]) for j in outside.tolist()]
-                sent_ = found >= 0
-                rare = [words[j] for j in np.nonzero(~sent_)[0].tolist()]
-                in_tail = found[outside]
+                c, at = vocab.looked_up(words)
+                sent_, tail = at[at >= 0], at[(at >= 0) & (c[:-1] >= head)]
+                rare = [words[j] for j in np.nonzero(at < 0)[0].tolist()]
                 ids.append(i)
-                coded.append(np.append(c, 0))
-                known.append((len(words) - len(rare) + (end > 0), float(found[sent_].sum()) + end, float(in_tail[in_tail >= 0].sum()), rare))
+                coded.append(c)
+                known.append((len(sent_) + (end > 0), float(vocab.log_of[sent_].sum()) + end, float(vocab.log_of[tail].sum()), rare))
                 held += len(words) + 1
                 if held >= IN_HAND:
                     yield finish(ids, coded, known)

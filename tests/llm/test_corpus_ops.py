@@ -410,13 +410,44 @@ def test_training_beats_word_frequencies():
     assert lm_score.score_ids(p, vocab, many) == pytest.approx([lm_score.score_ids(p, vocab, [d])[0] for d in many], rel=1e-4)
 
 
+def test_scores_match_a_plain_evaluation():
+    rng = np.random.default_rng(2)
+    fast = [(f"w{i}".encode(), 90 - i) for i in range(70)] + [(b"", 9)]
+    vocab = lm_score.Vocabulary(sorted(fast, key=lambda x: (-x[1], x[0])), [4.0] * lm_score.KINDS, 4000, 80)
+    p = {k: (v + rng.normal(scale=0.2, size=v.shape)).astype(np.float32) for k, v in lm_score.start(vocab).items()}
+    texts = [[f"w{j}".encode() for j in rng.integers(0, 90, n)] for n in (0, 1, 3, 40)]
+    got = lm_score.score_ids(p, vocab, [vocab.ids(w) for w in texts])
+    q, s = {k: v.astype(float) for k, v in p.items()}, lm_score.STATE
+    for words, total in zip(texts, got):
+        h, prev, want = np.zeros(s), 0, 0.0
+        for target in vocab.ids(words):
+            x, u = q["x"][prev] + q["b"], h @ q["u"]
+            z, r = (1 / (1 + np.exp(-x[k : k + s] - u[k : k + s])) for k in (0, s))
+            h = (1 - z) * np.tanh(x[2 * s :] + r * u[2 * s :]) + z * h
+            a = h @ q["c"] + q["cb"]
+            of = vocab.class_of[target]
+            want += a[of] - np.log(np.exp(a).sum())
+            e = {int(j): q["w"][j] @ h + q["wb"][j] for j in np.nonzero(vocab.class_of == of)[0]}
+            want += e[target] - np.log(sum(np.exp(v) for v in e.values()))
+            prev = target
+        assert total == pytest.approx(want, rel=1e-4)
+
+
+def test_weights_do_not_depend_on_the_partitions(spark):
+    words = [f"w{i}".encode() for i in range(60)]
+    vocab = lm_score.Vocabulary([(w, 2) for w in words] + [(b"", 60)], [0.0] * lm_score.KINDS, 180, 61)
+    rows = spark.createDataFrame([(i, f"w{i % 60} w{i % 7} w{i % 11}") for i in range(300)], "id long, text string")
+    one, two = (lm_score.fit(rows.repartition(n), vocab) for n in (1, 5))
+    assert all(np.allclose(one[k], two[k], atol=1e-6) for k in one)
+
+
 def test_all_training_documents_are_learnt(spark):
     words = [f"w{i}".encode() for i in range(60)]
     vocab = lm_score.Vocabulary([(w, 2) for w in words] + [(b"", 60)], [0.0] * lm_score.KINDS, 180, 61)
-    p = lm_score.fit(spark.createDataFrame([(f"w{i} w{i}",) for i in range(60)], "text string"), vocab)
+    p = lm_score.fit(spark.createDataFrame([(i, f"w{i} w{i}") for i in range(60)], "id long, text string"), vocab)
     moved = np.abs(p["x"] - lm_score.start(vocab)["x"]).max(1) > 0
     assert [w for w in words if not moved[vocab.head[w]]] == []
-    copies = lm_score.fit(spark.createDataFrame([("w1 w2 w3",)] * 40, "text string"), vocab)
+    copies = lm_score.fit(spark.createDataFrame([(None, "w1 w2 w3")] * 40, "id long, text string"), vocab)
     assert (copies["cb"] != lm_score.start(vocab)["cb"]).any()
 
 
