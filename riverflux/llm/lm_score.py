@@ -33,7 +33,7 @@ from riverflux.llm.toxicity import remainder
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Words with an output of their own, kinds of rarer words, state size, words whose counts are sent.
-HEAD, KINDS, STATE, FAST = 4096, 64, 24, 65536
+HEAD, KINDS, STATE, FAST = 2048, 64, 16, 65536
 #: Steps of a window, documents trained side by side, step size, rounds of averaging.
 WINDOW, LANES, RATE, ROUNDS = 24, 256, 0.3, 2
 #: Longest piece of a document that a training lane takes at once.
@@ -299,51 +299,76 @@ def unpack(raw: bytes, like: dict) -> dict[str, np.ndarray]:
 
 
 def average(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The mean of the weights, weighted by tokens, one set at a time."""
+    """The mean of the changes of the weights, weighted by tokens, one set at a time."""
     total, tokens = None, 0
     for batch in batches:
-        for raw, n in zip(batch["weights"], batch["tokens"]):
-            flat = np.frombuffer(raw, dtype="<f4").astype(np.float64) * n
+        for raw, n in zip(batch["change"], batch["tokens"]):
+            flat = np.frombuffer(raw, dtype="<f2").astype(np.float64) * n
             total, tokens = flat if total is None else total + flat, tokens + n
     if total is not None and tokens:
-        yield pd.DataFrame({"weights": [(total / tokens).astype("<f4").tobytes()], "tokens": [tokens]})
+        yield pd.DataFrame({"change": [(total / tokens).astype("<f2").tobytes()], "tokens": [tokens]})
 
 
-def fit(docs: DataFrame, vocab: Vocabulary) -> dict[str, np.ndarray]:
-    """docs: columns id, text. ROUNDS rounds, each over its own part of the rows, together over all of them.
+def encode(rows: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """rows (id, text) as a table with their tokens: row, id (as text), learn, deal, ids, n_known, fast, tail, rare.
 
-    Rows are dealt by a hash to a number of learners that follows the number of tokens, and learned in the hash's
-    order, so the weights do not depend on how the table or the cluster is cut. (Only rows without an id
-    are dealt by position, as a mass of them may share one text.)"""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(vocab)
-    params = start(vocab)
-    learners = max(1, min(MOST_LEARNERS, round(vocab.n / TOKENS)))
+    fast and tail: log10 of the counts summed over the words that were sent, and over those of them outside the head;
+    rare: the words that were not."""
+    sent = rows.sparkSession.sparkContext.broadcast(vocab)
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        vocab = sent.value
+        head = len(vocab.head)
+        end = float(vocab.log_of[vocab.place[END]]) if END in vocab.place else 0.0
         for batch in batches:
-            yield pd.DataFrame({"deal": batch["deal"], "ids": [sent.value.looked_up(words_of(t))[0].astype(np.int32) for t in batch["text"]]})
+            out = []
+            for t in batch["text"]:
+                words = words_of(t)
+                ids, at = vocab.looked_up(words)
+                known, tail = at[at >= 0], at[(at >= 0) & (ids[:-1] >= head)]
+                rare = [words[j] for j in np.nonzero(at < 0)[0].tolist()]
+                out.append((ids.astype(np.int32), len(known) + (end > 0), float(vocab.log_of[known].sum()) + end, float(vocab.log_of[tail].sum()), rare))
+            found = pd.DataFrame(out, columns=["ids", "n_known", "fast", "tail", "rare"])
+            yield pd.concat([batch[["id", "learn", "deal"]].reset_index(drop=True), found], axis=1)
+
+    # only rows without an id are dealt by position, as a mass of them may share one text
+    deal = F.xxhash64("id", "text", F.when(F.col("id").isNull(), F.monotonically_increasing_id()), F.lit(11))
+    ready = rows.select(F.col("id").cast("string").alias("id"), (remainder(F.col("id"), 7) != 2).alias("learn"), deal.alias("deal"), "text")
+    schema = "id string, learn boolean, deal long, ids array<int>, n_known long, fast double, tail double, rare array<binary>"
+    return materialize(ready.mapInPandas(code, schema).withColumn("row", F.monotonically_increasing_id()))
+
 
-    place = F.when(F.col("id").isNull(), F.monotonically_increasing_id())
-    coded = materialize(docs.select("text", F.xxhash64("id", "text", place, F.lit(11)).alias("deal")).mapInPandas(encode, "deal long, ids array<int>"))
+def fit(coded: DataFrame, vocab: Vocabulary) -> dict[str, np.ndarray]:
+    """The model of the rows of encode() that are learned from. ROUNDS rounds, each over its own part of the rows,
+    together over all of them.
+
+    Rows are dealt by their hash to a number of learners that follows the number of tokens, and learned in the hash's
+    order, so the weights do not depend on how the table or the cluster is cut."""
+    spark = coded.sparkSession
+    sent = spark.sparkContext.broadcast(vocab)
+    params = start(vocab)
+    learners = max(1, min(MOST_LEARNERS, round(vocab.n / TOKENS)))
     for round_ in range(ROUNDS):
         now = spark.sparkContext.broadcast(pack(params))
 
         def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            p = unpack(now.value, start(sent.value))
+            before = unpack(now.value, start(sent.value))
+            p = {k: v.copy() for k, v in before.items()}
             n = train_on(p, sent.value, chain.from_iterable(batch["ids"] for batch in batches))
             if n:
-                yield pd.DataFrame({"weights": [pack(p)], "tokens": [n]})
+                yield pd.DataFrame({"change": [b"".join((p[k] - before[k]).astype("<f2").tobytes() for k in NAMES)], "tokens": [n]})
 
-        turn = coded.where(F.pmod(F.shiftright("deal", 32), F.lit(ROUNDS)) == round_)
-        sets = turn.repartition(learners, "deal").sortWithinPartitions("deal").mapInPandas(train, "weights binary, tokens long")
-        # AVERAGERS sets of bounded size reach the driver, however many tasks have trained
-        few = sets.repartition(AVERAGERS).mapInPandas(average, "weights binary, tokens long").collect()
-        mean = list(average(iter([pd.DataFrame({"weights": [bytes(r.weights) for r in few], "tokens": [r.tokens for r in few]})]))) if few else []
+        turn = coded.where(F.col("learn") & (F.pmod(F.shiftright("deal", 32), F.lit(ROUNDS)) == round_)).select("deal", "ids")
+        sets = turn.repartition(learners, "deal").sortWithinPartitions("deal").mapInPandas(train, "change binary, tokens long")
+        # AVERAGERS sets of bounded size reach the driver, however many learners there are
+        few = sets.repartition(AVERAGERS).mapInPandas(average, "change binary, tokens long").collect()
+        mean = list(average(iter([pd.DataFrame({"change": [bytes(r.change) for r in few], "tokens": [r.tokens for r in few]})]))) if few else []
         if mean:
-            params = unpack(mean[0]["weights"][0], params)
+            change, at = np.frombuffer(mean[0]["change"][0], dtype="<f2").astype(np.float32), 0
+            for k in NAMES:
+                params[k] = params[k] + change[at : at + params[k].size].reshape(params[k].shape)
+                at += params[k].size
         now.unpersist()
-    discard(coded)
     return params
 
 
@@ -398,57 +423,48 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     for w, c in [x for x in fast if x[0] != END][: HEAD - 1]:
         mass[kind_of(w)] -= c + 1
     vocab = Vocabulary(fast, mass, ends + sum(r.n for r in kinds), sum(r.v for r in kinds) + (ends > 0))
-    params = fit(learn, vocab)
-    sent = spark.sparkContext.broadcast((vocab, pack(params)))
-    schema = "id string, n_tokens long, n_known long, fast double, kinds double, model double, rare array<binary>"
+    coded = encode(rows, vocab)
+    sent = spark.sparkContext.broadcast((vocab, pack(fit(coded, vocab))))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocab, raw = sent.value
         p = unpack(raw, start(vocab))
-        head = len(vocab.head)
-        log_mass = np.log10(vocab.mass)
-        end = float(vocab.log_of[vocab.place[END]]) if END in vocab.place else 0.0
-
-        def finish(ids: list, coded: list[np.ndarray], known: list[tuple]) -> pd.DataFrame:
-            model = score_ids(p, vocab, coded) / np.log(10)
-            flat = np.concatenate(coded)
-            owner = np.repeat(np.arange(len(coded)), [len(c) for c in coded])
-            tail = flat >= head
-            kinds = -np.bincount(owner[tail], weights=log_mass[flat[tail] - head], minlength=len(coded))
-            frame = pd.DataFrame(known, columns=["n_known", "fast", "tail", "rare"])
-            return pd.DataFrame({"id": ids, "n_tokens": [len(c) for c in coded], "n_known": frame["n_known"], "fast": frame["fast"], "kinds": kinds, "model": model + frame["tail"], "rare": frame["rare"]})
-
-        ids: list = []
-        coded: list[np.ndarray] = []
-        known, held = [], 0
+        head, log_mass = len(vocab.head), np.log10(vocab.mass)
+
+        def finish(held: list[pd.DataFrame]) -> pd.DataFrame:
+            some = pd.concat(held, ignore_index=True)
+            ids = [np.asarray(x, dtype=np.int64) for x in some["ids"]]
+            flat, lengths = np.concatenate(ids), [len(x) for x in ids]
+            owner, tail = np.repeat(np.arange(len(ids)), lengths), flat >= head
+            kinds = np.bincount(owner[tail], weights=log_mass[flat[tail] - head], minlength=len(ids))
+            model = score_ids(p, vocab, ids) / np.log(10) + some["tail"] - kinds
+            return some[["row", "id", "n_known", "fast"]].assign(n_tokens=lengths, model=model)
+
+        held, tokens = [], 0
         for batch in batches:
-            for i, t in zip(batch["id"], batch["text"]):
-                words = words_of(t)
-                c, at = vocab.looked_up(words)
-                sent_, tail = at[at >= 0], at[(at >= 0) & (c[:-1] >= head)]
-                rare = [words[j] for j in np.nonzero(at < 0)[0].tolist()]
-                ids.append(i)
-                coded.append(c)
-                known.append((len(sent_) + (end > 0), float(vocab.log_of[sent_].sum()) + end, float(vocab.log_of[tail].sum()), rare))
-                held += len(words) + 1
-                if held >= IN_HAND:
-                    yield finish(ids, coded, known)
-                    ids, coded, known, held = [], [], [], 0
-        if ids:
-            yield finish(ids, coded, known)
+            first = 0
+            for at, ids in enumerate(batch["ids"], 1):
+                tokens += len(ids)
+                if tokens >= IN_HAND:
+                    yield finish([*held, batch.iloc[first:at]])
+                    held, tokens, first = [], 0, at
+            if first < len(batch):
+                held.append(batch.iloc[first:])
+        if held:
+            yield finish(held)
 
     # the id travels as text and comes back in its own type; null stays null
     id_type = rows.schema["id"].dataType
-    scored = materialize(rows.select(F.col("id").cast("string").alias("id"), "text").mapInPandas(score, schema).withColumn("row", F.monotonically_increasing_id()))
-    rare = scored.where(F.size("rare") > 0).select("row", F.explode("rare").alias("word"))
+    scored = materialize(coded.select("row", "id", "ids", "n_known", "fast", "tail").mapInPandas(score, "row long, id string, n_known long, fast double, n_tokens long, model double"))
+    rare = coded.where(F.size("rare") > 0).select("row", F.explode("rare").alias("word"))
     met = rare.join(counts.select("word", "n"), "word").groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1.0)).alias("logs"))
-    out = scored.drop("rare").join(met, "row", "left")
+    out = scored.join(met, "row", "left")
     logs, zero = F.coalesce("logs", F.lit(0.0)), F.lit(0).cast("long")
     id_ = F.col("id").cast(id_type)
     base = F.col("fast") + logs - F.col("n_tokens") * F.lit(float(np.log10(vocab.denominator)))
     return out.select(
         id_.alias(id_col), (remainder(id_, 7) == 2).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("more", zero)).alias("n_known"),
-        F.lit(int(vocab.n)).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("model") + F.col("kinds") + logs).alias("score"),
+        F.lit(int(vocab.n)).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("model") + logs).alias("score"),
     )
 
 
