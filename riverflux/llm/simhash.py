@@ -3,14 +3,16 @@
 Two 64-bit fingerprints link at RADIUS = 3 differing bits or fewer. The 64 bits are cut into three
 blocks. Whatever the three differing bits are, some block holds at least one of them, so with that
 block deleted the rest differ in two bits at most, and the balls of half that radius (1) around both
-meet in a common variant. Each fingerprint therefore emits, for each deleted block, the rest and
-all rests with one bit flipped: 132 variants, where undivided balls would need 2 146. Variants are
-shuffled as keys, candidates that share one are deduplicated, and each is verified on all 64 bits.
+meet in a common variant. For each deleted block, each distinct rest therefore emits itself
+and all its one-bit neighbours: 132 variants in all, where undivided balls would need 2 146. Variants are
+shuffled as keys; as a variant's rests are its own one-bit neighbours, no key has more than 44 of them, however many
+fingerprints share a rest. Pairs of rests that meet are deduplicated, and then the fingerprints of
+both are compared on all 64 bits.
 
 Only distinct fingerprints are hashed, so a group of exact copies counts as one row however large.
-A variant shared by more than NEAR fingerprints sends those to an exact second way: the whole balls
-of radius 1 and 2 of only these fingerprints, joined. A vertex of that join has 65 and 2 081
-possible partners at most, so no group grows with the input.
+Where more than NEAR fingerprints share a rest, they are not compared all with all but by the same method
+within the deleted block: one emits its ball of radius 1 there, the other that of radius 2, so a
+fingerprint has 23 and 254 keys at most and no group is compared as a whole.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
-NEAR = 64
+NEAR = 32
 #: First bit and width of the three deleted blocks.
 BLOCKS = ((0, 22), (22, 21), (43, 21))
 
@@ -64,24 +66,15 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def punctured_variants(fp: Column) -> Column:
-    """For each deleted block, the other bits and all of their one-bit neighbours."""
-    steps = []
-    for j, (first, width) in enumerate(BLOCKS):
-        block = ((1 << width) - 1) << first
-        kept = ~block & ((1 << 64) - 1)
-        steps += [(kept, j << first)] + [(kept, 1 << b ^ j << first) for b in range(64) if kept >> b & 1]
-    masks = F.array(*[F.struct(F.lit(signed(k)).alias("keep"), F.lit(signed(x)).alias("flip")) for k, x in steps])
-    return F.transform(masks, lambda m: fp.bitwiseAND(m["keep"]).bitwiseXOR(m["flip"]))
+def flipped(value: Column, masks: list[int]) -> Column:
+    """Array of the value with each mask's bits flipped."""
+    return F.transform(F.array(*[F.lit(signed(x)) for x in masks]), lambda x: value.bitwiseXOR(x))
 
 
-def ball(fp: Column, radius: int) -> Column:
-    """All 64-bit values within radius (1 or 2) of fp."""
-    flips = [0] + [1 << a for a in range(64)]
-    if radius == 2:
-        flips += [1 << a | 1 << b for a in range(64) for b in range(a)]
-    flips = F.array(*[F.lit(signed(x)) for x in flips])
-    return F.transform(flips, lambda x: fp.bitwiseXOR(x))
+def ball_masks(bits: list[int], radius: int) -> list[int]:
+    """What to flip to reach all within radius (0 to 2) of a value in some of its bits."""
+    out = [0] + [1 << a for a in bits if radius]
+    return out + [1 << a | 1 << b for i, a in enumerate(bits) for b in bits[:i] if radius == 2]
 
 
 def linked(fps: DataFrame, near: int = NEAR) -> DataFrame:
@@ -89,21 +82,29 @@ def linked(fps: DataFrame, near: int = NEAR) -> DataFrame:
 
     fps: column fp, distinct longs.
     """
-    fps = fps.select("fp")
-    variants = fps.select("fp", F.explode(punctured_variants(F.col("fp"))).alias("key"))
-    w = Window.partitionBy("key").orderBy("fp")
-    size = F.count("*").over(Window.partitionBy("key"))
-    met = variants.select("fp", F.collect_list("fp").over(w.rowsBetween(-near, -1)).alias("before"), size.alias("size")).where("size > 1")
-    close = F.filter("before", lambda x: F.bit_count(x.bitwiseXOR(F.col("fp"))) <= RADIUS)
-    met = materialize(met.select("fp", close.alias("before"), (F.col("size") > near + 1).alias("crowded")).where((F.size("before") > 0) | F.col("crowded")))
-    pairs = met.select(F.explode("before").alias("a"), F.col("fp").alias("b"))
-    some = materialize(met.where("crowded").select("fp").distinct())
-    if not some.isEmpty():
-        one = some.select(F.col("fp").alias("a"), F.explode(ball(F.col("fp"), 1)).alias("key"))
-        two = some.select(F.col("fp").alias("b"), F.explode(ball(F.col("fp"), 2)).alias("key"))
-        more = one.join(two.hint("merge"), "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = pairs.unionByName(more.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS))
-    return pairs.distinct()
+    found = []
+    for first, width in BLOCKS:
+        inside, outside = list(range(first, first + width)), [b for b in range(64) if not first <= b < first + width]
+        block = F.lit(signed(sum(1 << b for b in inside)))
+        each = fps.select("fp", F.col("fp").bitwiseAND(F.bitwise_not(block)).alias("rest"))
+        counts = materialize(each.groupBy("rest").agg(F.count("*").alias("n")))
+        variants = counts.select("rest", F.explode(flipped(F.col("rest"), ball_masks(outside, 1))).alias("key"))
+        before = F.collect_list("rest").over(Window.partitionBy("key").orderBy("rest").rowsBetween(-len(outside) - 1, -1))
+        met = variants.select("rest", before.alias("before")).where(F.size("before") > 0)
+        pairs = met.select(F.explode("before").alias("r1"), F.col("rest").alias("r2")).distinct().unionByName(counts.where("n > 1").select(F.col("rest").alias("r1"), F.col("rest").alias("r2")))
+        side = lambda i: counts.select(F.col("rest").alias(f"r{i}"), F.col("n").alias(f"n{i}"))
+        pairs = materialize(pairs.join(side(1), "r1").join(side(2), "r2"))
+        ends = [each.select(F.col("rest").alias(f"r{i}"), F.col("fp").alias(c)) for i, c in ((1, "a"), (2, "b"))]
+        few = pairs.where((F.col("n1") <= near) & (F.col("n2") <= near)).select("r1", "r2")
+        some = few.join(ends[0], "r1").join(ends[1], "r2").select("a", "b")
+        dense = pairs.where((F.col("n1") > near) | (F.col("n2") > near)).select("r1", "r2")
+        if not dense.isEmpty():
+            one = dense.join(ends[0], "r1").select("r1", "r2", "a", F.explode(flipped(F.col("a").bitwiseAND(block), ball_masks(inside, 1))).alias("key"))
+            two = dense.join(ends[1], "r2").select("r1", "r2", "b", F.explode(flipped(F.col("b").bitwiseAND(block), ball_masks(inside, 2))).alias("key"))
+            some = some.unionByName(one.join(two, ["r1", "r2", "key"]).select("a", "b"))
+        some = some.where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS))
+        found.append(some.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    return found[0].unionByName(found[1]).unionByName(found[2]).distinct()
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: int = NEAR) -> DataFrame:
