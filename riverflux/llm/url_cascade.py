@@ -52,7 +52,7 @@ def keys_of(host: Column, path: Column, depths: list[int], lengths: list[int]) -
 
     found = F.when(host == "", F.array().cast("array<string>")).otherwise(let(F.split(host, r"\."), of))
     return F.transform(
-        F.array_sort(F.transform(found, lambda k: F.struct((-F.length(k)).alias("n"), F.locate("/", k).alias("h"), k.alias("k")))),
+        F.array_sort(F.transform(found, lambda k: F.struct((-F.length(k)).alias("n"), (-F.locate("/", k)).alias("h"), k.alias("k")))),
         lambda s: s["k"],
     )
 
