@@ -6,13 +6,14 @@ there lies beyond the planes between that centroid and all others, so a shard is
 planes is farther away than the link radius. With that each link's ends meet in a shard whatever the vectors are
 like. A large shard is searched in blocks of bounded size.
 
-Each block gets a flat proximity graph: near and random candidates are thinned by robust pruning (a
-candidate goes if a kept one is nearer to it by a factor than the vector itself), reverse arcs are added,
-and whatever the medoid does not reach is tied to what it does. A block's graph holds the vectors at home there;
-guests only ask. Every member of a shard is then searched in its blocks: greedily from the medoid with a
-beam, then outwards through all vectors in the range and a margin. Each piece of queries is audited against
-brute force for a part of its queries; where one of them misses links the beam is doubled, and at last the
-whole piece is compared with the whole block. Found pairs are verified by their cosine in double precision.
+Each block is cut into clusters that overlap (a vector belongs to its nearest centroids); the near candidates of a
+vector come from its cluster. Near and random candidates are thinned by robust pruning (a
+candidate goes if a kept one is nearer to it by a factor than the vector itself), the clusters' adjacency lists are
+united with their reverse arcs, and whatever the medoid does not reach is tied to what it does. A block's graph holds
+the vectors at home there; guests only ask. Every member of a shard is then searched in its blocks: greedily from the
+medoid with a beam, then outwards through all vectors in the range and a margin. Every query is audited by the exact
+product with its block: the graph's recall is reported, and what it missed is added. Found pairs are verified by
+their cosine in double precision.
 
 Equal vectors are one class with a count. Links are counted in the block and only a spanning forest of
 them leaves it, so no row count grows with the square of a group.
@@ -41,13 +42,13 @@ BLOCK, ASKED, PIECE = 6000, 1500, 500
 #: Nearest centroids whose planes are tried to rule out a shard, distances to centroids that are held at once.
 PLANES, DISTANCES = 8, 2_000_000
 DEGREE, NEAR, FAR, ALPHA = 24, 32, 16, 1.2
-BEAM, WIDEST = 32, 256
+BEAM = 32
+#: Nearest clusters of a block that a vector belongs to, and rows up to which a block is one cluster.
+OVERLAP, WHOLE = 3, 256
 #: Chords up to this many link radii are followed when a search expands.
 MARGIN = 1.5
-#: One query in so many (by rank in its piece) is audited in its block; if one is below the recall the beam grows,
-#: up to the widest, after which all of the piece is compared. So many are audited over all
-#: vectors where a caller asks for it.
-AUDIT, AUDIT_ALL, RECALL = 20, 64, 0.999
+#: Vectors that are audited over all others, across shards, where a caller asks for it.
+AUDIT_ALL = 64
 
 
 def centroids_of(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -78,17 +79,33 @@ def shards_of(x: np.ndarray, c: np.ndarray, radius: float) -> tuple[np.ndarray,
     return np.concatenate((every, rows)), np.concatenate((home, other))
 
 
+def clusters_of(x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(rows at home, all members) of each of a block's overlapping clusters; each row is at home in one."""
+    every = np.arange(len(x))
+    k = int(np.sqrt(len(x)) / 2) if len(x) > WHOLE else 1
+    if k < 2:
+        return [(every, every)]
+    c = centroids_of(x, k, 3)
+    d2 = (c * c).sum(1) - 2 * x @ c.T
+    near = np.argpartition(d2, OVERLAP, axis=1)[:, :OVERLAP] if k > OVERLAP else np.tile(np.arange(k), (len(x), 1))
+    home = np.argmin(d2, axis=1)
+    member = np.zeros((k, len(x)), dtype=bool)
+    member[near.T, every] = True
+    return [(np.nonzero(home == j)[0], np.nonzero(member[j])[0]) for j in np.unique(home)]
+
+
 def prune(x: np.ndarray, seed: int = 0) -> list[np.ndarray]:
     """Adjacency lists of a robust-pruned graph in which the medoid reaches every row of x."""
     n = len(x)
     rng = np.random.default_rng(seed)
     kept_a, kept_b = [], []
-    for at in range(0, n, 256):
-        own = np.arange(at, min(at + 256, n))
-        sims = x[own] @ x.T
-        near = np.argpartition(-sims, NEAR, axis=1)[:, : NEAR + 1] if n > NEAR + 1 else np.tile(np.arange(n), (len(own), 1))
-        cand = np.concatenate((near, rng.integers(0, n, (len(own), FAR))), axis=1)
-        d = np.sqrt(np.maximum(2 - 2 * np.take_along_axis(sims, cand, axis=1), 0))
+    for own, members in ((rows[at : at + 256], m) for rows, m in clusters_of(x) for at in range(0, len(rows), 256)):
+        sims = x[own] @ x[members].T
+        near = np.argpartition(-sims, NEAR, axis=1)[:, : NEAR + 1] if len(members) > NEAR + 1 else np.tile(np.arange(len(members)), (len(own), 1))
+        far = rng.integers(0, n, (len(own), FAR))
+        cand = np.concatenate((members[near], far), axis=1)
+        cosines = np.concatenate((np.take_along_axis(sims, near, axis=1), np.einsum("id,ijd->ij", x[own], x[far])), axis=1)
+        d = np.sqrt(np.maximum(2 - 2 * cosines, 0))
         d[cand == own[:, None]] = np.inf
         order = np.argsort(d, axis=1, kind="stable")
         cand, d = np.take_along_axis(cand, order, axis=1), np.take_along_axis(d, order, axis=1)
@@ -216,18 +233,11 @@ def searcher(cosine: float):
         ends: list[tuple[np.ndarray, np.ndarray]] = []
         for at in range(0, len(qids), PIECE):
             part_ids, y = qids[at : at + PIECE], q[at : at + PIECE]
-            audit = np.arange(0, len(part_ids), AUDIT)
-            truth = y[audit] @ x.T >= cosine
-            beam = BEAM
-            while True:
-                found = search(y, x, lists, cosine, beam) if beam <= WIDEST else y @ x.T >= cosine
-                hits = (found[audit] & truth).sum(1)
-                if (hits >= RECALL * truth.sum(1)).all() or beam > WIDEST:
-                    break
-                beam *= 2
-            all_, hit = int(truth.sum()), int(hits.sum())
-            audited[at], recalled[at] = all_, hit
-            found &= part_ids[:, None] != ids[None, :]
+            other = part_ids[:, None] != ids[None, :]
+            truth = (y @ x.T >= cosine) & other
+            found = search(y, x, lists, cosine, BEAM) & other
+            audited[at], recalled[at] = int(truth.sum()), int((found & truth).sum())
+            found |= truth
             links[at : at + PIECE] = found @ n
             a, b = np.nonzero(found)
             linked[b] = True
@@ -314,15 +324,20 @@ def link_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
     Vectors link at the cosine or above, if their labels are equal and not null and they have equally many
     components. Null, empty and zero vectors and those with null or non-finite components have no links
     and are components of their own. Ids are expected to be distinct; repeated rows link with each other
-    and share their id's component. No rows give no rows. audits: gets (links of the
+    and share their id's component. Norms of any size will do. No rows give no rows. audits: gets (links of the
     audited queries by brute force, links found) over all vectors, then in the blocks.
     """
     vec = F.col(vec_col).cast("array<double>")
-    norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda s, v: s + v * v))
-    good = F.forall(vec, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & (norm > 0) & (norm < float("inf")) & F.col(label_col).isNotNull()
-    key = F.md5(F.concat_ws(",", F.col(label_col).cast("string"), F.col(vec_col).cast("array<string>")))
-    unit = F.when(good, F.transform(vec, lambda v: v / norm))
-    all_rows = materialize(rows.select(F.col(id_col).alias("id"), F.when(good, key).alias("key"), F.concat_ws("/", F.col(label_col).cast("string"), F.size(vec_col).cast("string")).alias("grp"), unit.alias("vec")))
+    # scaled by the largest component first, so that no square overflows or vanishes
+    size = F.array_max(F.transform(vec, F.abs))
+    good = F.forall(vec, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & (size > 0) & F.col(label_col).isNotNull()
+    label = F.col(label_col).cast("string")
+    scaled = rows.select(F.col(id_col).alias("id"), label.alias("label"), F.size(vec_col).alias("length"), F.when(good, vec).alias("v"), size.alias("size"))
+    scaled = scaled.withColumn("v", F.transform("v", lambda v: v / F.col("size")))
+    scaled = scaled.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, v: s + v * v)))
+    # two hashes of label and direction: vectors of one direction are one class
+    key = F.when(F.col("v").isNotNull(), F.concat_ws("-", F.xxhash64(F.lit(1), "label", "v"), F.xxhash64(F.lit(2), "label", "v")))
+    all_rows = materialize(scaled.select("id", key.alias("key"), F.concat_ws("/", "label", F.col("length").cast("string")).alias("grp"), F.transform("v", lambda v: v / F.col("norm")).alias("vec")))
     classes = all_rows.where("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("grp").alias("grp"), F.first("vec").alias("vec"))
     classes = materialize(classes)
 
