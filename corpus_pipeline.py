@@ -20,9 +20,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose language can be told."""
-    judged = identify(docs.withColumn("__text", F.col("text")), learn_profiles(docs))
-    return judged.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    """Keeps the documents whose language can be told; the documents' own columns are as they were, whatever their names."""
+    whole = docs.select(F.struct(*docs.columns).alias("__doc"), "text")
+    judged = identify(whole, learn_profiles(docs))
+    return judged.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select("__doc.*")
 
 
 def row_key(docs: DataFrame) -> Column:
@@ -46,9 +47,15 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document with the words and copies that the mix takes of it."""
-    out = mix_sources(docs)
-    return out.withColumn("copies", F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(0))
+    """The mixed corpus: each document as many times as the mix takes it, so not at all where it takes none.
+
+    The columns of documents, and size, source_size, target and taken as the mix reports them (taken: words of all
+    copies of the document), copies, and copy, which counts them from 1. Columns of these names are replaced."""
+    out = mix_sources(docs, keep=tuple(docs.columns))
+    out = out.withColumn("copies", F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int"))
+    report = ["size", "source_size", "target", "taken", "copies"]
+    own = [c for c in docs.columns if c not in (*report, "copy")]
+    return out.where("copies > 0").select(*own, *report, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
 
 
 STAGES = [
