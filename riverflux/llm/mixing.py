@@ -70,7 +70,7 @@ def expected_copies(classes: DataFrame, targets: DataFrame, most: int = MOST_COP
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of docs: id, source, size, source_size, target and taken (words, repeats counted), and the
-    columns named in keep.
+    columns named in keep, but for those that are called like one of these.
 
     A null source is a source of its own, the last. Null, empty and blank texts have size 0 and
     taken 0. Rows without an id rank by their text. Rows with one id in one source and of one size rank alike; rows
@@ -117,7 +117,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     each = F.explode(F.sequence(F.col("chunk") * CHUNK + 1, F.least(F.col("n"), (F.col("chunk") + 1) * CHUNK)))
     last = last.withColumn("copy", each).select(*result, (F.col("copy") <= F.col("fit")).cast("long").alias("more"))
     taken = F.col("size") * F.least(F.col("copies") + F.col("more"), F.lit(MOST_COPIES))
-    return sure.unionByName(last).select(F.col("id").alias(id_col), "source", "size", "source_size", "target", taken.alias("taken"), *[F.col(f"kept.{c}").alias(c) for c in keep if c not in (id_col, source_col)])
+    return sure.unionByName(last).select(F.col("id").alias(id_col), "source", "size", "source_size", "target", taken.alias("taken"), *[F.col("kept")[c].alias(c) for c in keep if c not in (id_col, source_col, "size", "source_size", "target", "taken")])
 
 
 def op5_pareto_mix(spark, sf_dir: str) -> DataFrame:

@@ -657,10 +657,29 @@ def test_pipeline_stages(spark, sf):
     groups = simhash.simhash_groups(kept)
     assert groups.select("component_id").distinct().count() == kept.count()
     out = P.STAGES[-1][1](spark, kept, sf)
-    assert out.count() == kept.count() and out.where("taken > 2 * size").count() == 0
+    taken = out.agg(F.sum("size")).first()[0]
+    assert abs(taken - sum(r.target for r in out.select("source", "target").distinct().collect())) < 0.01 * taken and out.where("copies > 2 or copy > copies").count() == 0
+    assert set(docs.columns) < set(out.columns) and out.join(kept, "doc_id", "left_anti").count() == 0
     assert kept.count() >= 0.8 * docs.count()
 
 
+def test_pipeline_keeps_columns_of_any_name_and_takes_empty_tables(spark, tmp_path):
+    import corpus_pipeline as P
+
+    spark.createDataFrame([(1, " ".join(f"frage{i}" for i in range(15)))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 0), (2, 1), (3, None), (None, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    names = "doc_id text lang source n_chars score lang_pred key id fp w kept size taken copy order".split()
+    schema = ", ".join(f"{n} {'string' if n in ('text', 'lang', 'source') else 'long'}" for n in names)
+    rows = [(i, " ".join(f"{'abcdef'[i]}wort{k}" for k in range(30)), "de", "ab"[i % 2], *range(12)) for i in range(6)]
+    for data in (rows, []):
+        docs = spark.createDataFrame(data, schema)
+        for name, stage in P.STAGES[:-1]:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == sorted(data), name
+        out = P.mixing(spark, docs, str(tmp_path))
+        assert {tuple(r[c] for c in names if c not in ("size", "taken", "copy")) for r in out.collect()} <= {tuple(v for c, v in zip(names, r) if c not in ("size", "taken", "copy")) for r in data}
+
+
 def test_pipeline_tells_rows_apart_by_id_and_text(spark, tmp_path):
     import corpus_pipeline as P
 
