@@ -44,10 +44,19 @@ def assess(profiles: DataFrame, models: Models) -> DataFrame:
     return out.withColumns({"risk_level": risk, "high_confidence": sure, "travel_hours": hours, "anomaly_text": F.when(F.col("is_anomaly"), clusters.describe_anomaly(models.z))})
 
 
-def as_predictions(assessed: DataFrame, station: int = 1) -> DataFrame:
-    """Rows of the predictions table, but for the forecasts, which samples of the hour add."""
-    none = F.lit(None).cast("double")
-    return assessed.select(
+def as_predictions(assessed: DataFrame, forecasts: DataFrame, station: int = 1) -> DataFrame:
+    """Rows of the predictions table; forecasts as series.daily_forecasts gives them, null for days without one."""
+    rows = assessed.join(forecasts, F.col("day") == F.col("for_date"), "left")
+    return rows.select(
         F.lit(station).alias("station_id"), F.col("day").alias("for_date"), F.col("day").cast("timestamp_ntz").alias("predicted_at"), "risk_level", "p_normal", "p_erhoht", "p_gefahr",
-        none.alias("level_6h_cm"), none.alias("level_12h_cm"), none.alias("level_24h_cm"), "travel_hours", "is_anomaly", "dbscan_cluster", "high_confidence",
+        "level_6h_cm", "level_12h_cm", "level_24h_cm", "travel_hours", "is_anomaly", "dbscan_cluster", "high_confidence",
     )
+
+
+def model_comparison(assessed: DataFrame) -> DataFrame:
+    """day, model, p_normal, p_erhoht, p_gefahr: each model's own probabilities (a cluster's risk has 1)."""
+    one = lambda risk: F.when(F.col("km_risk") == risk, 1.0).otherwise(0.0)
+    models = {"naive_bayes": ["p_normal", "p_erhoht", "p_gefahr"], "bayes_net": ["bn_normal", "bn_erhoht", "bn_gefahr"]}
+    rows = [F.struct(F.lit(m).alias("model"), *[F.col(c).alias(n) for c, n in zip(cols, models["naive_bayes"])]) for m, cols in models.items()]
+    rows.append(F.struct(F.lit("kmeans").alias("model"), one("NORMAL").alias("p_normal"), one("ERHOHT").alias("p_erhoht"), one("GEFAHR").alias("p_gefahr")))
+    return assessed.select("day", F.explode(F.array(*rows)).alias("x")).select("day", "x.*")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riverflux.functions.risk import FEATURES, RAIN_BINS, RISKS, SEASONS, SOILS, UPSTREAM_BINS, rain_bin, season, soil_moisture, upstream_bin
+from riverflux.scratch import written
 
 LEAST_VARIANCE = 1e-9
 ALPHA = 1.0
@@ -54,15 +55,25 @@ def folds(profiles: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
     return profiles.withColumn("fold", F.ntile(k).over(Window.orderBy(order, "day")))
 
 
-def cross_validate(profiles: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
-    """3 x 3 confusion counts of naive Bayes, all folds trained in one aggregation."""
-    dealt = folds(profiles, k, seed)
+def held_out(profiles: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
+    """day, label, fold, nb_risk: each profile scored by the model of the other folds, all trained in one aggregation."""
+    dealt = written(folds(profiles, k, seed))
     train = dealt.withColumn("out", F.explode(F.array_remove(F.sequence(F.lit(1), F.lit(k)), F.col("fold")))).drop("fold").withColumnRenamed("out", "fold")
-    predicted = nb_score(dealt, nb_fit(train, ["fold"]), ["day", "label"], ["fold"])
-    counts = predicted.groupBy(F.col("label").alias("actual"), F.col("nb_risk").alias("predicted")).agg(F.count("*").alias("n"))
+    return nb_score(dealt, nb_fit(train, ["fold"]), ["day", "label", "fold"], ["fold"])
+
+
+def cross_validate(profiles: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
+    """3 x 3 confusion counts of naive Bayes."""
+    counts = held_out(profiles, k, seed).groupBy(F.col("label").alias("actual"), F.col("nb_risk").alias("predicted")).agg(F.count("*").alias("n"))
     return domain(profiles.sparkSession, actual=RISKS, predicted=RISKS).join(counts, ["actual", "predicted"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
 
 
+def fold_accuracy(profiles: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
+    """fold, n, accuracy of each fold, and of all as fold 0."""
+    right = F.avg((F.col("label") == F.col("nb_risk")).cast("double")).alias("accuracy")
+    return held_out(profiles, k, seed).rollup("fold").agg(F.count("*").alias("n"), right).withColumn("fold", F.coalesce("fold", F.lit(0)))
+
+
 def precision_recall(confusion: DataFrame) -> DataFrame:
     """Per risk, 0 where nothing was predicted or nothing was there."""
     rows = confusion.select(F.explode(F.array(F.struct(F.col("actual").alias("label"), F.lit(True).alias("is_actual"), "actual", "predicted", "n"), F.struct(F.col("predicted").alias("label"), F.lit(False).alias("is_actual"), "actual", "predicted", "n"))).alias("x")).select("x.*")

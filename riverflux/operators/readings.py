@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from datetime import date, timedelta
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from riverflux.functions.risk import BERLIN, local_day, parse_label
 
 
+#: Bytes, as Spark estimates them, up to which a whole table may be ordered in one task per station.
+WHOLE = 256 << 20
+
+
 def with_context(df: DataFrame, keys: list[str], order: str, span: Column, n: int) -> DataFrame:
     """df with span and carried: each span of a key also gets the n rows before it, marked as carried.
 
@@ -24,10 +30,20 @@ def with_context(df: DataFrame, keys: list[str], order: str, span: Column, n: in
     return rows.withColumn("carried", F.lit(False)).unionByName(carried)
 
 
+def in_order(readings: DataFrame, n: int) -> tuple[DataFrame, WindowSpec]:
+    """The readings and a window in which each row sees the n rows of its station before it.
+
+    A small table is ordered by station, with one shuffle. A larger one is cut into months with the rows before them
+    as context, marked as carried, so that no task holds a station's whole history."""
+    size = int(readings._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size <= WHOLE:
+        return readings.withColumn("carried", F.lit(False)), Window.partitionBy("station_id").orderBy("measured_at")
+    return with_context(readings, ["station_id"], "measured_at", F.trunc("measured_at", "month"), n), Window.partitionBy("station_id", "span").orderBy("measured_at")
+
+
 def level_analysis(levels: DataFrame) -> DataFrame:
     """Each reading with the mean of the last 7 readings of its station and the signed change."""
-    rows = with_context(levels.select("station_id", "measured_at", "level_cm"), ["station_id"], "measured_at", F.to_date("measured_at"), 6)
-    w = Window.partitionBy("station_id", "span").orderBy("measured_at")
+    rows, w = in_order(levels.select("station_id", "measured_at", "level_cm"), 6)
     out = rows.withColumns({"avg_7h": F.avg("level_cm").over(w.rowsBetween(-6, 0)), "rate_cm_h": F.col("level_cm") - F.lag("level_cm").over(w)})
     return out.where("not carried").select("station_id", "measured_at", "level_cm", "avg_7h", "rate_cm_h")
 
@@ -37,9 +53,9 @@ def absolute_rates(levels: DataFrame, start: str, end: str, stations: list[int]
     rows = levels.where((F.col("measured_at") >= F.lit(start).cast("timestamp_ntz")) & (F.col("measured_at") < F.lit(end).cast("timestamp_ntz")))
     if stations:
         rows = rows.where(F.col("station_id").isin(stations))
-    rows = with_context(rows.select("station_id", "measured_at", "level_cm"), ["station_id"], "measured_at", local_day(F.col("measured_at"), tz), 1)
-    rate = F.abs(F.col("level_cm") - F.lag("level_cm").over(Window.partitionBy("station_id", "span").orderBy("measured_at")))
-    return rows.withColumn("rate_cm_h", rate).where("not carried").select(F.col("span").alias("day"), "station_id", "measured_at", "level_cm", "rate_cm_h")
+    rows, w = in_order(rows.select("station_id", "measured_at", "level_cm"), 1)
+    out = rows.withColumns({"day": local_day(F.col("measured_at"), tz), "rate_cm_h": F.abs(F.col("level_cm") - F.lag("level_cm").over(w))})
+    return out.where("not carried").select("day", "station_id", "measured_at", "level_cm", "rate_cm_h")
 
 
 def daily_levels(rates: DataFrame) -> DataFrame:
@@ -80,7 +96,7 @@ def labelled(profiles: DataFrame) -> DataFrame:
 def profile_for_date(levels: DataFrame, rain: DataFrame, events: DataFrame, day: str, station: int = 1, upstream: int = 3, tz: str = BERLIN) -> DataFrame:
     """The profile of one day, without a label; its readings only, so the day's first has no rate."""
     end = f"{day} 00:00:00"
-    after = levels.sparkSession.sql("SELECT CAST(date_add(CAST(:d AS DATE), 1) AS STRING) AS d", {"d": day}).first().d
+    after = date.fromisoformat(day) + timedelta(1)
     return daily_profiles(levels, rain, events, end, f"{after} 00:00:00", station, upstream, tz).withColumn("label", F.lit(None).cast("string")).orderBy("day").limit(1)
 
 
@@ -95,17 +111,23 @@ def aligned(levels: DataFrame, upstream: int = 3, downstream: int = 1) -> DataFr
     return rows.withColumn("i", (F.row_number().over(Window.orderBy("hour")) - 1).cast("long"))
 
 
-def regression_samples(levels: DataFrame, rain: DataFrame, station: int = 1, upstream: int = 3) -> DataFrame:
-    """Features at hour t and the levels 6, 12 and 24 hours later; joined on the time, so gaps drop out."""
+def hour_features(levels: DataFrame, rain: DataFrame, station: int = 1, upstream: int = 3) -> DataFrame:
+    """Level, its change, upstream level and rain of the last 24 hours at each hour; joined on the time, so gaps drop out."""
     h = hourly(levels)
     main = h.where(F.col("station_id") == station).select("hour", "level_cm")
-    shift = lambda df, hours, name: df.select((F.col("hour") - F.expr(f"INTERVAL {hours} HOURS")).alias("hour"), F.col("level_cm").alias(name))
     before = main.select((F.col("hour") + F.expr("INTERVAL 1 HOURS")).alias("hour"), F.col("level_cm").alias("before"))
     up = h.where(F.col("station_id") == upstream).select("hour", F.col("level_cm").alias("upstream_cm"))
     wet = rain.groupBy(F.date_trunc("hour", "measured_at").cast("timestamp_ntz").alias("h")).agg(F.sum("rainfall_mm").alias("mm"))
     # each hour's rain counts for itself and the 23 hours after it
     day_rain = wet.select(F.explode(F.sequence(F.col("h"), F.col("h") + F.expr("INTERVAL 23 HOURS"), F.expr("INTERVAL 1 HOUR"))).alias("hour"), "mm").groupBy("hour").agg(F.sum("mm").alias("precip_mm"))
     out = main.join(before, "hour").join(up, "hour").join(day_rain, "hour", "left")
+    return out.select("hour", "level_cm", (F.col("level_cm") - F.col("before")).alias("rate_cm_h"), "upstream_cm", F.coalesce("precip_mm", F.lit(0.0)).alias("precip_mm"))
+
+
+def regression_samples(levels: DataFrame, rain: DataFrame, station: int = 1, upstream: int = 3) -> DataFrame:
+    """The features of hour t and the levels 6, 12 and 24 hours later."""
+    main = hourly(levels).where(F.col("station_id") == station)
+    out = hour_features(levels, rain, station, upstream)
     for hours in (6, 12, 24):
-        out = out.join(shift(main, hours, f"target_{hours}h"), "hour")
-    return out.select("hour", "level_cm", (F.col("level_cm") - F.col("before")).alias("rate_cm_h"), "upstream_cm", F.coalesce("precip_mm", F.lit(0.0)).alias("precip_mm"), "target_6h", "target_12h", "target_24h")
+        out = out.join(main.select((F.col("hour") - F.expr(f"INTERVAL {hours} HOURS")).alias("hour"), F.col("level_cm").alias(f"target_{hours}h")), "hour")
+    return out

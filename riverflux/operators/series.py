@@ -86,7 +86,9 @@ def regression_fit(samples: DataFrame) -> dict[int, list[float]]:
             a[r.i, r.j] = a[r.j, r.i] = r.v or 0.0
         else:
             b[r.i, r.j - 7] = r.v or 0.0
-    w = np.linalg.pinv(a, rcond=1e-12) @ b
+    scale = np.sqrt(np.diag(a))  # columns of equal length, so that no unit decides what counts as without information
+    scale[scale == 0] = 1
+    w = np.linalg.pinv(a / np.outer(scale, scale), rcond=1e-12) @ (b / scale[:, None]) / scale[:, None]
     return {h: w[:, k].tolist() for k, h in enumerate(HORIZONS)}
 
 
@@ -98,6 +100,13 @@ def regression_predict(samples: DataFrame, weights: dict[int, list[float]]) -> D
     return out.drop("x")
 
 
+def daily_forecasts(features: DataFrame, samples: DataFrame, day: Column) -> DataFrame:
+    """for_date and the levels expected 6, 12 and 24 hours after the day's last hour, by the regression on samples."""
+    levels = [f"level_{h}h_cm" for h in HORIZONS]
+    rows = regression_predict(features, regression_fit(samples)).groupBy(day.alias("for_date")).agg(F.max_by(F.struct(*levels), "hour").alias("x"))
+    return rows.select("for_date", *[f"x.{c}" for c in levels])
+
+
 def rmse(predicted: DataFrame) -> DataFrame:
     rows = [F.struct(F.lit(h).alias("horizon"), F.sqrt(F.avg(F.pow(F.col(f"level_{h}h_cm") - F.col(f"target_{h}h"), 2))).alias("rmse")) for h in HORIZONS]
     return predicted.agg(F.array(*rows).alias("r")).select(F.explode("r").alias("r")).select("r.*")

@@ -12,6 +12,7 @@ from riverflux.operators import assess as A
 from riverflux.operators import bayes, clusters, series, storage
 from riverflux.operators import readings as G
 from riverflux.schemas import stations
+from riverflux.scratch import table_path, written
 from riverflux.sources import adapters as S
 from riverflux.sources import gauge_pages as P
 
@@ -43,7 +44,7 @@ lags AS (SELECT CAST(l.lag AS INTEGER) AS lag, a.i AS i, a.up AS up, b.down AS d
 LABEL_SQL = "CASE WHEN lower(trim({0})) IN ('erhoht', 'erhöht') THEN 'ERHOHT' WHEN lower(trim({0})) IN ('kritisch', 'gefahr') THEN 'GEFAHR' ELSE 'NORMAL' END"
 LONG_CTES = f"""
 lwater AS (SELECT CAST(1 + o_custkey % 4 AS INTEGER) AS station_id, o_orderdate + to_hours(CAST(o_orderkey % 24 AS INTEGER)) AS measured_at, max(o_totalprice) / 1000 AS level_cm FROM orders GROUP BY 1, 2),
-lrain AS (SELECT l_shipdate + to_hours(CAST(l_orderkey % 24 AS INTEGER)) AS measured_at, CAST(1 + l_suppkey % 4 AS INTEGER) AS station_id, max(l_quantity) / 4.0 AS rainfall_mm FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 7 = 0 GROUP BY 1, 2),
+lrain AS (SELECT l_shipdate + to_hours(CAST(l_orderkey % 24 AS INTEGER)) AS measured_at, CAST(1 + l_suppkey % 4 AS INTEGER) AS station_id, greatest(arg_max(CAST(l_quantity AS DOUBLE), l_orderkey * 10 + l_linenumber) - 46, 0) * 1.5 AS rainfall_mm FROM lineitem GROUP BY 1, 2),
 lfloods AS (SELECT CAST(s AS DATE) AS start_date, CAST(e AS DATE) AS end_date, category FROM (VALUES ('1995-03-01','1995-03-20','kritisch'),('1996-07-10','1996-07-25','gefahr'),('1997-11-01','1997-11-15','kritisch'),
   ('1995-08-01','1995-08-31','erhoht'),('1998-01-10','1998-01-31','Erhöht'),('1999-05-01','1999-05-20','erhoht')) v(s, e, category)),
 lrates AS (SELECT {DAY_SQL.format('measured_at')} AS day, station_id, level_cm, abs(level_cm - lag(level_cm) OVER (PARTITION BY station_id ORDER BY measured_at)) AS rate FROM lwater
@@ -66,6 +67,29 @@ cpt_risk AS (SELECT upstream, soil, risk, (n + 1.0::DOUBLE) / (sum(n) OVER (PART
 joint AS (SELECT lp.day AS day, lp.label AS label, nb.o AS o, any_value(ln(prior)) + sum(-0.5 * ln(2 * pi() * greatest(var, 1e-9)) - (x - mean) * (x - mean) / (2 * greatest(var, 1e-9))) AS j FROM feats lp JOIN nb ON nb.feature = lp.feature GROUP BY 1, 2, 3)
 """
 
+SAMPLES_SQL = """, fx AS MATERIALIZED (SELECT a.hour AS hour, 1.0::DOUBLE AS x0, a.level_cm AS x1, a.level_cm - p.level_cm AS x2, u.level_cm AS x3,
+  coalesce((SELECT sum(rainfall_mm) FROM rain WHERE date_trunc('hour', measured_at) BETWEEN a.hour - INTERVAL 23 HOURS AND a.hour), 0) AS x4, sin(2 * pi() * dayofyear(a.hour) / 365) AS x5, cos(2 * pi() * dayofyear(a.hour) / 365) AS x6
+  FROM hours a JOIN hours p ON p.station_id = 1 AND p.hour = a.hour - INTERVAL 1 HOUR JOIN hours u ON u.station_id = 3 AND u.hour = a.hour WHERE a.station_id = 1),
+samples AS MATERIALIZED (SELECT fx.*, b.level_cm AS x7, c.level_cm AS x8, e.level_cm AS x9 FROM fx JOIN hours b ON b.station_id = 1 AND b.hour = fx.hour + INTERVAL 6 HOURS
+  JOIN hours c ON c.station_id = 1 AND c.hour = fx.hour + INTERVAL 12 HOURS JOIN hours e ON e.station_id = 1 AND e.hour = fx.hour + INTERVAL 24 HOURS),
+flat AS MATERIALIZED (UNPIVOT samples ON x0, x1, x2, x3, x4, x5, x6, x7, x8, x9 INTO NAME k VALUE v)
+"""
+
+
+def elimination_sql(n: int = 7) -> str:
+    """The normal equations solved by elimination, a step in each table, and the forecasts of all hours."""
+    steps = [", m0 AS MATERIALIZED (SELECT CAST(substr(a.k, 2) AS INTEGER) AS i, CAST(substr(b.k, 2) AS INTEGER) AS j, sum(a.v * b.v) AS v FROM flat a JOIN flat b ON a.hour = b.hour WHERE a.k < 'x7' GROUP BY 1, 2)"]
+    for k in range(n):
+        value = f"CASE WHEN a.i = {k} THEN a.v / p.v ELSE a.v - c.v * r.v / p.v END"
+        steps.append(f"m{k + 1} AS MATERIALIZED (SELECT a.i AS i, a.j AS j, {value} AS v FROM m{k} a JOIN m{k} p ON p.i = {k} AND p.j = {k} JOIN m{k} c ON c.i = a.i AND c.j = {k} JOIN m{k} r ON r.i = {k} AND r.j = a.j)")
+    level = lambda t: "greatest(0, " + " + ".join(f"x{i} * (SELECT v FROM m{n} WHERE i = {i} AND j = {n + t})" for i in range(n)) + ")"
+    steps.append(f"fc AS MATERIALIZED (SELECT hour, {level(0)} AS level_6h_cm, {level(1)} AS level_12h_cm, {level(2)} AS level_24h_cm FROM fx)")
+    steps.append(f"fday AS (SELECT {DAY_SQL.format('hour')} AS for_date, {', '.join(f'arg_max(level_{h}h_cm, hour) AS level_{h}h_cm' for h in (6, 12, 24))} FROM fc GROUP BY 1)")
+    return ",\n".join(steps)
+
+
+REGRESSION_SQL = CTES + SAMPLES_SQL + elimination_sql()
+
 
 #: Date columns of the results, which are given as text: engines hand out dates in different types.
 DATES = {
@@ -108,6 +132,11 @@ def long_profiles(spark, sf) -> DataFrame:
     return G.labelled(G.daily_profiles(S.water_levels_long(spark, sf), S.precipitation_long(spark, sf), S.long_events(spark), LONG_START, LONG_END))
 
 
+def once(spark, sf) -> DataFrame:
+    """The long profiles as a table, for queries that fit and score them: the readings are read once."""
+    return written(long_profiles(spark, sf))
+
+
 def pairs(spark, sf) -> DataFrame:
     return G.aligned(S.water_levels(spark, sf))
 
@@ -203,7 +232,12 @@ def upstream_pivot(s, d, as_of: str = AS_OF, days: int = 14):
     return rows.agg(F.max(F.when((F.col("country") == "DE") & (F.col("station_id") == 1), F.col("level_cm"))).alias("goerlitz_cm"), F.max(F.when(F.col("country") == "CZ", F.col("level_cm"))).alias("hradek_cm")).orderBy("time")
 
 
-query("upstream_complete", f"SELECT * FROM ({COMPARE_SQL}) WHERE goerlitz_cm IS NOT NULL AND hradek_cm IS NOT NULL")(lambda s, d: upstream_pivot(s, d).dropna())
+@query("upstream_complete", f"SELECT * FROM (SELECT {BERLIN_SQL.format('hour')} AS time, round(max(level_cm) FILTER (station_id = 1), 6) AS goerlitz_cm, round(max(level_cm) FILTER (station_id = 3), 6) AS hradek_cm FROM hours WHERE hour > TIMESTAMP '{AS_OF}' - INTERVAL 14 DAYS AND hour <= TIMESTAMP '{AS_OF}' GROUP BY 1) WHERE goerlitz_cm IS NOT NULL AND hradek_cm IS NOT NULL")
+def upstream_complete(s, d, as_of: str = AS_OF, days: int = 14):
+    """Hours for which both gauges have readings; single readings of both rarely fall on one second."""
+    rows = G.hourly(S.water_levels(s, d)).where((F.col("hour") > ntz(as_of) - F.expr(f"INTERVAL {days} DAYS")) & (F.col("hour") <= ntz(as_of)) & F.col("station_id").isin(1, 3))
+    level = lambda station: F.max(F.when(F.col("station_id") == station, F.col("level_cm")))
+    return rounded(rows.groupBy(R.local_time(F.col("hour")).alias("time")).agg(level(1).alias("goerlitz_cm"), level(3).alias("hradek_cm")).dropna().orderBy("time"))
 
 
 @query("upstream_self_join", "SELECT m.day AS day, round(m.max_level_cm, 6) AS max_level_cm, round(coalesce(u.max_level_cm, 0), 6) AS upstream_max_cm FROM daily m LEFT JOIN daily u ON u.day = m.day AND u.station_id = 3 WHERE m.station_id = 1")
@@ -233,7 +267,7 @@ Z_SQL = "z AS (SELECT row_number() OVER (ORDER BY day, label NULLS FIRST) AS id,
 
 @query("eps_neighbour_counts", "SELECT x.day AS day, count(*) AS n_near FROM z x, z y WHERE sqrt((x.a-y.a)**2 + (x.b-y.b)**2 + (x.c-y.c)**2 + (x.d-y.d)**2 + (x.e-y.e)**2) <= 1.0 GROUP BY x.day, x.id", LONG_CTES + ", " + Z_SQL)
 def eps_neighbour_counts(s, d):
-    rows = long_profiles(s, d)
+    rows = once(s, d)
     z = clusters.z_scored(rows.withColumn("id", F.row_number().over(Window.orderBy("day", "label"))), clusters.z_params(rows))
     near = clusters.neighbours(z.select("id", "z"), 1.0).groupBy("a").agg(F.count("*").alias("n_near"))
     return near.join(z.select(F.col("id").alias("a"), "day"), "a").select("day", "n_near")
@@ -258,11 +292,15 @@ def profile_for_date(s, d):
 
 # ---- storage
 
-@query("upsert_water_levels", f"SELECT station_id, measured_at, CASE WHEN measured_at >= TIMESTAMP '{AS_OF}' THEN level_cm + 5 ELSE level_cm END AS level_cm, source FROM water")
+@query("upsert_water_levels", f"SELECT station_id, measured_at, CASE WHEN measured_at >= TIMESTAMP '{AS_OF}' THEN level_cm + 7 ELSE level_cm END AS level_cm, source FROM water UNION ALL SELECT station_id, measured_at + INTERVAL 1000 HOURS, level_cm + 7, 'late' FROM water WHERE measured_at >= TIMESTAMP '{AS_OF}'")
 def upsert_levels(s, d):
+    """A batch of known and new keys, each twice: the last level and, for new keys, the first source stay."""
     old = S.water_levels(s, d)
-    batch = old.where(F.col("measured_at") >= ntz(AS_OF)).select("station_id", "measured_at", (F.col("level_cm") + 5).alias("level_cm"), F.lit("late").alias("source"))
-    return storage.upsert(old, batch, ["station_id", "measured_at"], ["level_cm"])
+    known = old.where(F.col("measured_at") >= ntz(AS_OF))
+    new = known.unionByName(known.withColumn("measured_at", F.col("measured_at") + F.expr("INTERVAL 1000 HOURS")))
+    twice = F.explode(F.array(F.struct(F.lit(1).alias("n"), F.lit(5.0).alias("more"), F.lit("late").alias("source")), F.struct(F.lit(2).alias("n"), F.lit(7.0).alias("more"), F.lit("later").alias("source"))))
+    batch = new.select("station_id", "measured_at", "level_cm", twice.alias("x")).select("station_id", "measured_at", (F.col("level_cm") + F.col("x.more")).alias("level_cm"), "x.source", "x.n")
+    return storage.upsert(old, batch, ["station_id", "measured_at"], ["level_cm"], "n")
 
 
 @query("upsert_precipitation", f"SELECT station_id, measured_at, CASE WHEN measured_at >= TIMESTAMP '{AS_OF}' THEN rainfall_mm * 2 ELSE rainfall_mm END AS rainfall_mm FROM rain")
@@ -272,27 +310,45 @@ def upsert_rain(s, d):
     return storage.upsert(old, batch, ["station_id", "measured_at"], ["rainfall_mm"])
 
 
-query("reload_flood_events", "SELECT * FROM floods")(lambda s, d: S.short_events(s).select("start_date", "end_date", "peak_level_cm", "category"))
-query("pk_violations", "SELECT station_id, count(*) AS n FROM water GROUP BY 1 HAVING count(*) > 1")(lambda s, d: storage.key_violations(S.water_levels(s, d), ["station_id"]))
+
+
+@query("reload_flood_events", "SELECT * FROM floods")
+def reload_flood_events(s, d):
+    rows = S.short_events(s).select("start_date", "end_date", "peak_level_cm", "category")
+    path = table_path(s)
+    storage.reload(rows.limit(2), path)
+    storage.reload(rows, path)  # the second load replaces the first
+    return s.read.schema(rows.schema).parquet(path)
+
+
+query("pk_violations", f"SELECT station_id, measured_at, count(*) AS n FROM (SELECT * FROM water UNION ALL SELECT * FROM water WHERE measured_at >= TIMESTAMP '{AS_OF}') GROUP BY 1, 2 HAVING count(*) > 1")(
+    lambda s, d: storage.key_violations(S.water_levels(s, d).unionByName(S.water_levels(s, d).where(F.col("measured_at") >= ntz(AS_OF))), ["station_id", "measured_at"])
+)
 query("fk_violations", "SELECT station_id, count(*) AS n FROM water WHERE station_id NOT IN (1, 2, 3) GROUP BY 1")(lambda s, d: storage.orphan_rows(S.water_levels(s, d), stations(s).where("station_id < 4"), "station_id").groupBy("station_id").agg(F.count("*").alias("n")))
 query("null_counts", "SELECT count(*) FILTER (end_date IS NULL) AS end_date, count(*) FILTER (start_date IS NULL) AS start_date FROM floods")(lambda s, d: storage.null_counts(S.short_events(s), ["start_date", "end_date"]))
 
 # ---- dashboard
 
-PREDICTIONS_SQL = "preds AS (SELECT day AS for_date, CASE WHEN max_level_cm >= 350 THEN 'GEFAHR' WHEN max_level_cm >= 200 THEN 'ERHOHT' ELSE 'NORMAL' END AS risk_level, max_level_cm + 6 AS level_6h_cm, max_level_cm + 12 AS level_12h_cm, max_level_cm + 24 AS level_24h_cm FROM (SELECT DISTINCT day, max_level_cm FROM profiles))"
+PREDICTIONS_SQL = ", preds AS (SELECT day AS for_date, CASE WHEN max_level_cm >= 350 THEN 'GEFAHR' WHEN max_level_cm >= 200 THEN 'ERHOHT' ELSE 'NORMAL' END AS risk_level, level_6h_cm, level_12h_cm, level_24h_cm FROM (SELECT DISTINCT day, max_level_cm FROM profiles) p LEFT JOIN fday ON fday.for_date = p.day)"
+
+
+def forecasts(s, d) -> DataFrame:
+    levels, rain = S.water_levels(s, d), S.precipitation(s, d)
+    return series.daily_forecasts(G.hour_features(levels, rain), G.regression_samples(levels, rain), R.local_day(F.col("hour")))
 
 
-def threshold_predictions(s, d) -> DataFrame:
+def stage_predictions(s, d) -> DataFrame:
+    """Each day's alarm stage as its risk, and the regression's forecasts from its last hour."""
     level = F.col("max_level_cm")
     rows = profiles(s, d).select("day", "max_level_cm").distinct()
     risk = F.when(level >= R.STAGES["stage_3"], "GEFAHR").when(level >= R.STAGES["stage_1"], "ERHOHT").otherwise("NORMAL")
-    return rows.select(F.col("day").alias("for_date"), risk.alias("risk_level"), *[(level + h).alias(f"level_{h}h_cm") for h in (6, 12, 24)])
+    return rows.join(forecasts(s, d), F.col("day") == F.col("for_date"), "left").select(F.col("day").alias("for_date"), risk.alias("risk_level"), *[f"level_{h}h_cm" for h in (6, 12, 24)])
 
 
-query("latest_prediction", "SELECT for_date, risk_level, round(level_24h_cm, 6) AS level_24h_cm FROM preds WHERE for_date = DATE '2024-01-29'", CTES + ", " + PREDICTIONS_SQL)(lambda s, d: rounded(threshold_predictions(s, d).where("for_date = date'2024-01-29'").orderBy(F.desc("for_date")).limit(1).select("for_date", "risk_level", "level_24h_cm")))
-query("forecast_series", "SELECT for_date, risk_level, round(level_6h_cm, 6) AS level_6h_cm FROM preds WHERE for_date >= DATE '2024-01-29' - 7", CTES + ", " + PREDICTIONS_SQL)(lambda s, d: rounded(threshold_predictions(s, d).where("for_date >= date_sub(date'2024-01-29', 7)").select("for_date", "risk_level", "level_6h_cm").orderBy("for_date")))
-query("forecast_unpivot", "SELECT CAST(for_date AS TIMESTAMP) + to_hours(h) AS time, round(v, 6) AS level_cm FROM (SELECT for_date, unnest([6, 12, 24]) AS h, unnest([level_6h_cm, level_12h_cm, level_24h_cm]) AS v FROM preds)", CTES + ", " + PREDICTIONS_SQL)(
-    lambda s, d: rounded(threshold_predictions(s, d).selectExpr("for_date", "stack(3, 6, level_6h_cm, 12, level_12h_cm, 24, level_24h_cm) as (h, v)").selectExpr("cast(for_date as timestamp_ntz) + make_dt_interval(0, h) as time", "v as level_cm"))
+query("latest_prediction", "SELECT for_date, risk_level, round(level_24h_cm, 3) AS level_24h_cm FROM preds WHERE for_date = DATE '2024-01-29'", REGRESSION_SQL + PREDICTIONS_SQL)(lambda s, d: rounded(stage_predictions(s, d).where("for_date <= date'2024-01-29'").orderBy(F.desc("for_date")).limit(1).select("for_date", "risk_level", "level_24h_cm"), 3))
+query("forecast_series", "SELECT for_date, risk_level, round(level_6h_cm, 3) AS level_6h_cm FROM preds WHERE for_date >= DATE '2024-01-29' - 7", REGRESSION_SQL + PREDICTIONS_SQL)(lambda s, d: rounded(stage_predictions(s, d).where("for_date >= date_sub(date'2024-01-29', 7)").select("for_date", "risk_level", "level_6h_cm").orderBy("for_date"), 3))
+query("forecast_unpivot", "SELECT CAST(for_date AS TIMESTAMP) + to_hours(h) AS time, round(v, 3) AS level_cm FROM (SELECT for_date, unnest([6, 12, 24]) AS h, unnest([level_6h_cm, level_12h_cm, level_24h_cm]) AS v FROM preds)", REGRESSION_SQL + PREDICTIONS_SQL)(
+    lambda s, d: rounded(stage_predictions(s, d).selectExpr("for_date", "stack(3, 6, level_6h_cm, 12, level_12h_cm, 24, level_24h_cm) as (h, v)").selectExpr("cast(for_date as timestamp_ntz) + make_dt_interval(0, h) as time", "v as level_cm"), 3)
 )
 query("flood_events_safe", "SELECT start_date, end_date, coalesce(end_date, start_date + 3) AS end_date_safe, category FROM floods")(lambda s, d: S.short_events(s).select("start_date", "end_date", F.coalesce("end_date", F.date_add("start_date", 3)).alias("end_date_safe"), "category").orderBy(F.desc("start_date")))
 query("event_durations", "SELECT start_date, CAST(coalesce(end_date, start_date + 3) - start_date + 1 AS INTEGER) AS days, CAST(year(start_date) AS VARCHAR) AS year FROM floods")(lambda s, d: S.short_events(s).select("start_date", (F.datediff(F.coalesce("end_date", F.date_add("start_date", 3)), "start_date") + 1).alias("days"), F.date_format("start_date", "yyyy").alias("year")))
@@ -302,10 +358,12 @@ query("level_exceedance", f"SELECT measured_at, level_cm, level_cm >= 200 AS ove
 )
 
 
-@query("kpi_row", "SELECT l.level_cm AS latest_cm, p.risk_level AS risk_level, round(p.level_24h_cm, 6) AS level_24h_cm FROM (SELECT arg_max(level_cm, measured_at) AS level_cm FROM water WHERE station_id = 1) l, preds p WHERE p.for_date = DATE '2024-01-29'", CTES + ", " + PREDICTIONS_SQL)
+@query("kpi_row", "SELECT l.level_cm AS latest_cm, round(l.level_cm - l.before, 6) AS delta_cm, p.risk_level AS risk_level, round(p.level_24h_cm, 3) AS level_24h_cm, abs(p.level_24h_cm - l.level_cm) < 100 AS steady FROM (SELECT level_cm, lag(level_cm) OVER (ORDER BY measured_at) AS before, row_number() OVER (ORDER BY measured_at DESC) AS r FROM water WHERE station_id = 1) l, preds p WHERE l.r = 1 AND p.for_date = DATE '2024-01-29'", REGRESSION_SQL + PREDICTIONS_SQL)
 def kpi_row(s, d):
-    last = S.water_levels(s, d).where("station_id = 1").agg(F.max_by("level_cm", "measured_at").alias("latest_cm"))
-    return last.crossJoin(threshold_predictions(s, d).where("for_date = date'2024-01-29'").select("risk_level", F.round("level_24h_cm", 6).alias("level_24h_cm")))
+    """The last reading and its change, the day's risk and 24 hour forecast, and whether that stays within 100 cm."""
+    last = latest_and_delta(s, d).where("station_id = 1").select("latest_cm", "delta_cm")
+    row = last.crossJoin(stage_predictions(s, d).where("for_date = date'2024-01-29'").select("risk_level", "level_24h_cm"))  # one row each
+    return row.select("latest_cm", "delta_cm", "risk_level", F.round("level_24h_cm", 3).alias("level_24h_cm"), (F.abs(F.col("level_24h_cm") - F.col("latest_cm")) < 100).alias("steady"))
 
 
 @query("model_overview", "SELECT * FROM (VALUES ('kmeans', 'clusters days into three risks'), ('naive_bayes', 'risk from five features'), ('bayes_net', 'risk from rain, season and upstream level'), ('dbscan', 'finds unusual days'), ('travel_time', 'hours from the upstream gauge'), ('regression', 'levels in 6, 12 and 24 hours'), ('ensemble', 'weighted vote')) v(model, purpose)", None)
@@ -329,7 +387,7 @@ query("format_arrival", "SELECT day, '~' || CAST(round(upstream_max_cm / 20) AS
 
 @query("nb_params", "SELECT label, feature, round(mean, 6) AS mean, round(var, 6) AS var, round(prior, 6) AS prior FROM nb", LONG_CTES)
 def nb_params(s, d):
-    p = bayes.nb_fit(long_profiles(s, d))
+    p = bayes.nb_fit(once(s, d))
     return rounded(p.select("label", "prior", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"mean_{c}").alias("mean"), F.col(f"var_{c}").alias("var")) for c in R.FEATURES])).alias("x")).select("label", "x.feature", "x.mean", "x.var", "prior"))
 
 
@@ -338,17 +396,17 @@ NB_SQL = "SELECT day, round(max(e) FILTER (o = 0), 6) AS p_normal, round(max(e)
 
 @query("nb_probabilities", NB_SQL, LONG_CTES)
 def nb_probabilities(s, d):
-    rows = long_profiles(s, d)
+    rows = once(s, d)
     return rounded(bayes.nb_score(rows, bayes.nb_fit(rows), ["day"]).drop("nb_risk"))
 
 
-query("bn_cpt_soil", "SELECT rain, season, soil, round(p, 6) AS p FROM cpt_soil", LONG_CTES)(lambda s, d: rounded(bayes.bn_fit(long_profiles(s, d))[0]))
-query("bn_cpt_risk", "SELECT upstream, soil, risk, round(p, 6) AS p FROM cpt_risk", LONG_CTES)(lambda s, d: rounded(bayes.bn_fit(long_profiles(s, d))[1]))
+query("bn_cpt_soil", "SELECT rain, season, soil, round(p, 6) AS p FROM cpt_soil", LONG_CTES)(lambda s, d: rounded(bayes.bn_fit(once(s, d))[0]))
+query("bn_cpt_risk", "SELECT upstream, soil, risk, round(p, 6) AS p FROM cpt_risk", LONG_CTES)(lambda s, d: rounded(bayes.bn_fit(once(s, d))[1]))
 
 
 @query("bn_infer", "SELECT day, risk, round(p / sum(p) OVER (PARTITION BY day), 6) AS p FROM (SELECT b.day AS day, r.risk AS risk, sum(s.p * r.p) AS p FROM (SELECT DISTINCT day, rain, season, upstream FROM bins) b JOIN cpt_soil s ON s.rain = b.rain AND s.season = b.season JOIN cpt_risk r ON r.upstream = b.upstream AND r.soil = s.soil GROUP BY 1, 2)", LONG_CTES)
 def bn_infer(s, d):
-    rows = long_profiles(s, d)
+    rows = once(s, d)
     out = bayes.bn_infer(rows.dropDuplicates(["day"]), *bayes.bn_fit(rows), ["day"])
     return rounded(out.unpivot(["day"], ["bn_normal", "bn_erhoht", "bn_gefahr"], "risk", "p").withColumn("risk", F.upper(F.substring("risk", 4, 10))))
 
@@ -363,9 +421,9 @@ cj AS (SELECT x.day AS day, x.label AS actual, c.o AS o, c.label AS predicted, a
 cp AS (SELECT day, actual, predicted FROM (SELECT *, row_number() OVER (PARTITION BY day, actual ORDER BY j DESC, o) AS r FROM cj) WHERE r = 1),
 conf AS (SELECT a.label AS actual, p.label AS predicted, count(cp.day) AS n FROM risks a CROSS JOIN risks p LEFT JOIN cp ON cp.actual = a.label AND cp.predicted = p.label GROUP BY 1, 2)
 """
-query("cv_confusion", "SELECT * FROM conf", LONG_CTES + CV_SQL)(lambda s, d: bayes.cross_validate(long_profiles(s, d)))
+query("cv_confusion", "SELECT * FROM conf", LONG_CTES + CV_SQL)(lambda s, d: bayes.cross_validate(once(s, d)))
 query("cv_precision_recall", "SELECT label, round(coalesce((SELECT n FROM conf WHERE actual = label AND predicted = label) / nullif((SELECT sum(n) FROM conf WHERE predicted = label), 0), 0), 6) AS precision, round(coalesce((SELECT n FROM conf WHERE actual = label AND predicted = label) / nullif((SELECT sum(n) FROM conf WHERE actual = label), 0), 0), 6) AS recall FROM risks", LONG_CTES + CV_SQL)(
-    lambda s, d: rounded(bayes.precision_recall(bayes.cross_validate(long_profiles(s, d))))
+    lambda s, d: rounded(bayes.precision_recall(bayes.cross_validate(once(s, d))))
 )
 
 XCORR_SQL = "SELECT lag, round(sum((up - m.mu) * (down - m.md)) / count(*) / any_value(m.su * m.sd), 6) AS r FROM lags, (SELECT avg(up) AS mu, avg(down) AS md, stddev_pop(up) AS su, stddev_pop(down) AS sd FROM pairs) m GROUP BY lag"
@@ -386,38 +444,35 @@ def travel_pairs(s, d):
 
 query("travel_regression", "SELECT best.lag AS lag, n AS n_pairs, round(CASE WHEN n < 2 THEN 0 ELSE coalesce(s, 0) END, 6) AS slope, round(CASE WHEN n < 2 THEN best.lag ELSE t - coalesce(s, 0) * u END, 6) AS intercept FROM best, (SELECT count(*) AS n, regr_slope(travel, up) AS s, avg(travel) AS t, avg(up) AS u FROM trav)", CTES + PAIRS_SQL)(lambda s, d: rounded(series.travel_fit(pairs(s, d))))
 
-SAMPLES_SQL = """, samples AS (SELECT a.hour AS hour, 1.0::DOUBLE AS x0, a.level_cm AS x1, a.level_cm - p.level_cm AS x2, u.level_cm AS x3,
-  coalesce((SELECT sum(rainfall_mm) FROM rain WHERE date_trunc('hour', measured_at) BETWEEN a.hour - INTERVAL 23 HOURS AND a.hour), 0) AS x4, sin(2 * pi() * dayofyear(a.hour) / 365) AS x5, cos(2 * pi() * dayofyear(a.hour) / 365) AS x6, b.level_cm AS x7, c.level_cm AS x8, e.level_cm AS x9
-  FROM hours a JOIN hours p ON p.station_id = 1 AND p.hour = a.hour - INTERVAL 1 HOUR JOIN hours u ON u.station_id = 3 AND u.hour = a.hour
-  JOIN hours b ON b.station_id = 1 AND b.hour = a.hour + INTERVAL 6 HOURS JOIN hours c ON c.station_id = 1 AND c.hour = a.hour + INTERVAL 12 HOURS JOIN hours e ON e.station_id = 1 AND e.hour = a.hour + INTERVAL 24 HOURS WHERE a.station_id = 1),
-flat AS (UNPIVOT samples ON x0, x1, x2, x3, x4, x5, x6, x7, x8, x9 INTO NAME k VALUE v)
-"""
 query("regression_gram", "SELECT CAST(substr(a.k, 2) AS INTEGER) AS i, CAST(substr(b.k, 2) AS INTEGER) AS j, round(sum(a.v * b.v), 3) AS v FROM flat a JOIN flat b ON a.hour = b.hour AND a.k <= b.k WHERE a.k < 'x7' GROUP BY 1, 2", CTES + SAMPLES_SQL)(
     lambda s, d: rounded(series.gram(G.regression_samples(S.water_levels(s, d), S.precipitation(s, d))), 3)
 )
 
 
-@query("regression_forecast")
+@query("regression_forecast", "SELECT fc.hour AS hour, round(level_6h_cm, 3) AS level_6h_cm, round(level_12h_cm, 3) AS level_12h_cm, round(level_24h_cm, 3) AS level_24h_cm FROM fc JOIN samples ON samples.hour = fc.hour", REGRESSION_SQL)
 def regression_forecast(s, d):
-    rows = G.regression_samples(S.water_levels(s, d), S.precipitation(s, d))
-    return rounded(series.regression_predict(rows, series.regression_fit(rows)).select("hour", "level_6h_cm", "level_12h_cm", "level_24h_cm"))
+    rows = written(G.regression_samples(S.water_levels(s, d), S.precipitation(s, d)))
+    return rounded(series.regression_predict(rows, series.regression_fit(rows)).select("hour", "level_6h_cm", "level_12h_cm", "level_24h_cm"), 3)
+
+
+RMSE_SQL = "SELECT {h} AS horizon, round(sqrt(avg((fc.level_{h}h_cm - samples.{x})**2)), 3) AS rmse FROM fc JOIN samples ON samples.hour = fc.hour"
 
 
-@query("regression_rmse")
+@query("regression_rmse", " UNION ALL ".join(RMSE_SQL.format(h=h, x=x) for h, x in ((6, "x7"), (12, "x8"), (24, "x9"))), REGRESSION_SQL)
 def regression_rmse(s, d):
-    rows = G.regression_samples(S.water_levels(s, d), S.precipitation(s, d))
-    return rounded(series.rmse(series.regression_predict(rows, series.regression_fit(rows))))
+    rows = written(G.regression_samples(S.water_levels(s, d), S.precipitation(s, d)))
+    return rounded(series.rmse(series.regression_predict(rows, series.regression_fit(rows))), 3)
 
 
 @query("kmeans_clusters")
 def kmeans_clusters(s, d):
-    rows = long_profiles(s, d)
+    rows = once(s, d)
     return rounded(clusters.kmeans_predict(rows, clusters.kmeans_fit(rows)))
 
 
 @query("dbscan_labels")
 def dbscan_labels(s, d):
-    return clusters.dbscan(long_profiles(s, d), ["day", "label"]).select("day", "cluster", F.col("n_near").cast("long").alias("n_near"))
+    return clusters.dbscan(once(s, d), ["day", "label"]).select("day", "cluster", F.col("n_near").cast("long").alias("n_near"))
 
 
 @query("dbscan_summary")
@@ -438,12 +493,22 @@ def ensemble_vote(s, d):
 
 
 def assessed(s, d) -> DataFrame:
-    rows = long_profiles(s, d)
+    rows = once(s, d)
     return A.assess(rows, A.train_models(rows, pairs(s, d)))
 
 
 query("assess_risk")(lambda s, d: rounded(assessed(s, d).select("day", "risk_level", "high_confidence", "nb_risk", "bn_risk", "km_risk", "is_anomaly", "dbscan_cluster", "travel_hours", "anomaly_text", "p_normal", "p_erhoht", "p_gefahr")))
-query("predictions")(lambda s, d: A.as_predictions(assessed(s, d)))
+
+
+def assessed_month(s, d) -> DataFrame:
+    rows = written(G.labelled(profiles(s, d)))
+    return A.assess(rows, A.train_models(rows, pairs(s, d)))
+
+
+query("predictions")(lambda s, d: rounded(A.as_predictions(assessed_month(s, d), forecasts(s, d))))
+query("model_comparison")(lambda s, d: rounded(A.model_comparison(assessed_month(s, d))))
+ACCURACY_SQL = "SELECT fold, count(*) AS n, round(avg((actual = predicted)::INT), 6) AS accuracy FROM (SELECT cp.*, dealt.fold AS fold FROM cp JOIN dealt ON dealt.day = cp.day AND dealt.label = cp.actual) GROUP BY {}"
+query("cv_accuracy", ACCURACY_SQL.format("fold") + " UNION ALL " + ACCURACY_SQL.format("ALL").replace("SELECT fold, count", "SELECT 0 AS fold, count").replace(" GROUP BY ALL", ""), LONG_CTES + CV_SQL)(lambda s, d: rounded(bayes.fold_accuracy(once(s, d))))
 
 # ---- page parsers, on fixed pages
 

@@ -5,15 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
 
+def table_path(spark: SparkSession) -> str:
+    """A new place for a table in the folder that spark.checkpoint.dir names. Only a local session may do without
+    one: on a cluster a folder of the driver's machine is not the executors'."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if not root:
+        root = _own["path"] = _own.get("path") or tempfile.mkdtemp(prefix="spark-scratch-")
+    return f"{root.rstrip('/')}/table-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the folder that spark.checkpoint.dir names (a temporary one if unset)."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or _own.setdefault("path", tempfile.mkdtemp(prefix="spark-scratch-"))
-    path = f"{root.rstrip('/')}/table-{uuid.uuid4().hex}"
+    """df as a Parquet table in the shared folder, where its lineage ends."""
+    path = table_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

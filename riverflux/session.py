@@ -11,7 +11,9 @@ def build_session(master: str | None = None, app: str = "riverflux", partitions:
     """A session with UTC, adaptive execution and, where none is named, a checkpoint folder (local runs)."""
     builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
     if master:
-        builder = builder.master(master).config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        builder = builder.master(master)
+        if master.startswith("local"):
+            builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-checkpoint-"))
     if partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
     for key, value in conf.items():
