@@ -100,6 +100,14 @@ def profile_for_date(levels: DataFrame, rain: DataFrame, events: DataFrame, day:
     return daily_profiles(levels, rain, events, end, f"{after} 00:00:00", station, upstream, tz).withColumn("label", F.lit(None).cast("string")).orderBy("day").limit(1)
 
 
+def required_profile(*args, **kwargs) -> DataFrame:
+    """profile_for_date, or an error where the day has no readings."""
+    out = profile_for_date(*args, **kwargs)
+    if out.isEmpty():
+        raise ValueError("no readings on that day")
+    return out
+
+
 def hourly(levels: DataFrame) -> DataFrame:
     return levels.groupBy("station_id", F.date_trunc("hour", "measured_at").cast("timestamp_ntz").alias("hour")).agg(F.avg("level_cm").alias("level_cm"))
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import io
+from collections.abc import Callable
+from contextlib import redirect_stdout
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riverflux.functions.risk import partition_label
@@ -73,3 +77,27 @@ def run_script(spark, text: str) -> list[tuple[str, str | None]]:
         else:
             current.append(c)
     return done
+
+
+def run_sources(jobs: dict[str, Callable[[], int]]) -> list[tuple[str, int, str | None]]:
+    """(name, rows, error) of each source's job; a source that fails does not keep the others from running."""
+    report = []
+    for name, job in jobs.items():
+        try:
+            report.append((name, job(), None))
+        except Exception as e:  # whatever is wrong with one source, the next is independent of it
+            report.append((name, 0, str(e).split("\n")[0]))
+    return report
+
+
+def create_views(spark: SparkSession, **tables: DataFrame) -> None:
+    """Name tables and queries for use in SQL."""
+    for name, df in tables.items():
+        df.createOrReplaceTempView(name)
+
+
+def plan_text(df: DataFrame) -> str:
+    """The query's formatted plan, for a log."""
+    with redirect_stdout(io.StringIO()) as out:
+        df.explain("formatted")
+    return out.getvalue()

@@ -374,6 +374,13 @@ def model_overview(s, d):
 
 query("risk_badges", "SELECT * FROM (VALUES ('NORMAL', 'Normal', '#2ecc71'), ('ERHOHT', 'Erhöht', '#f39c12'), ('GEFAHR', 'Gefahr', '#e74c3c')) v(risk, title, colour)", None)(lambda s, d: s.createDataFrame([(k, *v) for k, v in R.BADGES.items()], "risk string, title string, colour string"))
 
+@query("analysis_view", "SELECT station_id, count(*) AS n, round(max(abs(level_cm - before)), 6) AS most FROM (SELECT *, lag(level_cm) OVER (PARTITION BY station_id ORDER BY measured_at) AS before FROM water) GROUP BY 1")
+def analysis_view(s, d):
+    """A view over the readings, read by SQL."""
+    storage.create_views(s, water_level_analysis=G.level_analysis(S.water_levels(s, d)), stations=stations(s))
+    return s.sql("SELECT station_id, count(*) AS n, round(max(abs(rate_cm_h)), 6) AS most FROM water_level_analysis JOIN stations USING (station_id) GROUP BY station_id")
+
+
 # ---- scalars
 
 query("parse_label", f"SELECT category, {LABEL_SQL.format('category')} AS label FROM floods")(lambda s, d: S.short_events(s).select("category", R.parse_label(F.col("category")).alias("label")))

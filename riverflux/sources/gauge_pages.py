@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riverflux.functions.risk import BERLIN, PRAGUE, utc_of_local
@@ -73,6 +73,17 @@ def parse_rain_archives(archives: DataFrame) -> DataFrame:
     return parse_rain_lines(archives.mapInPandas(unzip_rain, "station_id int, line string"))
 
 
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """station_id, html of landed pages: files whose names begin with the station's number, each a page."""
+    return spark.read.option("wholetext", True).text(path).select(F.regexp_extract("_metadata.file_name", r"^(\d+)", 1).try_cast("int").alias("station_id"), F.col("value").alias("html"))
+
+
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    """station_id, content of landed rain archives, named as archive_name() says."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "stundenwerte_RR_*_akt.zip").load(path)
+    return files.select(F.regexp_extract("path", r"stundenwerte_RR_(\d{5})_akt\.zip$", 1).try_cast("int").alias("station_id"), "content")
+
+
 def archive_name(station: Column) -> Column:
     return F.format_string("stundenwerte_RR_%05d_akt.zip", station)
 

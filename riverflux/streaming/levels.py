@@ -15,20 +15,43 @@ from riverflux.operators.storage import upsert
 KEYS = ["station_id", "measured_at"]
 
 
-def read_levels(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Files that land in a folder; watermarks need timestamps with a zone, so the UTC time is cast."""
-    return spark.readStream.schema(schema).parquet(path).withColumn("measured_at", F.col("measured_at").cast("timestamp"))
+def read_levels(spark: SparkSession, path: str, schema: str, files: int = 64) -> DataFrame:
+    """Files that land in a folder, so many in a batch at most, which bounds what a station gets at once; watermarks
+    need timestamps with a zone, so the UTC time is cast."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path).withColumn("measured_at", F.col("measured_at").cast("timestamp"))
 
 
-def upsert_stream(levels: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Merge each batch into the table at target. Versions are written side by side and a batch that is
-    run again overwrites its own, so a restart neither loses nor repeats rows."""
+def _at(spark: SparkSession, path: str):
+    """A path and the file system that it is in, which may be any that Spark reads."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _at(spark, path)
+    return fs.exists(p)
+
+
+def upsert_stream(levels: DataFrame, target: str, checkpoint: str, order: str | None = None) -> StreamingQuery:
+    """Merge each batch into the table at target, which has a folder for each day of readings.
+
+    A batch reads and writes only the days it touches. They are staged beside the checkpoint before they replace
+    the table's; a batch that is run again replaces them from there, so a restart neither loses nor repeats
+    rows. order: the column that tells which of a batch's readings for one key is the last."""
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        last = f"{target}/version={batch_id - 1}"
-        old = spark.read.parquet(last) if batch_id else batch.limit(0)
-        upsert(old, batch, KEYS, ["level_cm"]).write.mode("overwrite").parquet(f"{target}/version={batch_id}")
+        staged = f"{checkpoint}-staged/batch={batch_id}"
+        if not _exists(spark, f"{staged}/_SUCCESS"):
+            rows = batch.withColumn("day", F.to_date("measured_at"))
+            days = [r.day for r in rows.select("day").distinct().collect()]  # the days of one batch
+            old = spark.read.parquet(target).where(F.col("day").isin(days)) if _exists(spark, target) else rows.drop(*([order] if order else [])).limit(0)
+            upsert(old, rows, KEYS, ["level_cm"], order).write.mode("overwrite").parquet(staged)
+        rows = spark.read.parquet(staged)
+        rows.repartition("day").sortWithinPartitions(*KEYS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(target)
+        if batch_id:
+            fs, p = _at(spark, f"{checkpoint}-staged/batch={batch_id - 1}")
+            fs.delete(p, True)
 
     return levels.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -167,14 +167,51 @@ def test_streams(spark, tmp_path):
     from riverflux.streaming import levels as L
 
     folder, target = str(tmp_path / "in"), str(tmp_path / "t")
-    for i, rows in enumerate([[(1, "2024-01-01 10:00:00", 100.0, "A")], [(1, "2024-01-01 10:00:00", 110.0, "B"), (1, "2024-01-01 11:00:00", 130.0, "B")]]):
+    for i, rows in enumerate([[(1, "2024-01-01 10:00:00", 100.0, "A"), (1, "2024-01-05 10:00:00", 7.0, "A")], [(1, "2024-01-01 10:00:00", 110.0, "B"), (1, "2024-01-01 11:00:00", 130.0, "B")]]):
         levels(spark, rows).coalesce(1).write.mode("append").parquet(folder)
         L.upsert_stream(L.read_levels(spark, folder, LEVELS), target, str(tmp_path / "c")).awaitTermination()
-    out = spark.read.parquet(f"{target}/version=1").orderBy("measured_at").collect()
-    assert [(r.level_cm, r.source) for r in out] == [(110.0, "A"), (130.0, "B")]
+    out = spark.read.parquet(target).orderBy("measured_at").collect()
+    assert [(r.level_cm, r.source) for r in out] == [(110.0, "A"), (130.0, "B"), (7.0, "A")]
     q = L.changes(L.read_levels(spark, folder, LEVELS)).writeStream.format("memory").queryName("changes").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
-    assert spark.table("changes").count() == 3
+    assert spark.table("changes").count() == 4
     q = L.hourly_means(L.read_levels(spark, folder, LEVELS)).writeStream.format("memory").queryName("means").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
-    assert {r.n for r in spark.table("means").collect()} == {2, 1}
+    assert sorted(r.n for r in spark.table("means").collect()) == [1, 1, 2]
+
+
+def test_large_tables_are_ordered_in_months_with_context(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(s, f"2023-{m:02d}-{d:02d} {h:02d}:00:00", float(rng.randint(0, 99)), "a") for s in (1, 2) for m in (1, 2, 5, 12) for d, h in {(rng.randint(1, 28), rng.randint(0, 23)) for _ in range(rng.choice([2, 9]))}]
+    df = levels(spark, rows)
+    one = [readings.level_analysis(df), readings.absolute_rates(df, "2023-01-03 00:00:00", "2024-01-01 00:00:00")]
+    whole = [sorted(map(tuple, x.collect()), key=str) for x in one]
+    monkeypatch.setattr(readings, "WHOLE", 0)
+    cut = [readings.level_analysis(df), readings.absolute_rates(df, "2023-01-03 00:00:00", "2024-01-01 00:00:00")]
+    assert [sorted(map(tuple, x.collect()), key=str) for x in cut] == whole
+
+
+def test_landed_pages_and_archives_are_read(spark, tmp_path):
+    from riverflux.plans.queries import CZECH_PAGE
+
+    (tmp_path / "3_now.html").write_text(CZECH_PAGE)
+    assert [(r.station_id, r.level_cm) for r in P.parse_czech(P.read_pages(spark, str(tmp_path))).collect()] == [(3, 143.0), (3, 145.0)]
+    with zipfile.ZipFile(tmp_path / "stundenwerte_RR_01684_akt.zip", "w") as z:
+        z.writestr("produkt_rr_stunde_x.txt", "STATIONS_ID;MESS_DATUM;QN;RR\n1684;2025040100;10;0.5;0;0;eor\n")
+    assert [(r.station_id, r.rainfall_mm) for r in P.parse_rain_archives(P.read_archives(spark, str(tmp_path))).collect()] == [(1684, 0.5)]
+
+
+def test_a_failing_source_leaves_the_others(spark):
+    report = storage.run_sources({"bad": lambda: spark.read.parquet("/nowhere/at/all").count(), "good": lambda: spark.range(3).count()})
+    assert [(n, k, e is None) for n, k, e in report] == [("bad", 0, False), ("good", 3, True)]
+    assert "Range" in storage.plan_text(spark.range(3))
+
+
+def test_a_day_without_readings_is_an_error(spark):
+    df = levels(spark, [(1, "2024-01-02 10:00:00", 1.0, "a")])
+    rain = df.select("station_id", "measured_at", F.lit(0.0).alias("rainfall_mm"))
+    from riverflux.schemas import flood_events
+
+    assert readings.required_profile(df, rain, flood_events(spark), "2024-01-02").count() == 1
+    with pytest.raises(ValueError):
+        readings.required_profile(df, rain, flood_events(spark), "2024-01-03")
