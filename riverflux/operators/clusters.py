@@ -80,28 +80,36 @@ def neighbours(points: DataFrame, eps: float, others: DataFrame | None = None) -
 def dbscan(rows: DataFrame, order: list[str], eps: float = 1.0, min_points: int = 10) -> DataFrame:
     """rows with cluster (0.. by their first core row in the order, -1 for noise) and n_near (itself included).
 
-    Core rows that are near share a cluster: the smallest id spreads along core edges, twice as far in each
-    round. A border row belongs to the lowest-numbered cluster that has a core row near it."""
+    Pairs of rows are only counted, never written: the core rows of a cell with a diagonal of eps are all near each
+    other, so clusters are components of cells, and of the pairs between two cells one row stays. The
+    smallest id spreads along the cells, twice as far in each round. A border row belongs to the lowest-numbered
+    cluster that has a core row near it."""
     numbered = rows.withColumn("id", F.row_number().over(Window.orderBy(*order)))  # rows are days: a small table
     numbered = written(z_scored(numbered, z_params(rows)))
-    near = written(neighbours(numbered.select("id", "z"), eps))
-    degree = near.groupBy("a").agg(F.count("*").alias("n_near"))
-    core = written(degree.where(F.col("n_near") >= min_points).select(F.col("a").alias("id")))
-    edges = written(near.join(core.select(F.col("id").alias("a")), "a").join(core.select(F.col("id").alias("b")), "b"))
-    label = written(core.select("id", F.col("id").alias("root")))
+    points = numbered.select("id", "z")
+    degree = written(neighbours(points, eps).groupBy("a").agg(F.count("*").alias("n_near")))
+    side = eps / len(FEATURES) ** 0.5
+    core = points.join(degree.where(F.col("n_near") >= min_points).select(F.col("a").alias("id")), "id")
+    core = written(core.withColumn("cell", F.transform("z", lambda v: F.floor(v / side))))
+    of = lambda side_, name: core.select(F.col("id").alias(side_), F.col("cell").alias(name))
+    near = neighbours(core.select("id", "z"), eps).join(of("a", "ca"), "a").join(of("b", "cb"), "b")
+    edges = written(near.select("ca", "cb").distinct())
+    label = written(core.groupBy("cell").agg(F.min("id").alias("root")))
     while True:
-        seen = edges.join(label, edges.b == label.id).groupBy("a").agg(F.min("root").alias("root"))
-        jump = label.select(F.col("id").alias("r"), F.col("root").alias("higher"))
-        new = written(seen.join(jump, seen.root == jump.r).select(F.col("a").alias("id"), F.least("root", "higher").alias("root")))
-        if new.join(label, ["id", "root"], "left_anti").isEmpty():
+        seen = edges.join(label, edges.cb == label.cell).groupBy("ca").agg(F.min("root").alias("root"))
+        # where the root's own cell has moved on, so does the cell
+        jump = core.select(F.col("id").alias("r"), "cell").join(label.select("cell", F.col("root").alias("higher")), "cell").select("r", "higher")
+        new = written(seen.join(jump, seen.root == jump.r).select(F.col("ca").alias("cell"), F.least("root", "higher").alias("root")))
+        if new.join(label, ["cell", "root"], "left_anti").isEmpty():
             break
         label = new
     names = label.select("root").distinct().withColumn("cluster", F.row_number().over(Window.orderBy("root")) - 1)  # one row per cluster
-    of_core = label.join(names, "root").select(F.col("id").alias("b"), "cluster")
-    cluster = near.join(of_core, "b").groupBy("a").agg(F.min("cluster").alias("near_cluster"))
-    own = of_core.select(F.col("b").alias("a"), F.col("cluster").alias("own"))
-    out = numbered.join(degree, numbered.id == degree.a).drop("a").join(cluster, numbered.id == cluster.a, "left").drop("a").join(own, numbered.id == own.a, "left").drop("a")
-    return out.withColumn("cluster", F.coalesce("own", "near_cluster", F.lit(-1)).cast("int")).drop("own", "near_cluster")
+    of_core = written(core.join(label, "cell").join(names, "root").select("id", "cluster", "z"))
+    border = points.join(of_core.select("id"), "id", "left_anti")
+    beside = neighbours(border, eps, of_core.select("id", "z")).join(of_core.select(F.col("id").alias("b"), "cluster"), "b").groupBy("a").agg(F.min("cluster").alias("c"))
+    known = of_core.select(F.col("id").alias("a"), F.col("cluster").alias("c")).unionByName(beside)
+    out = numbered.join(degree, numbered.id == degree.a).drop("a").join(known, numbered.id == known.a, "left").drop("a")
+    return out.withColumn("cluster", F.coalesce("c", F.lit(-1)).cast("int")).drop("c")
 
 
 def dbscan_predict(rows: DataFrame, fitted: DataFrame, params: dict, id_col: str, eps: float = 1.0) -> DataFrame:
