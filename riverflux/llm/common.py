@@ -31,9 +31,12 @@ def let(value: Column, body) -> Column:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is set (tests)."""
+    """The shared folder that the cluster names. Only a local session may do without one and gets a temporary folder:
+    on a cluster each machine would have its own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if "path" not in _own_scratch:
             _own_scratch["path"] = tempfile.mkdtemp(prefix="spark-scratch-")
         path = _own_scratch["path"]

@@ -351,7 +351,7 @@ def fit_costs(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE) ->
         return DEFAULT
     rows.sort(key=lambda r: (r.label, r.f))
     x = np.array([vector(tuple(r.f))[1:] for r in rows])
-    w = logistic(x, np.array([float(r.label) for r in rows]), np.array([r.n / total[r.label] for r in rows]) * 1000, ridge=1.0)
+    w = logistic(x, np.array([float(r.label) for r in rows]), np.array([r.n / total[r.label] for r in rows]) * 1000, ridge=100.0)
     return (float(w[-1]), *map(float, w[:-1]))
 
 

@@ -332,6 +332,40 @@ def test_pieces_count_like_the_whole(monkeypatch):
     assert (k[some] == keys).all() and (c[some] == counts).all()
 
 
+def plain_profile(text):
+    """Numbers of letter n-grams by plain counting: runs of other characters are boundaries, written 0."""
+    codes = [0]
+    for c in text or "":
+        v = (ord(c.lower()) if len(c.lower()) == 1 else ord(c)) if c.isalpha() else 0
+        codes += [v] if v or codes[-1] else []
+    codes += [0] if codes[-1] or len(codes) == 1 else []
+    found = Counter((1, a) for a in codes if a)
+    found.update((2, *p) for p in zip(codes, codes[1:]) if any(p))
+    found.update((3, *p) for p in zip(codes, codes[1:], codes[2:]) if p[1])
+    return [g for g, _ in sorted(found.items(), key=lambda x: (-x[1], x[0]))], found
+
+
+def test_languages_match_plain_out_of_place_distances(spark, monkeypatch):
+    monkeypatch.setattr(language, "PROFILE", 60)
+    rng = random.Random(6)
+    say = {"de": "der und nicht größe straße eine", "en": "the and of with which a", "fr": "être le les nous avec à"}
+    rows = [(i, " ".join(rng.choice(say[lang].split()) for _ in range(rng.randint(1, 40))) + rng.choice(["", "!", " 12 "]), lang, None) for i, lang in enumerate(rng.choices(list(say), k=90))]
+    docs = docs_of(spark, rows)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(docs, language.learn_profiles(docs)).collect()}
+    ranks = {}
+    for lang in sorted(say):
+        total = Counter()
+        for i, t, own, _ in rows:
+            if own == lang and zlib.crc32(str(i).encode()) % 4 != 2:
+                total.update(plain_profile(t)[1])
+        ranks[lang] = {g: k for k, (g, _) in enumerate(sorted(total.items(), key=lambda x: (-x[1], x[0]))[:60])}
+    for i, t, _, _ in rows:
+        own = plain_profile(t)[0][:60]
+        apart = {lang: sum(abs(of[g] - k) if g in of else 60 for k, g in enumerate(own)) for lang, of in ranks.items()}
+        best = min(sorted(apart), key=apart.get)
+        assert got[i] == (best, pytest.approx(1 - apart[best] / (60 * len(own))))
+
+
 # ---- 5
 
 
