@@ -30,7 +30,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riverflux.llm.common import connected_components, discard, materialize
+from riverflux.llm.common import connected_components, discard, let, materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -332,12 +332,14 @@ def link_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
     size = F.array_max(F.transform(vec, F.abs))
     good = F.forall(vec, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & (size > 0) & F.col(label_col).isNotNull()
     label = F.col(label_col).cast("string")
-    scaled = rows.select(F.col(id_col).alias("id"), label.alias("label"), F.size(vec_col).alias("length"), F.when(good, vec).alias("v"), size.alias("size"))
-    scaled = scaled.withColumn("v", F.transform("v", lambda v: v / F.col("size")))
-    scaled = scaled.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, v: s + v * v)))
+    norm = lambda w: F.sqrt(F.aggregate(w, F.lit(0.0), lambda s, v: s + v * v))
+    # bound by let(), as a column may be put into the lambda and be computed for each component
+    both = lambda w: let(norm(w), lambda n: F.struct(w.alias("v"), F.transform(w, lambda v: v / n).alias("unit")))
+    scaled = F.when(good, let(size, lambda top: let(F.transform(vec, lambda v: v / top), both)))
+    scaled = rows.select(F.col(id_col).alias("id"), label.alias("label"), F.size(vec_col).alias("length"), scaled.alias("x")).select("id", "label", "length", "x.v", "x.unit")
     # two hashes of label and direction: vectors of one direction are one class
     key = F.when(F.col("v").isNotNull(), F.concat_ws("-", F.xxhash64(F.lit(1), "label", "v"), F.xxhash64(F.lit(2), "label", "v")))
-    all_rows = materialize(scaled.select("id", key.alias("key"), F.concat_ws("/", "label", F.col("length").cast("string")).alias("grp"), F.transform("v", lambda v: v / F.col("norm")).alias("vec")))
+    all_rows = materialize(scaled.select("id", key.alias("key"), F.concat_ws("/", "label", F.col("length").cast("string")).alias("grp"), F.col("unit").alias("vec")))
     classes = all_rows.where("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("grp").alias("grp"), F.first("vec").alias("vec"))
     classes = materialize(classes)
 
