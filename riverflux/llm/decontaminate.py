@@ -85,7 +85,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
     A window is WINDOW consecutive words of an item, or all words of a shorter one. Null, empty and
     wordless texts have no words and no windows, wordless items none either. Equal items count by
-    their id. Repeated rows give repeated rows (hits are found for the pair of id and text, so rows
+    their id; items without an id mark words but are not among the items. Repeated rows give repeated rows (hits are found for the pair of id and text, so rows
     with one id and different texts stay apart). Other columns are not read, but key, w and the
     like may be among them. Without items or documents the result has no hits or no rows.
     """
