@@ -73,17 +73,17 @@ def daily_rain(rain: DataFrame, start: str, end: str, tz: str = BERLIN, stations
 def daily_profiles(levels: DataFrame, rain: DataFrame, events: DataFrame, start: str, end: str, station: int = 1, upstream: int = 3, tz: str = BERLIN, dedupe: bool = False) -> DataFrame:
     """One row of five features per local day of a station, with the category of the flood on that day.
 
-    Days in several floods come once for each (dedupe keeps the one with the highest peak). Events are a
-    small table of intervals; the range join broadcasts them, days are few by then.
+    Days in several floods come once for each (dedupe keeps the one with the highest peak). Intervals are
+    spread over their days, so the range join is an equi-join; an event that ends before it starts has none.
     """
     daily = daily_levels(absolute_rates(levels, start, end, [station, upstream], tz))
     # main and upstream in one aggregate instead of a self-join of the readings
     pick = lambda s, c: F.max(F.when(F.col("station_id") == s, F.col(c)))
     both = daily.groupBy("day").agg(*[pick(station, c).alias(c) for c in ("max_level_cm", "avg_level_cm", "max_rate_cm_h")], pick(upstream, "max_level_cm").alias("up"), F.max(F.when(F.col("station_id") == station, True)).alias("is_main"))
     zero = F.lit(0.0)
-    out = both.where("is_main").join(daily_rain(rain, start, end, tz), "day", "left").join(
-        F.broadcast(events.select("start_date", F.coalesce("end_date", "start_date").alias("last_date"), "peak_level_cm", "category")), F.col("day").between(F.col("start_date"), F.col("last_date")), "left"
-    )
+    last = F.coalesce("end_date", "start_date")
+    floods = events.where(last >= F.col("start_date")).select(F.explode(F.sequence("start_date", last)).alias("day"), "peak_level_cm", "category")
+    out = both.where("is_main").join(daily_rain(rain, start, end, tz), "day", "left").join(floods, "day", "left")
     if dedupe:
         out = out.groupBy("day", "max_level_cm", "avg_level_cm", "max_rate_cm_h", "total_precip_mm", "up").agg(F.max_by("category", "peak_level_cm").alias("category"))
     return out.select("day", "max_level_cm", "avg_level_cm", F.coalesce("max_rate_cm_h", zero).alias("max_rate_cm_h"), F.coalesce("total_precip_mm", zero).alias("total_precip_mm"), F.coalesce("up", zero).alias("upstream_max_cm"), F.col("category").alias("label"))
