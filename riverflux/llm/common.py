@@ -101,6 +101,25 @@ def with_roots(stars: DataFrame) -> DataFrame:
     return stars.unionByName(roots).select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
+#: A group of this share of all rows or more is heavy; so many groups at most are.
+HEAVY_SHARE = 1024
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: dict[str, str], n: str, total: int) -> DataFrame:
+    """rows with the columns of their group but n; groups has one row for each key. keys: column of rows -> of groups.
+
+    n is a group's number of rows. The groups of a HEAVY_SHARE-th of total or more are HEAVY_SHARE at most for each
+    thing that a row is counted in; they are broadcast, so their rows stay where they are, and the others are shuffled.
+    Nulls equal nulls. rows is read twice and should be a table."""
+    heavy = F.col(n) * HEAVY_SHARE >= total
+    on = [F.col(a).eqNullSafe(F.col(b)) for a, b in keys.items()]
+    drop = [n, *(b for a, b in keys.items() if a != b)]
+    few, many = groups.where(heavy), groups.where(~heavy)
+    near = rows.join(F.broadcast(few), on)
+    far = rows.join(F.broadcast(few.select(*keys.values())), on, "left_anti").join(many, on)
+    return near.drop(*drop).unionByName(far.drop(*drop))
+
+
 def bit(at: Column) -> Column:
     """A long with bit at (mod 64) set."""
     return F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))

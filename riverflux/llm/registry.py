@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riverflux.llm import decontaminate, extract, language, lm_score, mixing, quotes, simhash, toxicity, url_cascade, vector_graph
+from riverflux.llm import decontaminate, extract, language, lm_score, mixing, quotes, simhash, toxicity, url_cascade, vector_codes, vector_graph
 
 QUERIES = {
     "op1_vector_graph": vector_graph.op1_vector_graph,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_gru_score": lm_score.op9_gru_score,
     "op10_url_cascade": url_cascade.op10_url_cascade,
+    "op11_vector_codes": vector_codes.op11_vector_codes,
 }
 
 ORACLE_SQL = {
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op2_winnowing": decontaminate.OP2_SQL,
     "op5_pareto_mix": mixing.OP5_SQL,
     "op10_url_cascade": url_cascade.OP10_SQL,
+    "op11_vector_codes": vector_codes.OP11_SQL,
 }
