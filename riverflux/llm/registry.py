@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riverflux.llm import decontaminate, extract, language, lm_score, mixing, quotes, simhash, toxicity, url_cascade, vector_codes, vector_graph
+from riverflux.llm import decontaminate, extract, language, lm_score, mixing, quality, quotes, repair, simhash, toxicity, url_cascade, vector_codes, vector_graph
 
 QUERIES = {
     "op1_vector_graph": vector_graph.op1_vector_graph,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_gru_score": lm_score.op9_gru_score,
     "op10_url_cascade": url_cascade.op10_url_cascade,
     "op11_vector_codes": vector_codes.op11_vector_codes,
+    "op12_quality_cascade": quality.op12_quality_cascade,
+    "op13_min_plus_repair": repair.op13_min_plus_repair,
 }
 
 ORACLE_SQL = {
@@ -24,4 +26,6 @@ ORACLE_SQL = {
     "op5_pareto_mix": mixing.OP5_SQL,
     "op10_url_cascade": url_cascade.OP10_SQL,
     "op11_vector_codes": vector_codes.OP11_SQL,
+    "op12_quality_cascade": quality.OP12_SQL,
+    "op13_min_plus_repair": repair.OP13_SQL,
 }
