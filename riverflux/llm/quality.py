@@ -50,11 +50,11 @@ def repeated_words(text: Column, n: int = 3) -> Column:
     def covered(h: Column) -> Column:
         def places(s: Column) -> Column:
             same = lambda x, k: F.coalesce(F.get(s, k - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(s, k + 1)["h"] == x["h"], F.lit(False))
-            return F.array_sort(F.transform(F.filter(s, same), lambda x: x["i"]))
+            return F.sort_array(F.transform(F.filter(s, same), lambda x: x["i"]))
 
         steps = lambda at: F.transform(at, lambda a, k: F.least(F.coalesce(F.get(at, k + 1) - a, F.lit(n)), F.lit(n)))
         total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda s, v: s + v)
-        ordered = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        ordered = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
         return total(let(let(ordered, places), steps))
 
     def of(w: Column) -> Column:
@@ -146,20 +146,21 @@ def arrange(patterns: dict[tuple[bool, ...], int], costs: list[float]) -> list[t
 def plan_cascade(rows: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", measured: tuple[str, ...] = (), sample: int = SAMPLE) -> list[Estimate]:
     """The rules in the order of the cascade, as estimated on about so many rows (all of a smaller table).
 
-    measured: columns of rows that are measures already. Rows are drawn one by one, so the sample is of that size
+    measured: measures that each row has before the cascade, so that they cost its rules nothing. Rows are drawn one by one, so the sample is of that size
     whatever the texts are. Tests of one rule each, and the patterns of outcomes (one for each row of the sample at
     most), are all that the driver gets."""
     n = rows.count()
-    few = rows.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.col(c) for c in measured if c != "text"])
-    drawn = materialize((few.sample(sample / n, SEED) if n > sample else few).coalesce(1))  # a single task, so that a job's time is its cost
-    at = {name: F.col(name) for name in measured}
+    few = rows.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    few = materialize((few.sample(sample / n, SEED) if n > sample else few).repartition(1))  # a single task, so that a job's time is its cost
+    drawn = materialize(few.select("text", *[MEASURES[m](F.col("text")).alias(f"m_{m}") for m in measured]))
+    at = {name: F.col(f"m_{name}") for name in measured}
     fails = [condition(r, F.col("text"), at) for r in rules]
     outcomes = drawn.select(*[f.alias(f"f{i}") for i, f in enumerate(fails)]).groupBy(*[f"f{i}" for i in range(len(rules))]).count().collect()
     reading = seconds(drawn, F.length("text") < 0)
     costs = [max(seconds(drawn, f) - reading, 0.0) for f in fails]
     least = max(LEAST_COST * max(costs, default=0), 1e-6)
     costs = [max(c, least) for c in costs]
-    discard(drawn)
+    discard(few, drawn)
     return [Estimate(rules[r].name, costs[r], k) for r, k in arrange({tuple(o[:-1]): o[-1] for o in outcomes}, costs)]
 
 
@@ -175,7 +176,7 @@ def judge(rows: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "tex
     kept = [c for c in keep if c not in clash]
     base = rows.select(text.alias("text"), F.struct(*[MEASURES[m](text).cast("long").alias(m) for m in report]).alias("m") if report else F.lit(None).alias("m"), F.struct(*[F.col(c) for c in kept]).alias("k") if kept else F.lit(None).alias("k"))
     if plan is None:
-        plan = plan_cascade(base.select("text", "m.*") if report else base.select("text"), rules, "text", report, sample)
+        plan = plan_cascade(rows, rules, text_col, report, sample)
     by_name = {r.name: r for r in rules}
     at = {m: F.col("m")[m] for m in report}
     first = F.lit(None).cast("string")

@@ -439,7 +439,7 @@ crc AS (SELECT *, xor(list_reduce(list_transform(b, lambda v: CAST(v AS BIGINT))
 dam AS (
   SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
   FROM (SELECT *, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) FROM crc WHERE kind <> 0)),
-inrow AS (SELECT *, row_number() OVER c AS r, left(role, 1) AS ini, lag(left(role, 1)) OVER c AS before FROM dam WINDOW c AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text))),
+inrow AS (SELECT *, row_number() OVER c AS r, left(role, 1) AS ini, lag(left(role, 1)) OVER c AS before FROM dam WINDOW c AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(length(role) || ':' || role || ':' || text))),
 seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY r) AS again, regexp_extract(text, '([^ 	-
 ])[ 	-
 ]*$', 1) AS ending FROM inrow),
