@@ -28,7 +28,7 @@ def train_models(profiles: DataFrame, hours: DataFrame | None = None) -> Models:
         t = series.travel_fit(hours).first()
         travel = (t.slope, t.intercept)
     soil, risk = bayes.bn_fit(profiles)
-    return Models(clusters.kmeans_fit(profiles), written(bayes.nb_fit(profiles)), (written(soil), written(risk)), written(clusters.dbscan(profiles, ["day", "label"]).drop("z", "id", "n_near")), clusters.z_params(profiles), travel)
+    return Models(clusters.kmeans_fit(profiles, ["day", "label"]), written(bayes.nb_fit(profiles)), (written(soil), written(risk)), written(clusters.dbscan(profiles, ["day", "label"]).drop("z", "id", "n_near")), clusters.z_params(profiles), travel)
 
 
 def assess(profiles: DataFrame, models: Models) -> DataFrame:

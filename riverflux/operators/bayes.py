@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riverflux.functions.risk import FEATURES, RAIN_BINS, RISKS, SEASONS, SOILS, UPSTREAM_BINS, rain_bin, season, soil_moisture, upstream_bin
+from riverflux.operators.ordering import dealt
 from riverflux.scratch import written
 
 LEAST_VARIANCE = 1e-9
@@ -50,16 +51,16 @@ def nb_score(rows: DataFrame, params: DataFrame, id_cols: list[str], on: list[st
 
 
 def folds(profiles: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
-    """Each profile's fold, 1 to k, in an order shuffled by a hash; a table of days is small."""
+    """Each profile's fold, 1 to k, in an order shuffled by a hash."""
     order = F.md5(F.concat_ws(":", F.col("day").cast("string"), F.lit(str(seed))))
-    return profiles.withColumn("fold", F.ntile(k).over(Window.orderBy(order, "day")))
+    return dealt(profiles, [order, "day"], k, "fold")
 
 
 def held_out(profiles: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
     """day, label, fold, nb_risk: each profile scored by the model of the other folds, all trained in one aggregation."""
-    dealt = written(folds(profiles, k, seed))
-    train = dealt.withColumn("out", F.explode(F.array_remove(F.sequence(F.lit(1), F.lit(k)), F.col("fold")))).drop("fold").withColumnRenamed("out", "fold")
-    return nb_score(dealt, nb_fit(train, ["fold"]), ["day", "label", "fold"], ["fold"])
+    rows = written(folds(profiles, k, seed))
+    train = rows.withColumn("out", F.explode(F.array_remove(F.sequence(F.lit(1), F.lit(k)), F.col("fold")))).drop("fold").withColumnRenamed("out", "fold")
+    return nb_score(rows, nb_fit(train, ["fold"]), ["day", "label", "fold"], ["fold"])
 
 
 def cross_validate(profiles: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import random
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riverflux.functions.risk import FEATURES
+from riverflux.operators.ordering import drawn, numbered
+from riverflux.operators.spatial import distance, grid_for, groups, near_counts, near_edges, near_groups
 from riverflux.scratch import written
 
 
@@ -19,29 +23,30 @@ def z_scored(rows: DataFrame, params: dict[str, tuple[float, float]]) -> DataFra
     return rows.withColumn("z", F.array(*[(F.col(c) - F.lit(m)) / F.lit(s) for c, (m, s) in params.items()]))
 
 
-def distance(a: Column, b: Column) -> Column:
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
-
-
 def nearest(z: Column, centroids: list[list[float]]) -> Column:
     """Index of the nearest centroid, of equally near ones the first."""
-    d = F.array(*[distance(z, F.array(*map(F.lit, c))) for c in centroids])
+    d = F.array(*[distance(z, F.array(*map(F.lit, c)), len(c)) for c in centroids])
     return (F.array_position(d, F.array_min(d)) - 1).cast("int")
 
 
-def kmeans_fit(rows: DataFrame, k: int = 3, max_iter: int = 200, seed: int = 42) -> dict:
+def seed_draws(k: int, seed: int) -> list[float]:
+    """The numbers from 0 to below 1 that the seeds are drawn with."""
+    return [random.Random(f"{seed}/{i}").random() for i in range(k)]
+
+
+def kmeans_fit(rows: DataFrame, order: list[str], k: int = 3, max_iter: int = 200, seed: int = 42) -> dict:
     """Centroids in z-scores, and each cluster's risk by the rank of its mean level.
 
-    Seeds are drawn one after the other with the distance to the nearest seed as weight: the row with
-    the largest log(u)/weight is such a draw, and a maximum needs no order over all rows."""
+    Seeds are drawn one after the other from the rows in their order: the first evenly, the others with the distance to
+    the nearest seed as weight, so no row is drawn twice."""
     params = z_params(rows)
-    z = written(z_scored(rows, params).select("z"))
+    z = written(z_scored(rows, params).select("z", *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)]))
+    by = [f"o{i}" for i in range(len(order))]
     centroids: list[list[float]] = []
-    for i in range(k):
-        u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.col("z").cast("array<string>"), F.lit(f"{seed}/{i}"))), 1, 12), 16, 10).cast("double") + 1) / F.lit(float(1 << 48))
-        weight = F.lit(1.0) if not centroids else F.array_min(F.array(*[distance(F.col("z"), F.array(*map(F.lit, c))) for c in centroids]))
-        pick = z.select("z", weight.alias("w"), u.alias("u")).where("w > 0").agg(F.max_by("z", F.struct(F.log("u") / F.col("w"), F.col("z"))).alias("z")).first()
-        if pick.z is None:
+    for u in seed_draws(k, seed):
+        weight = F.lit(1.0) if not centroids else F.array_min(F.array(*[distance(F.col("z"), F.array(*map(F.lit, c)), len(c)) for c in centroids]))
+        pick = drawn(z.withColumn("w", weight), by, "w", [u]).first()
+        if pick is None:  # no other rows are left
             break
         centroids.append(list(pick.z))
     for _ in range(max_iter):
@@ -66,61 +71,51 @@ def kmeans_predict(rows: DataFrame, model: dict) -> DataFrame:
     return out.withColumn("km_risk", risk)
 
 
-def neighbours(points: DataFrame, eps: float, others: DataFrame | None = None) -> DataFrame:
-    """a, b: pairs with a distance of eps or less, each point with itself; an equi-join on grid cells of width
-    eps in three features, so only cells that touch meet."""
-    cell = lambda j: F.floor(F.get("z", j) / eps)
-    around = lambda j: F.explode(F.array(cell(j) - 1, cell(j), cell(j) + 1))
-    left = points.select(F.col("id").alias("a"), F.col("z").alias("za"), cell(0).alias("x"), cell(3).alias("y"), cell(4).alias("w"))
-    right = (others or points).select(F.col("id").alias("b"), F.col("z").alias("zb"), around(0).alias("x"), F.col("z"))
-    right = right.select("b", "zb", "x", "z", around(3).alias("y")).select("b", "zb", "x", "y", around(4).alias("w"))
-    return left.join(right, ["x", "y", "w"]).where(distance(F.col("za"), F.col("zb")) <= eps).select("a", "b")
+def weighted_points(rows: DataFrame) -> DataFrame:
+    """pid (the smallest id), z, n: equal rows of a table with id and z as one; rows without a feature are left out."""
+    whole = F.forall("z", lambda v: v.isNotNull() & ~F.isnan(v))
+    return rows.where(whole).groupBy("z").agg(F.min("id").alias("pid"), F.count("*").alias("n")).select("pid", "z", "n")
+
+
+def neighbour_counts(rows: DataFrame, eps: float = 1.0) -> DataFrame:
+    """z, n_near: how many rows of a table with id and z lie within eps of each z, itself included."""
+    points = written(weighted_points(rows))
+    return points.join(near_counts(points, points, grid_for(eps, points)), "pid").select("z", "n_near")
 
 
 def dbscan(rows: DataFrame, order: list[str], eps: float = 1.0, min_points: int = 10) -> DataFrame:
-    """rows with cluster (0.. by their first core row in the order, -1 for noise) and n_near (itself included).
-
-    Pairs of rows are only counted, never written: the core rows of a cell with a diagonal of eps are all near each
-    other, so clusters are components of cells, and of the pairs between two cells one row stays. The
-    smallest id spreads along the cells, twice as far in each round. A border row belongs to the lowest-numbered
-    cluster that has a core row near it."""
-    numbered = rows.withColumn("id", F.row_number().over(Window.orderBy(*order)))  # rows are days: a small table
-    numbered = written(z_scored(numbered, z_params(rows)))
-    points = numbered.select("id", "z")
-    degree = written(neighbours(points, eps).groupBy("a").agg(F.count("*").alias("n_near")))
-    side = eps / len(FEATURES) ** 0.5
-    core = points.join(degree.where(F.col("n_near") >= min_points).select(F.col("a").alias("id")), "id")
-    core = written(core.withColumn("cell", F.transform("z", lambda v: F.floor(v / side))))
-    of = lambda side_, name: core.select(F.col("id").alias(side_), F.col("cell").alias(name))
-    near = neighbours(core.select("id", "z"), eps).join(of("a", "ca"), "a").join(of("b", "cb"), "b")
-    edges = written(near.select("ca", "cb").distinct())
-    label = written(core.groupBy("cell").agg(F.min("id").alias("root")))
-    while True:
-        seen = edges.join(label, edges.cb == label.cell).groupBy("ca").agg(F.min("root").alias("root"))
-        # where the root's own cell has moved on, so does the cell
-        jump = core.select(F.col("id").alias("r"), "cell").join(label.select("cell", F.col("root").alias("higher")), "cell").select("r", "higher")
-        new = written(seen.join(jump, seen.root == jump.r).select(F.col("ca").alias("cell"), F.least("root", "higher").alias("root")))
-        if new.join(label, ["cell", "root"], "left_anti").isEmpty():
-            break
-        label = new
-    names = label.select("root").distinct().withColumn("cluster", F.row_number().over(Window.orderBy("root")) - 1)  # one row per cluster
-    of_core = written(core.join(label, "cell").join(names, "root").select("id", "cluster", "z"))
-    border = points.join(of_core.select("id"), "id", "left_anti")
-    beside = neighbours(border, eps, of_core.select("id", "z")).join(of_core.select(F.col("id").alias("b"), "cluster"), "b").groupBy("a").agg(F.min("cluster").alias("c"))
-    known = of_core.select(F.col("id").alias("a"), F.col("cluster").alias("c")).unionByName(beside)
-    out = numbered.join(degree, numbered.id == degree.a).drop("a").join(known, numbered.id == known.a, "left").drop("a")
-    return out.withColumn("cluster", F.coalesce("c", F.lit(-1)).cast("int")).drop("c")
+    """rows with id (1.. in the order), z, cluster (0.. by their first core row in the order, -1 for noise) and n_near
+    (itself included; 0 for rows without a feature, which are noise).
+
+    Equal rows are one point with a weight. Neighbours are counted, core points linked and border rows assigned by
+    boxes (see spatial): only boxes that the radius cuts through are looked into, however dense a place is. A border row
+    belongs to the lowest-numbered cluster that has a core row near it."""
+    rows = written(z_scored(numbered(rows, order, "id"), z_params(rows)))
+    points = written(weighted_points(rows))
+    grid = grid_for(eps, points)
+    counted = written(points.join(near_counts(points, points, grid), "pid"))
+    core, others = counted.where(F.col("n_near") >= min_points), counted.where(F.col("n_near") < min_points)
+    roots = written(groups(near_edges(core, grid)))
+    names = numbered(roots.select("root").distinct(), ["root"], "cluster", 0)
+    of_core = written(core.join(roots, core.pid == roots.node).join(names, "root").select("pid", "z", "n", F.col("cluster").alias("c")))
+    beside = near_groups(others, of_core, grid).groupBy("pid").agg(F.min("c").alias("c"))
+    known = of_core.select("pid", "c").unionByName(beside)
+    found = written(counted.join(known, "pid", "left").select(F.col("z").alias("of"), "n_near", F.coalesce("c", F.lit(-1)).cast("int").alias("cluster")))
+    out = rows.join(found, rows.z == found.of, "left").drop("of")
+    return out.withColumns({"n_near": F.coalesce("n_near", F.lit(0)), "cluster": F.coalesce("cluster", F.lit(-1))})
 
 
 def dbscan_predict(rows: DataFrame, fitted: DataFrame, params: dict, id_col: str, eps: float = 1.0) -> DataFrame:
     """id_col and dbscan_cluster of new rows: the commonest cluster among the fitted rows near it (of equally
     common ones the lowest), or -1 if none is near."""
-    new = z_scored(rows, params).select(F.col(id_col).alias("id"), "z")
-    known = z_scored(fitted, params).where("cluster >= 0").select(F.col("cluster").alias("c"), F.monotonically_increasing_id().alias("id"), "z")
-    known = written(known)
-    votes = neighbours(new, eps, known).join(known.select(F.col("id").alias("b"), "c"), "b").groupBy("a", "c").agg(F.count("*").alias("n"))
-    best = votes.groupBy("a").agg(F.max_by("c", F.struct("n", -F.col("c"))).alias("c"))
-    return new.join(best, new.id == best.a, "left").select(F.col("id").alias(id_col), F.coalesce("c", F.lit(-1)).alias("dbscan_cluster"))
+    new = written(z_scored(rows, params).select(F.col(id_col).alias("key"), "z", F.monotonically_increasing_id().alias("id")))
+    known = z_scored(fitted, params).where("cluster >= 0").groupBy("z", F.col("cluster").alias("c")).agg(F.count("*").alias("n"))
+    known = written(known.withColumn("pid", F.monotonically_increasing_id()))
+    points = written(weighted_points(new))
+    votes = near_groups(points, known, grid_for(eps, points, known))
+    best = votes.groupBy("pid").agg(F.max_by("c", F.struct("n", -F.col("c"))).alias("c"))
+    of_z = points.join(best, "pid").select(F.col("z").alias("of"), "c")
+    return new.join(of_z, new.z == of_z.of, "left").select(F.col("key").alias(id_col), F.coalesce("c", F.lit(-1)).cast("int").alias("dbscan_cluster"))
 
 
 def describe_anomaly(params: dict) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from riverflux.functions.risk import BERLIN, local_day, parse_label
+from riverflux.operators.ordering import numbered
 
 
 #: Bytes, as Spark estimates them, up to which a whole table may be ordered in one task per station.
@@ -113,10 +114,10 @@ def hourly(levels: DataFrame) -> DataFrame:
 
 
 def aligned(levels: DataFrame, upstream: int = 3, downstream: int = 1) -> DataFrame:
-    """i, up, down: hours that both stations have, numbered in order. Series of hours are short."""
+    """i, up, down: hours that both stations have, numbered 0, 1, ... in order."""
     pick = lambda s: F.max(F.when(F.col("station_id") == s, F.col("level_cm")))
     rows = hourly(levels.where(F.col("station_id").isin(upstream, downstream))).groupBy("hour").agg(pick(upstream).alias("up"), pick(downstream).alias("down")).dropna()
-    return rows.withColumn("i", (F.row_number().over(Window.orderBy("hour")) - 1).cast("long"))
+    return numbered(rows, ["hour"], "i", 0)
 
 
 def hour_features(levels: DataFrame, rain: DataFrame, station: int = 1, upstream: int = 3) -> DataFrame:

@@ -6,29 +6,38 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riverflux.functions.risk import RISKS, ordinal, seasonal_wave
+from riverflux.functions.risk import RISKS, seasonal_wave
+from riverflux.operators.ordering import in_blocks
 
 MAX_LAG, SEARCH, PEAK = 48, 12, 1.2
 HORIZONS = (6, 12, 24)
 
 
 def lagged(series: DataFrame, max_lag: int) -> DataFrame:
-    """lag, i, up(i), down(i + lag) for all lags: each hour is sent to the lags it serves, an equi-join."""
-    up = series.select("i", "up", F.explode(F.sequence(F.lit(0), F.lit(max_lag))).alias("lag")).withColumn("j", F.col("i") + F.col("lag"))
-    return up.join(series.select(F.col("i").alias("j"), "down"), "j").select("lag", "i", "up", "down")
+    """series with down0, down1, ...: the downstream level so many rows later. i are consecutive numbers, so a block of
+    them needs max_lag more rows and one window finds all lags; each row is shuffled once, those near a block's end twice."""
+    w = Window.partitionBy("block").orderBy("i")
+    return in_blocks(series, "i", 0, max_lag).withColumns({f"down{k}": F.lead("down", k).over(w) for k in range(max_lag + 1)}).where("inside")
+
+
+def of_each_lag(rows: DataFrame, max_lag: int, **values) -> DataFrame:
+    """lag and the named aggregates (functions of the later downstream level) of rows of lagged(); one pass, one row a task."""
+    one = rows.agg(*[F.struct(F.lit(k).alias("lag"), *[f(F.col(f"down{k}")).alias(n) for n, f in values.items()]).alias(f"l{k}") for k in range(max_lag + 1)])
+    return one.select(F.explode(F.array(*[f"l{k}" for k in range(max_lag + 1)])).alias("l")).select("l.*").where("n > 0")
 
 
 def cross_correlation(series: DataFrame, max_lag: int = MAX_LAG) -> DataFrame:
     """lag, r with the whole series' means and deviations, divided by the number of pairs."""
     m = series.agg(F.avg("up").alias("mu"), F.avg("down").alias("md"), F.stddev_pop("up").alias("su"), F.stddev_pop("down").alias("sd"))
     rows = lagged(series, max_lag).crossJoin(F.broadcast(m))  # one row
-    r = F.sum((F.col("up") - F.col("mu")) * (F.col("down") - F.col("md"))) / F.count("*") / F.max(F.col("su") * F.col("sd"))
-    return rows.groupBy("lag").agg(F.max(F.col("su") * F.col("sd")).alias("d"), F.when(F.max(F.col("su") * F.col("sd")) > 0, r).otherwise(0.0).alias("r")).select("lag", "r")
+    g = of_each_lag(rows, max_lag, n=F.count, s=lambda d: F.sum((F.col("up") - F.col("mu")) * (d - F.col("md"))), of=lambda d: F.max(F.col("su") * F.col("sd")))
+    return g.select("lag", F.when(F.col("of") > 0, F.col("s") / F.col("n") / F.col("of")).otherwise(0.0).alias("r"))
 
 
 def pearson_by_lag(series: DataFrame, max_lag: int = 24) -> DataFrame:
     """lag, r over the pairs of each lag; lags of five pairs or fewer, or with a constant side, drop out."""
-    g = lagged(series, max_lag).groupBy("lag").agg(F.count("*").alias("n"), F.covar_pop("up", "down").alias("c"), F.stddev_pop("up").alias("u"), F.stddev_pop("down").alias("d"))
+    up = lambda d: F.when(d.isNotNull(), F.col("up"))
+    g = of_each_lag(lagged(series, max_lag), max_lag, n=F.count, c=lambda d: F.covar_pop(up(d), d), u=lambda d: F.stddev_pop(up(d)), d=F.stddev_pop)
     return g.where("n > 5 and u > 0 and d > 0").select("lag", (F.col("c") / (F.col("u") * F.col("d"))).alias("r"))
 
 
@@ -39,9 +48,9 @@ def best_lag(correlations: DataFrame) -> DataFrame:
 def peak_pairs(series: DataFrame, lag: int) -> DataFrame:
     """i, up, travel: each high local maximum upstream and the hours to the highest value downstream around
     the lag (of equally high ones the first), where that is 1 to MAX_LAG hours."""
-    w = Window.orderBy("i")  # a series of hours: a small table
-    stats = series.agg(F.avg("up").alias("mean"), F.count("*").alias("n"))
-    rows = series.crossJoin(F.broadcast(stats)).withColumns({"before": F.lag("up").over(w), "after": F.lead("up").over(w)})
+    w = Window.partitionBy("block").orderBy("i")
+    stats = series.agg(F.avg("up").alias("mean"), F.count("*").alias("n"))  # one row
+    rows = in_blocks(series, "i", 1, 1).withColumns({"before": F.lag("up").over(w), "after": F.lead("up").over(w)}).where("inside").crossJoin(F.broadcast(stats))
     peaks = rows.where((F.col("up") > F.col("before")) & (F.col("up") > F.col("after")) & (F.col("up") > F.col("mean") * PEAK) & (F.col("i") >= 1) & (F.col("i") < F.col("n") - lag - 1))
     first, last = F.greatest(F.col("i"), F.col("i") + lag - SEARCH), F.least(F.col("n") - 1, F.col("i") + lag + SEARCH)
     reach = peaks.select("i", "up", F.explode(F.sequence(first, last)).alias("j")).join(series.select(F.col("i").alias("j"), "down"), "j")
@@ -120,5 +129,3 @@ def ensemble(bayes_net: Column, naive_bayes: Column, kmeans: Column, anomaly: Co
     risk = F.when(anomaly & (best == "NORMAL"), "ERHOHT").otherwise(best)
     return risk, (bayes_net == naive_bayes) & (naive_bayes == kmeans) & ~anomaly
 
-
-__all__ = ["best_lag", "cross_correlation", "ensemble", "gram", "ordinal", "peak_pairs", "pearson_by_lag", "regression_fit", "regression_predict", "rmse", "travel_fit", "travel_hours"]

@@ -6,19 +6,24 @@ import io
 from collections.abc import Callable
 from contextlib import redirect_stdout
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riverflux.functions.risk import partition_label
+from riverflux.operators.ordering import numbered
 
 
-def upsert(existing: DataFrame, batch: DataFrame, keys: list[str], update: list[str], order: str | None = None) -> DataFrame:
-    """existing with batch merged in: for a known key only the update columns change, and the batch's last
-    row (by order) wins; a new key takes the update columns of its last row and the rest of its first."""
-    seq = F.col(order).cast("long") if order else F.monotonically_increasing_id()
-    new = batch.withColumn("__at", seq + 1).select(*existing.columns, "__at")
-    both = existing.withColumn("__at", F.lit(-1).cast("long")).unionByName(new)
-    return both.groupBy(*keys).agg(*[(F.max_by if c in update else F.min_by)(c, "__at").alias(c) for c in existing.columns if c not in keys]).select(*existing.columns)
+def upsert(existing: DataFrame, batch: DataFrame, keys: list[str], update: list[str], order: str | Column) -> DataFrame:
+    """existing with batch merged in: for a known key only the update columns change, and the batch's last row wins; a
+    new key takes the update columns of its last row and the rest of its first. order: what tells the batch's rows of a
+    key apart, of any type that has an order; of rows equal in it the one with the largest values is the last, so the
+    result never depends on how the batch is spread."""
+    rest = F.struct(*existing.columns)
+    at = F.struct(F.lit(True).alias("new"), (F.col(order) if isinstance(order, str) else order).alias("order"), rest.alias("row"))
+    new = batch.withColumn("at_", at).select(*existing.columns, "at_")
+    nothing = F.lit(None).cast(new.schema["at_"].dataType["order"].dataType)
+    both = existing.withColumn("at_", F.struct(F.lit(False).alias("new"), nothing.alias("order"), rest.alias("row"))).unionByName(new)  # before all of the batch
+    return both.groupBy(*keys).agg(*[(F.max_by if c in update else F.min_by)(c, "at_").alias(c) for c in existing.columns if c not in keys]).select(*existing.columns)
 
 
 def write_partitioned(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -38,8 +43,8 @@ def write_predictions(df: DataFrame, path: str) -> None:
 
 
 def add_ids(df: DataFrame, id_col: str, order: list[str]) -> DataFrame:
-    """Surrogate keys 1.. in an order, for small tables (dimensions, predictions of a day)."""
-    return df.withColumn(id_col, F.row_number().over(Window.orderBy(*order)))
+    """Surrogate keys 1.. in an order."""
+    return numbered(df, order, id_col)
 
 
 def add_column_if_missing(df: DataFrame, name: str, type_: str, default=None) -> DataFrame:

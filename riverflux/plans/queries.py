@@ -11,6 +11,8 @@ from riverflux.functions import risk as R
 from riverflux.operators import assess as A
 from riverflux.operators import bayes, clusters, series, storage
 from riverflux.operators import readings as G
+from riverflux.operators.ordering import in_blocks
+from riverflux.plans import model_sql as M
 from riverflux.schemas import stations
 from riverflux.scratch import table_path, written
 from riverflux.sources import adapters as S
@@ -42,7 +44,7 @@ pairs AS (SELECT row_number() OVER (ORDER BY hour) - 1 AS i, up, down FROM (SELE
 lags AS (SELECT CAST(l.lag AS INTEGER) AS lag, a.i AS i, a.up AS up, b.down AS down FROM pairs a, (SELECT unnest(range(0, 49)) AS lag) l, pairs b WHERE b.i = a.i + l.lag)
 """
 LABEL_SQL = "CASE WHEN lower(trim({0})) IN ('erhoht', 'erhöht') THEN 'ERHOHT' WHEN lower(trim({0})) IN ('kritisch', 'gefahr') THEN 'GEFAHR' ELSE 'NORMAL' END"
-LONG_CTES = f"""
+LONG_TABLES = f"""
 lwater AS (SELECT CAST(1 + o_custkey % 4 AS INTEGER) AS station_id, o_orderdate + to_hours(CAST(o_orderkey % 24 AS INTEGER)) AS measured_at, max(o_totalprice) / 1000 AS level_cm FROM orders GROUP BY 1, 2),
 lrain AS (SELECT l_shipdate + to_hours(CAST(l_orderkey % 24 AS INTEGER)) AS measured_at, CAST(1 + l_suppkey % 4 AS INTEGER) AS station_id, greatest(arg_max(CAST(l_quantity AS DOUBLE), l_orderkey * 10 + l_linenumber) - 46, 0) * 1.5 AS rainfall_mm FROM lineitem GROUP BY 1, 2),
 lfloods AS (SELECT CAST(s AS DATE) AS start_date, CAST(e AS DATE) AS end_date, category FROM (VALUES ('1995-03-01','1995-03-20','kritisch'),('1996-07-10','1996-07-25','gefahr'),('1997-11-01','1997-11-15','kritisch'),
@@ -53,7 +55,10 @@ ldaily AS (SELECT day, station_id, max(level_cm) AS mx, avg(level_cm) AS av, max
 lwet AS (SELECT {DAY_SQL.format('measured_at')} AS day, sum(rainfall_mm) AS mm FROM lrain WHERE measured_at >= TIMESTAMP '{LONG_START}' AND measured_at < TIMESTAMP '{LONG_END}' GROUP BY 1),
 lp AS (SELECT m.day AS day, m.mx AS max_level_cm, m.av AS avg_level_cm, coalesce(m.rt, 0) AS max_rate_cm_h, coalesce(lwet.mm, 0) AS total_precip_mm, coalesce(u.mx, 0) AS upstream_max_cm,
     {LABEL_SQL.format('lfloods.category')} AS label
-  FROM ldaily m LEFT JOIN ldaily u ON u.day = m.day AND u.station_id = 3 LEFT JOIN lwet ON lwet.day = m.day LEFT JOIN lfloods ON m.day BETWEEN start_date AND coalesce(end_date, start_date) WHERE m.station_id = 1),
+  FROM ldaily m LEFT JOIN ldaily u ON u.day = m.day AND u.station_id = 3 LEFT JOIN lwet ON lwet.day = m.day LEFT JOIN lfloods ON m.day BETWEEN start_date AND coalesce(end_date, start_date) WHERE m.station_id = 1)
+"""
+#: The models of profiles lp.
+MODELS = f"""
 feats AS (UNPIVOT lp ON max_level_cm, avg_level_cm, max_rate_cm_h, total_precip_mm, upstream_max_cm INTO NAME feature VALUE x),
 risks AS (SELECT * FROM (VALUES (0, 'NORMAL'), (1, 'ERHOHT'), (2, 'GEFAHR')) v(o, label)),
 nb AS (SELECT r.o AS o, r.label AS label, f.feature AS feature, coalesce(avg(x), 0) AS mean, coalesce(var_samp(x), 1) AS var, coalesce(nullif(count(x), 0) / (SELECT count(*) FROM lp), 1 / ((SELECT count(*) FROM lp) + 3)) AS prior
@@ -64,8 +69,10 @@ soils AS (SELECT *, CASE WHEN season = 'SPRING' AND total_precip_mm > 5 OR seaso
 vr AS (SELECT unnest(['NONE', 'LIGHT', 'HEAVY']) AS rain), vu AS (SELECT unnest(['LOW', 'MEDIUM', 'HIGH']) AS upstream), vs AS (SELECT unnest(['SPRING', 'SUMMER', 'AUTUMN', 'WINTER']) AS season), vm AS (SELECT unnest(['DRY', 'MOIST', 'SATURATED']) AS soil), vk AS (SELECT label AS risk FROM risks),
 cpt_soil AS (SELECT rain, season, soil, (n + 1.0::DOUBLE) / (sum(n) OVER (PARTITION BY rain, season) + 3) AS p FROM (SELECT vr.rain, vs.season, vm.soil, count(soils.day) AS n FROM vr CROSS JOIN vs CROSS JOIN vm LEFT JOIN soils ON soils.rain = vr.rain AND soils.season = vs.season AND soils.soil = vm.soil GROUP BY 1, 2, 3)),
 cpt_risk AS (SELECT upstream, soil, risk, (n + 1.0::DOUBLE) / (sum(n) OVER (PARTITION BY upstream, soil) + 3) AS p FROM (SELECT vu.upstream, vm.soil, vk.risk, count(soils.day) AS n FROM vu CROSS JOIN vm CROSS JOIN vk LEFT JOIN soils ON soils.upstream = vu.upstream AND soils.soil = vm.soil AND soils.label = vk.risk GROUP BY 1, 2, 3)),
-joint AS (SELECT lp.day AS day, lp.label AS label, nb.o AS o, any_value(ln(prior)) + sum(-0.5 * ln(2 * pi() * greatest(var, 1e-9)) - (x - mean) * (x - mean) / (2 * greatest(var, 1e-9))) AS j FROM feats lp JOIN nb ON nb.feature = lp.feature GROUP BY 1, 2, 3)
+joint AS (SELECT lp.day AS day, lp.label AS label, nb.o AS o, any_value(ln(prior)) + sum(-0.5 * ln(2 * pi() * greatest(var, 1e-9)) - (x - mean) * (x - mean) / (2 * greatest(var, 1e-9))) AS j FROM (SELECT DISTINCT day, label, feature, x FROM feats) lp JOIN nb ON nb.feature = lp.feature GROUP BY 1, 2, 3)
 """
+LONG_CTES = LONG_TABLES + "," + MODELS
+MONTH_CTES = f"{CTES}, lp AS (SELECT * REPLACE ({LABEL_SQL.format('label')} AS label) FROM profiles), {MODELS}"
 
 SAMPLES_SQL = """, fx AS MATERIALIZED (SELECT a.hour AS hour, 1.0::DOUBLE AS x0, a.level_cm AS x1, a.level_cm - p.level_cm AS x2, u.level_cm AS x3,
   coalesce((SELECT sum(rainfall_mm) FROM rain WHERE date_trunc('hour', measured_at) BETWEEN a.hour - INTERVAL 23 HOURS AND a.hour), 0) AS x4, sin(2 * pi() * dayofyear(a.hour) / 365) AS x5, cos(2 * pi() * dayofyear(a.hour) / 365) AS x6
@@ -94,10 +101,10 @@ REGRESSION_SQL = CTES + SAMPLES_SQL + elimination_sql()
 #: Date columns of the results, which are given as text: engines hand out dates in different types.
 DATES = {
     "reload_flood_events": ["start_date", "end_date"], "flood_events_safe": ["start_date", "end_date", "end_date_safe"], "event_durations": ["start_date"], "peak_ranking": ["start_date"],
-    "latest_prediction": ["for_date"], "forecast_series": ["for_date"], "local_time_conversion": ["local_day"],
+    "latest_prediction": ["for_date"], "predictions": ["for_date"], "forecast_series": ["for_date"], "local_time_conversion": ["local_day"],
 } | dict.fromkeys(
     "abs_rate_after_filter daily_levels daily_precip zscore_anomaly upstream_self_join rain_left_join event_range_join eps_neighbour_counts daily_profiles daily_profiles_labelled daily_profiles_deduped "
-    "daily_profiles_long profile_for_date season_soil_bins day_of_year_sincos format_arrival nb_probabilities bn_infer".split(),
+    "daily_profiles_long profile_for_date season_soil_bins day_of_year_sincos format_arrival nb_probabilities bn_infer kmeans_clusters dbscan_labels assess_risk model_comparison".split(),
     ["day"],
 )
 
@@ -109,7 +116,7 @@ def query(name: str, sql: str | None = None, ctes: str = CTES):
         dates = DATES.get(name, [])
         QUERIES[name] = (lambda s, d: f(s, d).withColumns({c: F.col(c).cast("string") for c in dates})) if dates else f
         if sql:
-            whole = f"WITH {ctes}\n{sql}" if ctes else sql
+            whole = f"WITH RECURSIVE {ctes}\n{sql}" if ctes else sql
             SQL[name] = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS VARCHAR) AS {c}' for c in dates)}) FROM ({whole})" if dates else whole
         return f
 
@@ -120,6 +127,11 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+def rounded_levels(df: DataFrame) -> DataFrame:
+    """Forecast levels to three digits, the rest to six: two ways of solving the normal equations agree to these."""
+    return rounded(df.withColumns({c: F.round(c, 3) for c in df.columns if c.startswith("level_")}))
+
+
 def ntz(text: str) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
@@ -181,10 +193,10 @@ def latest_and_delta(s, d):
 
 @query("local_peaks", "SELECT i, round(up, 6) AS up FROM (SELECT *, lag(up) OVER (ORDER BY i) AS b, lead(up) OVER (ORDER BY i) AS a, avg(up) OVER () AS m FROM pairs) WHERE up > a AND up > b AND up > 1.2 * m")
 def local_peaks(s, d):
-    w = Window.orderBy("i")
-    rows = pairs(s, d)
-    mean = rows.agg(F.avg("up").alias("m"))
-    rows = rows.withColumns({"b": F.lag("up").over(w), "a": F.lead("up").over(w)}).crossJoin(F.broadcast(mean))
+    rows = written(pairs(s, d))
+    mean = rows.agg(F.avg("up").alias("m"))  # one row
+    w = Window.partitionBy("block").orderBy("i")
+    rows = in_blocks(rows, "i", 1, 1).withColumns({"b": F.lag("up").over(w), "a": F.lead("up").over(w)}).where("inside").crossJoin(F.broadcast(mean))
     return rounded(rows.where((F.col("up") > F.col("a")) & (F.col("up") > F.col("b")) & (F.col("up") > F.col("m") * 1.2)).select("i", "up"))
 
 
@@ -262,15 +274,15 @@ def lead_targets(s, d):
     return rounded(out)
 
 
-Z_SQL = "z AS (SELECT row_number() OVER (ORDER BY day, label NULLS FIRST) AS id, (max_level_cm - avg(max_level_cm) OVER ()) / stddev_pop(max_level_cm) OVER () AS a, (avg_level_cm - avg(avg_level_cm) OVER ()) / stddev_pop(avg_level_cm) OVER () AS b, (max_rate_cm_h - avg(max_rate_cm_h) OVER ()) / stddev_pop(max_rate_cm_h) OVER () AS c, (total_precip_mm - avg(total_precip_mm) OVER ()) / stddev_pop(total_precip_mm) OVER () AS d, (upstream_max_cm - avg(upstream_max_cm) OVER ()) / stddev_pop(upstream_max_cm) OVER () AS e, day FROM lp)"
+Z_OF = "({0} - avg({0}) OVER ()) / (CASE WHEN stddev_pop({0}) OVER () > 1e-9 THEN stddev_pop({0}) OVER () ELSE 1 END) AS {1}"
+Z_SQL = f"z AS MATERIALIZED (SELECT row_number() OVER (ORDER BY day, label NULLS FIRST) AS id, {', '.join(Z_OF.format(c, a) for c, a in zip(R.FEATURES, 'abcde'))}, day, label FROM lp)"
 
 
 @query("eps_neighbour_counts", "SELECT x.day AS day, count(*) AS n_near FROM z x, z y WHERE sqrt((x.a-y.a)**2 + (x.b-y.b)**2 + (x.c-y.c)**2 + (x.d-y.d)**2 + (x.e-y.e)**2) <= 1.0 GROUP BY x.day, x.id", LONG_CTES + ", " + Z_SQL)
 def eps_neighbour_counts(s, d):
     rows = once(s, d)
-    z = clusters.z_scored(rows.withColumn("id", F.row_number().over(Window.orderBy("day", "label"))), clusters.z_params(rows))
-    near = clusters.neighbours(z.select("id", "z"), 1.0).groupBy("a").agg(F.count("*").alias("n_near"))
-    return near.join(z.select(F.col("id").alias("a"), "day"), "a").select("day", "n_near")
+    z = clusters.z_scored(rows, clusters.z_params(rows)).withColumn("id", F.monotonically_increasing_id())
+    return z.select("day", F.col("z").alias("own")).join(clusters.neighbour_counts(z), F.col("own") == F.col("z")).select("day", "n_near")
 
 
 # ---- profiles
@@ -303,13 +315,15 @@ def upsert_levels(s, d):
     return storage.upsert(old, batch, ["station_id", "measured_at"], ["level_cm"], "n")
 
 
-@query("upsert_precipitation", f"SELECT station_id, measured_at, CASE WHEN measured_at >= TIMESTAMP '{AS_OF}' THEN rainfall_mm * 2 ELSE rainfall_mm END AS rainfall_mm FROM rain")
+@query("upsert_precipitation", f"SELECT station_id, measured_at, CASE WHEN measured_at >= TIMESTAMP '{AS_OF}' THEN rainfall_mm * 2 ELSE rainfall_mm END AS rainfall_mm FROM rain UNION ALL SELECT station_id, measured_at + INTERVAL 1000 HOURS, rainfall_mm * 2 FROM rain WHERE measured_at >= TIMESTAMP '{AS_OF}'")
 def upsert_rain(s, d):
+    """A batch of known and new keys, each three times; the amount that came last stays."""
     old = S.precipitation(s, d)
-    batch = old.where(F.col("measured_at") >= ntz(AS_OF)).withColumn("rainfall_mm", F.col("rainfall_mm") * 2)
-    return storage.upsert(old, batch, ["station_id", "measured_at"], ["rainfall_mm"])
-
-
+    known = old.where(F.col("measured_at") >= ntz(AS_OF))
+    new = known.unionByName(known.withColumn("measured_at", F.col("measured_at") + F.expr("INTERVAL 1000 HOURS")))
+    times = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(x).alias("x")) for n, x in ((2, 7.0), (3, 2.0), (1, 9.0))])).alias("t")
+    batch = new.select("station_id", "measured_at", "rainfall_mm", times).select("station_id", "measured_at", (F.col("rainfall_mm") * F.col("t.x")).alias("rainfall_mm"), "t.n")
+    return storage.upsert(old, batch, ["station_id", "measured_at"], ["rainfall_mm"], "n")
 
 
 @query("reload_flood_events", "SELECT * FROM floods")
@@ -471,21 +485,21 @@ def regression_rmse(s, d):
     return rounded(series.rmse(series.regression_predict(rows, series.regression_fit(rows))), 3)
 
 
-@query("kmeans_clusters")
+@query("kmeans_clusters", "SELECT lp.day AS day, round(max_level_cm, 8) AS max_level_cm, round(avg_level_cm, 8) AS avg_level_cm, round(max_rate_cm_h, 8) AS max_rate_cm_h, round(total_precip_mm, 8) AS total_precip_mm, round(upstream_max_cm, 8) AS upstream_max_cm, lp.label AS label, cluster, km_risk FROM lp JOIN km ON km.day = lp.day AND km.label = lp.label", f"{LONG_CTES}, {Z_SQL}, {M.kmeans()}")
 def kmeans_clusters(s, d):
     rows = once(s, d)
-    return rounded(clusters.kmeans_predict(rows, clusters.kmeans_fit(rows)))
+    return rounded(clusters.kmeans_predict(rows, clusters.kmeans_fit(rows, ["day", "label"])), 8)
 
 
-@query("dbscan_labels")
+@query("dbscan_labels", "SELECT day, cluster, n_near FROM db", f"{LONG_CTES}, {Z_SQL}, {M.dbscan()}")
 def dbscan_labels(s, d):
     return clusters.dbscan(once(s, d), ["day", "label"]).select("day", "cluster", F.col("n_near").cast("long").alias("n_near"))
 
 
-@query("dbscan_summary")
+@query("dbscan_summary", "SELECT count(*) AS n, max(cluster) + 1 AS clusters, count(*) FILTER (cluster = -1) AS noise, round(100 * count(*) FILTER (cluster = -1) / count(*), 6) AS noise_percent FROM db", f"{LONG_CTES}, {Z_SQL}, {M.dbscan()}")
 def dbscan_summary(s, d):
     noise = F.count_if(F.col("cluster") == -1)
-    return rounded(dbscan_labels(s, d).agg(F.count("*").alias("n"), (F.max("cluster") + 1).alias("clusters"), noise.alias("noise"), (100 * noise / F.count("*")).alias("noise_percent")))
+    return rounded(dbscan_labels(s, d).agg(F.count("*").alias("n"), (F.max("cluster") + 1).cast("long").alias("clusters"), noise.alias("noise"), (100 * noise / F.count("*")).alias("noise_percent")))
 
 
 VOTES = "SELECT * FROM (VALUES ('NORMAL','NORMAL','NORMAL',false),('NORMAL','GEFAHR','GEFAHR',false),('NORMAL','NORMAL','GEFAHR',true),('GEFAHR','GEFAHR','GEFAHR',false),('ERHOHT','GEFAHR','NORMAL',true)) v(bn, nb, km, anomaly)"
@@ -504,7 +518,8 @@ def assessed(s, d) -> DataFrame:
     return A.assess(rows, A.train_models(rows, pairs(s, d)))
 
 
-query("assess_risk")(lambda s, d: rounded(assessed(s, d).select("day", "risk_level", "high_confidence", "nb_risk", "bn_risk", "km_risk", "is_anomaly", "dbscan_cluster", "travel_hours", "anomaly_text", "p_normal", "p_erhoht", "p_gefahr")))
+ASSESS = f"{Z_SQL}, {M.kmeans()}, {M.dbscan()}, {M.assessed()}"
+query("assess_risk", f"SELECT day, risk_level, high_confidence, nb_risk, bn_risk, km_risk, is_anomaly, dbscan_cluster, round(travel_hours, 6) AS travel_hours, anomaly_text, {M.rounded_p()} FROM assessed", f"{CTES}{PAIRS_SQL}, {LONG_CTES}, {ASSESS}")(lambda s, d: rounded(assessed(s, d).select("day", "risk_level", "high_confidence", "nb_risk", "bn_risk", "km_risk", "is_anomaly", "dbscan_cluster", "travel_hours", "anomaly_text", "p_normal", "p_erhoht", "p_gefahr")))
 
 
 def assessed_month(s, d) -> DataFrame:
@@ -512,8 +527,8 @@ def assessed_month(s, d) -> DataFrame:
     return A.assess(rows, A.train_models(rows, pairs(s, d)))
 
 
-query("predictions")(lambda s, d: rounded(A.as_predictions(assessed_month(s, d), forecasts(s, d))))
-query("model_comparison")(lambda s, d: rounded(A.model_comparison(assessed_month(s, d))))
+query("predictions", f"SELECT 1 AS station_id, day AS for_date, CAST(day AS TIMESTAMP) AS predicted_at, risk_level, {M.rounded_p()}, round(level_6h_cm, 3) AS level_6h_cm, round(level_12h_cm, 3) AS level_12h_cm, round(level_24h_cm, 3) AS level_24h_cm, round(travel_hours, 6) AS travel_hours, is_anomaly, dbscan_cluster, high_confidence FROM assessed LEFT JOIN fday ON for_date = day", f"{MONTH_CTES}{PAIRS_SQL}, {ASSESS}{SAMPLES_SQL}{elimination_sql()}")(lambda s, d: rounded_levels(A.as_predictions(assessed_month(s, d), forecasts(s, d))))
+query("model_comparison", f"SELECT day, model, {M.rounded_p()} FROM (SELECT day, 'naive_bayes' AS model, p_normal, p_erhoht, p_gefahr FROM assessed UNION ALL SELECT day, 'bayes_net', bn_normal, bn_erhoht, bn_gefahr FROM assessed UNION ALL SELECT day, 'kmeans', (km_risk = 'NORMAL')::INT::DOUBLE, (km_risk = 'ERHOHT')::INT::DOUBLE, (km_risk = 'GEFAHR')::INT::DOUBLE FROM assessed)", f"{MONTH_CTES}{PAIRS_SQL}, {ASSESS}")(lambda s, d: rounded(A.model_comparison(assessed_month(s, d))))
 ACCURACY_SQL = "SELECT fold, count(*) AS n, round(avg((actual = predicted)::INT), 6) AS accuracy FROM (SELECT cp.*, dealt.fold AS fold FROM cp JOIN dealt ON dealt.day = cp.day AND dealt.label = cp.actual) GROUP BY {}"
 query("cv_accuracy", ACCURACY_SQL.format("fold") + " UNION ALL " + ACCURACY_SQL.format("ALL").replace("SELECT fold, count", "SELECT 0 AS fold, count").replace(" GROUP BY ALL", ""), LONG_CTES + CV_SQL)(lambda s, d: rounded(bayes.fold_accuracy(once(s, d))))
 

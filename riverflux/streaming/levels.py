@@ -37,7 +37,7 @@ def upsert_stream(levels: DataFrame, target: str, checkpoint: str, order: str |
 
     A batch reads and writes only the days it touches. They are staged beside the checkpoint before they replace
     the table's; a batch that is run again replaces them from there, so a restart neither loses nor repeats
-    rows. order: the column that tells which of a batch's readings for one key is the last."""
+    rows. order: the column that tells which of a batch's readings for one key is the last; without one it is the largest."""
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -46,7 +46,7 @@ def upsert_stream(levels: DataFrame, target: str, checkpoint: str, order: str |
             rows = batch.withColumn("day", F.to_date("measured_at"))
             days = [r.day for r in rows.select("day").distinct().collect()]  # the days of one batch
             old = spark.read.parquet(target).where(F.col("day").isin(days)) if _exists(spark, target) else rows.drop(*([order] if order else [])).limit(0)
-            upsert(old, rows, KEYS, ["level_cm"], order).write.mode("overwrite").parquet(staged)
+            upsert(old, rows, KEYS, ["level_cm"], order or F.lit(0)).write.mode("overwrite").parquet(staged)
         rows = spark.read.parquet(staged)
         rows.repartition("day").sortWithinPartitions(*KEYS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(target)
         if batch_id:

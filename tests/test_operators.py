@@ -47,7 +47,7 @@ def test_rate_follows_the_filter(spark):
 def test_upsert_keeps_first_source_and_last_level(spark):
     old = levels(spark, [(1, "2024-01-01 10:00:00", 100.0, "A")])
     new = levels(spark, [(1, "2024-01-01 10:00:00", 110.0, "B"), (1, "2024-01-01 10:00:00", 120.0, "C"), (2, "2024-01-01 10:00:00", 7.0, "D"), (2, "2024-01-01 10:00:00", 8.0, "E")]).coalesce(1)
-    out = {r.station_id: (r.level_cm, r.source) for r in storage.upsert(old, new, ["station_id", "measured_at"], ["level_cm"]).collect()}
+    out = {r.station_id: (r.level_cm, r.source) for r in storage.upsert(old, new, ["station_id", "measured_at"], ["level_cm"], "source").collect()}
     assert out == {1: (120.0, "A"), 2: (8.0, "D")}
 
 
@@ -109,11 +109,56 @@ def test_dbscan_matches_brute_force(spark):
     assert out == brute_dbscan(z, 0.5, 6) and max(out) >= 1
 
 
+@pytest.mark.parametrize("leaf", [1, 8, 1 << 14])
+def test_dbscan_counts_whatever_is_cut(spark, monkeypatch, leaf):
+    """Small leaves cut boxes down to single points; repeated rows weigh what they are."""
+    from riverflux.operators import spatial
+
+    monkeypatch.setattr(spatial, "LEAF", leaf)
+    rng = np.random.default_rng(8)
+    points = np.concatenate([rng.normal(m, 0.4, (25, 5)) for m in (0, 3)] + [rng.uniform(-2, 5, (15, 5))])
+    points = np.concatenate([points, points[:20], np.repeat(points[3:4], 30, 0)])[rng.permutation(115)]
+    rows = [(f"{1990 + i // 12}-{i % 12 + 1:02d}-01", *map(float, p), "NORMAL") for i, p in enumerate(points)]
+    out = clusters.dbscan(profile_rows(spark, rows), ["day"], 0.6, 5).orderBy("day").collect()
+    z = (points - points.mean(0)) / points.std(0)
+    near = [(np.linalg.norm(z - p, axis=1) <= 0.6).sum() for p in z]
+    assert [r.n_near for r in out] == near and [r.cluster for r in out] == brute_dbscan(z, 0.6, 5)
+
+
+def test_dense_days_are_counted_and_not_compared(spark, monkeypatch):
+    """100 000 equal days are one point, and as many that differ a little are boxes within the radius."""
+    from riverflux.operators import spatial
+
+    seen = []
+    whole = spatial.compared
+    monkeypatch.setattr(spatial, "compared", lambda *a: seen.append(a[2].leaf.count()) or whole(*a))
+    same = spark.range(100_000).select(F.date_add(F.lit("1900-01-01").cast("date"), (F.col("id") % 40_000).cast("int")).alias("day"), *[F.lit(float(k)).alias(c) for k, c in enumerate(R.FEATURES)])
+    close = spark.range(100_000).select(F.date_add(F.lit("2000-01-01").cast("date"), (F.col("id") % 40_000).cast("int")).alias("day"), *[(100.0 + k + (F.xxhash64("id", F.lit(k)) % 1000) * 1e-6).alias(c) for k, c in enumerate(R.FEATURES)])
+    out = clusters.dbscan(same.unionByName(close), ["day"], 1.0, 10).groupBy("cluster", "n_near").count().collect()
+    assert sorted(map(tuple, out)) == [(0, 100_000, 100_000), (1, 100_000, 100_000)]
+    assert seen and sum(seen) == 0
+
+
+def test_dbscan_without_clusters_and_with_gaps(spark):
+    rows = profile_rows(spark, [("2024-01-01", 1.0, 1.0, 1.0, 1.0, 1.0, "NORMAL"), ("2024-01-02", None, 2.0, 1.0, 1.0, 1.0, "NORMAL")])
+    assert [(r.cluster, r.n_near) for r in clusters.dbscan(rows, ["day"]).orderBy("day").collect()] == [(-1, 1), (-1, 0)]
+    assert clusters.dbscan(rows.limit(0), ["day"]).count() == 0
+
+
+def test_new_rows_get_the_commonest_cluster_near_them(spark):
+    fitted = profile_rows(spark, [(f"2024-01-{i + 1:02d}", float(i // 5 * 9), 0.0, 0.0, 0.0, 0.0, "NORMAL") for i in range(10)])
+    params = {c: (0.0, 1.0) for c in R.FEATURES}
+    labelled = fitted.withColumn("cluster", F.when(F.col("max_level_cm") > 0, 1).otherwise(0))
+    new = profile_rows(spark, [("2024-02-01", 0.5, 0.0, 0.0, 0.0, 0.0, None), ("2024-02-02", 8.5, 0.0, 0.0, 0.0, 0.0, None), ("2024-02-03", 4.0, 0.0, 0.0, 0.0, 0.0, None)])
+    out = {str(r.day)[-2:]: r.dbscan_cluster for r in clusters.dbscan_predict(new, labelled, params, "day").collect()}
+    assert out == {"01": 0, "02": 1, "03": -1}
+
+
 def test_kmeans_reaches_a_fixed_point(spark):
     rng = np.random.default_rng(5)
     rows = [(f"{1900 + i}-01-01", *map(float, rng.normal(m, 1, 5)), "NORMAL") for i, m in enumerate([0] * 20 + [50] * 20 + [100] * 20)]
     df = profile_rows(spark, rows)
-    model = clusters.kmeans_fit(df)
+    model = clusters.kmeans_fit(df, ["day"])
     out = clusters.kmeans_predict(df, model).orderBy("day").collect()
     assert [r.km_risk for r in out] == ["NORMAL"] * 20 + ["ERHOHT"] * 20 + ["GEFAHR"] * 20
 
