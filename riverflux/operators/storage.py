@@ -39,7 +39,13 @@ def reload(df: DataFrame, path: str) -> None:
 
 
 def write_predictions(df: DataFrame, path: str) -> None:
-    df.write.mode("append").partitionBy("for_date").parquet(path)
+    """Append rows of the predictions table, numbered on from the largest prediction_id there. One writer at a time."""
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    last = (spark.read.parquet(path).agg(F.max("prediction_id")).first()[0] if there else None) or 0
+    rows = numbered(df, ["station_id", "for_date", "predicted_at"], "prediction_id", last + 1).withColumn("prediction_id", F.col("prediction_id").cast("int"))
+    rows.write.mode("append").partitionBy("for_date").parquet(path)
 
 
 def add_ids(df: DataFrame, id_col: str, order: list[str]) -> DataFrame:

@@ -252,6 +252,89 @@ def test_a_failing_source_leaves_the_others(spark):
     assert "Range" in storage.plan_text(spark.range(3))
 
 
+def test_episodes_cross_months_and_match_sessions(spark, tmp_path):
+    from riverflux.operators import episodes as E
+    from riverflux.streaming import levels as L
+
+    rng = random.Random(6)
+    start, rows = np.datetime64("2024-01-31T22:30:00"), []
+    for s in (1, 2):
+        at = start
+        for k in range(300):
+            at = at + np.timedelta64(20 if k < 9 else rng.choice([10, 20, 60, 61, 200]), "m")
+            rows.append((s, str(at).replace("T", " "), float(rng.choice([100, 250, 360, 360.5][k < 9 :])), "a"))
+    df = levels(spark, rows)
+    got = {(r.station_id, str(r.start_at)): (str(r.end_at), r.peak_level_cm, str(r.peak_at), r.n_readings) for r in E.episodes(df, 200.0, 60).collect()}
+    want, last = {}, {}
+    for s, t, v, _ in rows:
+        if v >= 200:
+            if s in last and np.datetime64(t) - np.datetime64(last[s][1]) <= np.timedelta64(60, "m"):
+                run = want[s, last[s][0]]
+                run.append((t, v))
+                last[s] = (last[s][0], t)
+            else:
+                want[s, t] = [(t, v)]
+                last[s] = (t, t)
+    assert got == {k: (run[-1][0], max(v for _, v in run), min((-v, t) for t, v in run)[1], len(run)) for k, run in want.items()}
+    assert any(k[1] < "2024-02-01" <= v[0] for k, v in got.items())
+
+    folder = str(tmp_path / "in")
+    for i in range(3):
+        df.where(F.date_format("measured_at", "dd").cast("int") % 3 == i).coalesce(1).write.mode("append").parquet(folder)
+    q = E.episode_stream(L.read_levels(spark, folder, LEVELS, 1), 200.0, 60, "30 days").writeStream.format("memory").queryName("episodes").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert {(r.station_id, str(r.start_at)): (str(r.end_at), r.peak_level_cm, str(r.peak_at), r.n_readings) for r in spark.table("episodes").collect()} == got
+
+
+def test_cached_results_are_made_again_when_old(spark):
+    from riverflux.plans.dashboard import TableCache
+
+    now, made = [0.0], []
+    cache = TableCache(300, lambda: now[0])
+    make = lambda path: made.append(path) or spark.range(len(made)).write.parquet(path)
+    assert [cache.get(spark, ("a",), make).count() for _ in range(2)] == [1, 1]
+    now[0] = 299.0
+    assert cache.get(spark, ("a",), make).count() == 1 and cache.get(spark, ("b",), make).count() == 2
+    now[0] = 300.0
+    assert cache.get(spark, ("a",), make).count() == 3
+
+
+def test_predictions_are_numbered_on(spark, tmp_path):
+    from riverflux.plans import dashboard as D
+
+    row = lambda day, at, risk: spark.createDataFrame([(1, day, at, risk, 1.0, True)], "station_id int, d string, t string, risk_level string, level_24h_cm double, high_confidence boolean").selectExpr("station_id", "cast(d as date) as for_date", "cast(t as timestamp_ntz) as predicted_at", "risk_level", "level_24h_cm", "high_confidence")
+    path = str(tmp_path / "p")
+    storage.write_predictions(row("2024-01-01", "2024-01-01 06:00:00", "NORMAL").unionByName(row("2024-01-02", "2024-01-02 06:00:00", "NORMAL")), path)
+    storage.write_predictions(row("2024-01-02", "2024-01-02 09:00:00", "GEFAHR"), path)
+    table = spark.read.parquet(path)
+    assert sorted(r.prediction_id for r in table.collect()) == [1, 2, 3]
+    day = F.lit("2024-01-02").cast("date")
+    assert D.latest_prediction(table, day).first().risk_level == "GEFAHR"
+    last = spark.createDataFrame([(5.0, 1.0)], "latest_cm double, delta_cm double")
+    assert D.kpi_row(last, D.latest_prediction(table, day)).first().risk_level == "GEFAHR"
+    assert D.kpi_row(last, D.latest_prediction(table, F.lit("2030-01-01").cast("date"))).first().asDict() == {"latest_cm": 5.0, "delta_cm": 1.0, "risk_level": None, "level_24h_cm": None, "high_confidence": None}
+
+
+def test_partly_trained_models_assess(spark):
+    from riverflux.operators import assess, reports
+
+    rng = np.random.default_rng(2)
+    rows = [(f"2024-{1 + i // 28:02d}-{1 + i % 28:02d}", *map(float, rng.normal(m, 5, 5)), label) for i, (m, label) in enumerate([(20, "NORMAL"), (60, "ERHOHT"), (99, "GEFAHR")] * 20)]
+    df = profile_rows(spark, rows)
+    with pytest.raises(ValueError):
+        assess.assess(df, assess.Models())
+    models = assess.train_models(df)
+    out = assess.assess(df, models)
+    first = out.orderBy("day").first()
+    assert first.travel_hours == -1 and first.forecast is None and first.risk_level == "NORMAL"
+    now = spark.createDataFrame([("2024-01-01", "2024-01-01 12:00:00", 20.0, 1.0, 30.0, 0.0)], "d string, t string, level_cm double, rate_cm_h double, upstream_cm double, precip_mm double").selectExpr("cast(d as date) as day", "cast(t as timestamp_ntz) as hour", "level_cm", "rate_cm_h", "upstream_cm", "precip_mm")
+    models.travel, models.regression = (0.0, 7.0), {h: [float(h), 1.0, 0.0, 0.0, 0.0, 0.0, 0.0] for h in (6, 12, 24)}
+    both = assess.assess(df, models, now).orderBy("day").collect()
+    assert both[0].forecast.asDict() == {"level_6h_cm": 26.0, "level_12h_cm": 32.0, "level_24h_cm": 44.0} and both[1].forecast is None
+    lines = [r.lines for r in reports.assessment_report(assess.assess(df, models, now)).orderBy("day").collect()]
+    assert lines[0][0].startswith("risk: NORMAL") and "arrival in 7.0 hours" in lines[0] and "levels: 26 cm in 6 h, 32 cm in 12 h, 44 cm in 24 h" in lines[0] and len(lines[1]) < len(lines[0])
+
+
 def test_a_day_without_readings_is_an_error(spark):
     df = levels(spark, [(1, "2024-01-02 10:00:00", 1.0, "a")])
     rain = df.select("station_id", "measured_at", F.lit(0.0).alias("rainfall_mm"))
