@@ -71,6 +71,12 @@ def daily_rain(rain: DataFrame, start: str, end: str, tz: str = BERLIN, stations
     return rows.groupBy(local_day(F.col("measured_at"), tz).alias("day")).agg(F.sum("rainfall_mm").alias("total_precip_mm"))
 
 
+def flood_days(events: DataFrame) -> DataFrame:
+    """day, peak_level_cm, category: a row for each day of each event; one that ends before it starts has none."""
+    last = F.coalesce("end_date", "start_date")
+    return events.where(last >= F.col("start_date")).select(F.explode(F.sequence("start_date", last)).alias("day"), "peak_level_cm", "category")
+
+
 def daily_profiles(levels: DataFrame, rain: DataFrame, events: DataFrame, start: str, end: str, station: int = 1, upstream: int = 3, tz: str = BERLIN, dedupe: bool = False) -> DataFrame:
     """One row of five features per local day of a station, with the category of the flood on that day.
 
@@ -82,9 +88,7 @@ def daily_profiles(levels: DataFrame, rain: DataFrame, events: DataFrame, start:
     pick = lambda s, c: F.max(F.when(F.col("station_id") == s, F.col(c)))
     both = daily.groupBy("day").agg(*[pick(station, c).alias(c) for c in ("max_level_cm", "avg_level_cm", "max_rate_cm_h")], pick(upstream, "max_level_cm").alias("up"), F.max(F.when(F.col("station_id") == station, True)).alias("is_main"))
     zero = F.lit(0.0)
-    last = F.coalesce("end_date", "start_date")
-    floods = events.where(last >= F.col("start_date")).select(F.explode(F.sequence("start_date", last)).alias("day"), "peak_level_cm", "category")
-    out = both.where("is_main").join(daily_rain(rain, start, end, tz), "day", "left").join(floods, "day", "left")
+    out = both.where("is_main").join(daily_rain(rain, start, end, tz), "day", "left").join(flood_days(events), "day", "left")
     if dedupe:
         out = out.groupBy("day", "max_level_cm", "avg_level_cm", "max_rate_cm_h", "total_precip_mm", "up").agg(F.max_by("category", "peak_level_cm").alias("category"))
     return out.select("day", "max_level_cm", "avg_level_cm", F.coalesce("max_rate_cm_h", zero).alias("max_rate_cm_h"), F.coalesce("total_precip_mm", zero).alias("total_precip_mm"), F.coalesce("up", zero).alias("upstream_max_cm"), F.col("category").alias("label"))

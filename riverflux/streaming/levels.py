@@ -1,14 +1,12 @@
-"""Streams of readings: idempotent upserts, hourly means with a watermark, changes per reading."""
+"""Streams of readings: idempotent upserts with summaries of days, hourly means with a watermark."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from riverflux.operators.storage import upsert
 
@@ -32,48 +30,41 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def upsert_stream(levels: DataFrame, target: str, checkpoint: str, order: str | None = None) -> StreamingQuery:
+def upsert_stream(
+    rows: DataFrame, target: str, checkpoint: str, order: str | None = None, update: tuple[str, ...] = ("level_cm",), day: Callable[[Column], Column] = F.to_date, summary: Callable[[DataFrame], DataFrame] | None = None
+) -> StreamingQuery:
     """Merge each batch into the table at target, which has a folder for each day of readings.
 
     A batch reads and writes only the days it touches. They are staged beside the checkpoint before they replace
     the table's; a batch that is run again replaces them from there, so a restart neither loses nor repeats
-    rows. order: the column that tells which of a batch's readings for one key is the last; without one it is the largest."""
+    rows. order: the column that tells which of a batch's readings for one key is the last; without one it is the largest.
+    summary: of the touched days' rows (with day), kept in the same way at target + "-days"."""
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         staged = f"{checkpoint}-staged/batch={batch_id}"
         if not _exists(spark, f"{staged}/_SUCCESS"):
-            rows = batch.withColumn("day", F.to_date("measured_at"))
-            days = [r.day for r in rows.select("day").distinct().collect()]  # the days of one batch
-            old = spark.read.parquet(target).where(F.col("day").isin(days)) if _exists(spark, target) else rows.drop(*([order] if order else [])).limit(0)
-            upsert(old, rows, KEYS, ["level_cm"], order or F.lit(0)).write.mode("overwrite").parquet(staged)
-        rows = spark.read.parquet(staged)
-        rows.repartition("day").sortWithinPartitions(*KEYS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(target)
+            new = batch.withColumn("day", day(F.col("measured_at")))
+            days = [r.day for r in new.select("day").distinct().collect()]  # the days of one batch
+            extra = [order] if order and order not in update else []
+            old = spark.read.parquet(target).where(F.col("day").isin(days)) if _exists(spark, target) else new.drop(*extra).limit(0)
+            upsert(old, new, KEYS, list(update), order or F.lit(0)).write.mode("overwrite").parquet(staged)
+        whole = spark.read.parquet(staged)
+        _replace_days(whole.repartition("day").sortWithinPartitions(*KEYS), target)
+        if summary is not None:
+            _replace_days(summary(whole), f"{target}-days")
         if batch_id:
             fs, p = _at(spark, f"{checkpoint}-staged/batch={batch_id - 1}")
             fs.delete(p, True)
 
-    return levels.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _replace_days(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
 
 
 def hourly_means(levels: DataFrame, delay: str = "2 hours") -> DataFrame:
     """Tumbling hourly means; readings that come later than delay are left out."""
     windows = levels.withWatermark("measured_at", delay).groupBy("station_id", F.window("measured_at", "1 hour"))
     return windows.agg(F.avg("level_cm").alias("level_cm"), F.count("*").alias("n")).select("station_id", F.col("window.start").alias("hour"), "level_cm", "n")
-
-
-def _changes(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    last = state.get[0] if state.exists else None
-    rows = pd.concat(list(frames)).sort_values("measured_at")  # one station's rows of one batch
-    before = rows["level_cm"].shift()
-    before.iloc[0] = last
-    rows["rate_cm_h"] = rows["level_cm"] - before
-    state.update((float(rows["level_cm"].iloc[-1]),))
-    yield rows[["station_id", "measured_at", "level_cm", "rate_cm_h"]]
-
-
-def changes(levels: DataFrame) -> DataFrame:
-    """Each reading's change since its station's last one, across batches; in order within a batch."""
-    return levels.select("station_id", "measured_at", "level_cm").groupBy("station_id").applyInPandasWithState(
-        _changes, "station_id int, measured_at timestamp, level_cm double, rate_cm_h double", "last double", "append", GroupStateTimeout.NoTimeout
-    )
