@@ -6,7 +6,7 @@ import io
 from collections.abc import Callable
 from contextlib import redirect_stdout
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from riverflux.functions.risk import partition_label
@@ -69,6 +69,27 @@ def null_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
 
 
+def write_bucketed(df: DataFrame, table: str, keys: list[str], buckets: int, order: list[str] | None = None) -> DataFrame:
+    """df as a table in buckets of its keys, sorted by them and order; tables with as many buckets of the same keys are joined,
+    and grouped by these, without a shuffle. Rows are dealt by bucket before, so that each bucket is one file."""
+    rows = df.repartition(buckets, *keys)
+    rows.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys, *(order or [])).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
+def screen(df: DataFrame, rules: dict[str, Column], path: str) -> dict[str, int]:
+    """Write df at path in one pass: rows that no rule is true of below accepted=true, the others below accepted=false with
+    the names of the rules in violated; and count them on the way. The result has a count for each rule, accepted and rows.
+
+    A rule that is null is not violated."""
+    broken = {n: F.coalesce(c, F.lit(False)) for n, c in rules.items()}
+    marked = df.withColumn("violated", F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in broken.items()]))).withColumn("accepted", F.size("violated") == 0)
+    seen = Observation("screen")
+    counts = [F.count_if(F.array_contains("violated", n)).alias(n) for n in rules]
+    marked.observe(seen, F.count_if("accepted").alias("accepted"), F.count(F.lit(1)).alias("rows"), *counts).write.mode("overwrite").partitionBy("accepted").parquet(path)
+    return dict(seen.get)
+
+
 def run_script(spark, text: str) -> list[tuple[str, str | None]]:
     """Run a script's statements one after the other; each with its error, if it failed. Comment lines
     go, and a statement ends at a semicolon outside of quotes."""

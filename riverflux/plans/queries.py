@@ -12,6 +12,7 @@ from riverflux.operators import assess as A
 from riverflux.operators import bayes, clusters, reports, series, storage
 from riverflux.operators import episodes as E
 from riverflux.operators import readings as G
+from riverflux.operators.intervals import interval_join
 from riverflux.operators.ordering import in_blocks, numbered
 from riverflux.plans import dashboard as D
 from riverflux.plans import model_sql as M
@@ -357,6 +358,38 @@ query("pk_violations", f"SELECT station_id, measured_at, count(*) AS n FROM (SEL
 query("fk_violations", "SELECT station_id, count(*) AS n FROM water WHERE station_id NOT IN (1, 2, 3) GROUP BY 1")(lambda s, d: storage.orphan_rows(S.water_levels(s, d), stations(s).where("station_id < 4"), "station_id").groupBy("station_id").agg(F.count("*").alias("n")))
 query("null_counts", "SELECT count(*) FILTER (end_date IS NULL) AS end_date, count(*) FILTER (start_date IS NULL) AS start_date FROM happened", EPISODES)(lambda s, d: storage.null_counts(happened(s, d), ["start_date", "end_date"]))
 
+@query("readings_in_episodes", "SELECT w.station_id AS station_id, measured_at, level_cm, start_at, end_at FROM water w JOIN epi ON epi.station_id = w.station_id AND measured_at BETWEEN start_at AND end_at", EPISODES)
+def readings_in_episodes(s, d):
+    """Each reading with the episode of its station that it falls into, high or not."""
+    found = E.episodes(S.water_levels(s, d)).select("station_id", "start_at", "end_at")
+    return interval_join(S.water_levels(s, d).select("station_id", "measured_at", "level_cm"), found, "measured_at", "start_at", "end_at", ("station_id",))
+
+
+LONG_EPISODES = f"""{LONG_TABLES}, leruns AS (SELECT *, sum(new) OVER (PARTITION BY station_id ORDER BY measured_at) AS g FROM (
+  SELECT station_id, measured_at, level_cm, CASE WHEN measured_at - lag(measured_at) OVER w <= INTERVAL 3 DAYS THEN 0 ELSE 1 END AS new FROM lwater WHERE level_cm >= 200 WINDOW w AS (PARTITION BY station_id ORDER BY measured_at))),
+lepi AS (SELECT station_id, min(measured_at) AS start_at, max(measured_at) AS end_at FROM leruns GROUP BY station_id, g)"""
+
+
+@query("rain_in_episodes", "SELECT e.station_id AS station_id, start_at, end_at, count(*) AS n, round(sum(rainfall_mm), 6) AS total_precip_mm FROM lrain r JOIN lepi e ON e.station_id = r.station_id AND measured_at BETWEEN start_at AND end_at GROUP BY 1, 2, 3", LONG_EPISODES)
+def rain_in_episodes(s, d):
+    """The rain at each station during its episodes of the long history, which last from an hour to years."""
+    found = E.episodes(S.water_levels_long(s, d), gap_minutes=3 * 1440).select("station_id", "start_at", "end_at")
+    met = interval_join(S.precipitation_long(s, d), found, "measured_at", "start_at", "end_at", ("station_id",))
+    return rounded(met.groupBy("station_id", "start_at", "end_at").agg(F.count("*").alias("n"), F.sum("rainfall_mm").alias("total_precip_mm")))
+
+
+SCREEN = {"high": "level_cm > 400", "unknown_station": "station_id = 4", "steep": "level_cm < 1", "other_source": "source NOT IN ('view', 'click')"}
+
+
+@query("screened_readings", " UNION ALL ".join(f"SELECT '{n}' AS rule, count(*) FILTER ({c}) AS n FROM water" for n, c in SCREEN.items()) + f" UNION ALL SELECT 'accepted', count(*) FILTER (NOT ({' OR '.join(f'({c})' for c in SCREEN.values())})) FROM water UNION ALL SELECT 'rows', count(*) FROM water UNION ALL SELECT 'quarantined', count(*) FILTER ({' OR '.join(f'({c})' for c in SCREEN.values())}) FROM water")
+def screened_readings(s, d):
+    """Counts by rule from the pass that writes accepted and quarantined readings, and the quarantine's rows as read back."""
+    path = table_path(s)
+    counts = storage.screen(S.water_levels(s, d), {n: F.expr(c) for n, c in SCREEN.items()}, path)
+    apart = s.read.parquet(path).where("not accepted").agg(F.lit("quarantined").alias("rule"), F.count("*").alias("n"))
+    return s.createDataFrame(sorted(counts.items()), "rule string, n long").unionByName(apart)
+
+
 # ---- dashboard
 
 RESULTS = D.TableCache()
