@@ -49,7 +49,7 @@ lags AS (SELECT CAST(l.lag AS INTEGER) AS lag, a.i AS i, a.up AS up, b.down AS d
 LABEL_SQL = "CASE WHEN lower(trim({0})) IN ('erhoht', 'erhöht') THEN 'ERHOHT' WHEN lower(trim({0})) IN ('kritisch', 'gefahr') THEN 'GEFAHR' ELSE 'NORMAL' END"
 LONG_TABLES = f"""
 lwater AS (SELECT CAST(1 + o_custkey % 4 AS INTEGER) AS station_id, o_orderdate + to_hours(CAST(o_orderkey % 24 AS INTEGER)) AS measured_at, max(o_totalprice) / 1000 AS level_cm FROM orders GROUP BY 1, 2),
-lrain AS (SELECT l_shipdate + to_hours(CAST(l_orderkey % 24 AS INTEGER)) AS measured_at, CAST(1 + l_suppkey % 4 AS INTEGER) AS station_id, greatest(arg_max(CAST(l_quantity AS DOUBLE), l_orderkey * 10 + l_linenumber) - 46, 0) * 1.5 AS rainfall_mm FROM lineitem GROUP BY 1, 2),
+lrain AS (SELECT l_shipdate + to_hours(CAST(l_orderkey % 24 AS INTEGER)) AS measured_at, CAST(1 + l_suppkey % 4 AS INTEGER) AS station_id, greatest(arg_max(CAST(l_quantity AS DOUBLE), (l_orderkey * 10 + l_linenumber, CAST(l_quantity AS DOUBLE))) - 46, 0) * 1.5 AS rainfall_mm FROM lineitem GROUP BY 1, 2),
 lfloods AS (SELECT CAST(s AS DATE) AS start_date, CAST(e AS DATE) AS end_date, category FROM (VALUES ('1995-03-01','1995-03-20','kritisch'),('1996-07-10','1996-07-25','gefahr'),('1997-11-01','1997-11-15','kritisch'),
   ('1995-08-01','1995-08-31','erhoht'),('1998-01-10','1998-01-31','Erhöht'),('1999-05-01','1999-05-20','erhoht')) v(s, e, category)),
 lrates AS (SELECT {DAY_SQL.format('measured_at')} AS day, station_id, level_cm, abs(level_cm - lag(level_cm) OVER (PARTITION BY station_id ORDER BY measured_at)) AS rate FROM lwater

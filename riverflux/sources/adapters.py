@@ -40,7 +40,7 @@ def precipitation_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All order lines as hourly rain: the quantity of an hour's last line above 46 makes it wet."""
     at = F.expr("l_shipdate + make_dt_interval(0, cast(l_orderkey % 24 as int))")
     rows = table(spark, sf_dir, "lineitem").select((1 + F.col("l_suppkey") % 4).cast("int").alias("station_id"), at.alias("measured_at"), F.col("l_quantity").cast("double").alias("q"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"))
-    wet = F.greatest(F.max_by("q", "line") - 46, F.lit(0.0)) * 1.5
+    wet = F.greatest(F.max_by("q", F.struct("line", "q")) - 46, F.lit(0.0)) * 1.5
     return rows.groupBy("station_id", "measured_at").agg(wet.alias("rainfall_mm"))
 
 
