@@ -11,9 +11,10 @@ vector come from its cluster. Near and random candidates are thinned by robust p
 candidate goes if a kept one is nearer to it by a factor than the vector itself), the clusters' adjacency lists are
 united with their reverse arcs, and whatever the medoid does not reach is tied to what it does. A block's graph holds
 the vectors at home there; guests only ask. Every member of a shard is then searched in its blocks: greedily from the
-medoid with a beam, then outwards through all vectors in the range and a margin. Every query is audited by the exact
-product with its block: the graph's recall is reported, and what it missed is added. Found pairs are verified by
-their cosine in double precision.
+medoid with a beam, then outwards through all vectors in the range and a margin. The queries whose id is divisible by
+AUDITED are audited by the exact product with their block, piece by piece: where the graph's recall falls short, the piece is searched
+again with a wider beam, and compared as a whole only if the widest doesn't help. Found pairs are verified by
+their cosine in double precision, and the recall of each run is logged.
 
 Equal vectors are one class with a count. Links are counted in the block and only a spanning forest of
 them leaves it, so no row count grows with the square of a group.
@@ -21,6 +22,7 @@ them leaves it, so no row count grows with the square of a group.
 
 from __future__ import annotations
 
+import logging
 import sys
 from collections.abc import Iterator
 
@@ -34,6 +36,7 @@ from riverflux.llm.common import connected_components, discard, let, materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+LOG = logging.getLogger("riverflux.vectors")
 COSINE = 0.98
 #: Vectors of the sample that places the centroids, members a centroid should get, most centroids.
 SAMPLE, SHARD, MOST_CENTROIDS = 16384, 5000, 4096
@@ -42,7 +45,10 @@ BLOCK, ASKED, PIECE = 6000, 1500, 500
 #: Nearest centroids whose planes are tried to rule out a shard, distances to centroids that are held at once.
 PLANES, DISTANCES = 8, 2_000_000
 DEGREE, NEAR, FAR, ALPHA = 24, 32, 16, 1.2
-BEAM = 32
+#: Width of the beam, how often it may be doubled, and the recall that a piece's audited queries have to reach.
+BEAM, DOUBLED, RECALL = 32, 3, 0.99
+#: Queries with ids divisible by this are audited.
+AUDITED = 20
 #: Nearest clusters of a block that a vector belongs to, and rows up to which a block is one cluster.
 OVERLAP, WHOLE = 3, 256
 #: Chords up to this many link radii are followed when a search expands.
@@ -54,8 +60,9 @@ AUDIT_ALL = 64
 def centroids_of(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     """k-means on unit vectors, started from evenly spaced rows."""
     c = x[np.linspace(0, len(x) - 1, k).astype(int)]
+    some = max(1, DISTANCES // k)
     for _ in range(rounds):
-        near = np.argmin((c * c).sum(1) - 2 * x @ c.T, axis=1)
+        near = np.concatenate([np.argmin((c * c).sum(1) - 2 * x[at : at + some] @ c.T, axis=1) for at in range(0, len(x), some)])
         sums = np.zeros_like(c)
         np.add.at(sums, near, x)
         n = np.bincount(near, minlength=k)
@@ -63,12 +70,15 @@ def centroids_of(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def shards_of(x: np.ndarray, c: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+def distances_between(c: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((c * c).sum(1)[:, None] - 2 * c @ c.T + (c * c).sum(1), 0))
+
+
+def shards_of(x: np.ndarray, c: np.ndarray, apart: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
     """(row, centroid) of every shard a row belongs to, its home first; no shard is left out that is the home of
-    a point within the radius."""
+    a point within the radius. apart: the distances between the centroids c."""
     d2 = np.maximum((x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1), 0)
     home = np.argmin(d2, axis=1)
-    apart = np.sqrt(np.maximum((c * c).sum(1)[:, None] - 2 * c @ c.T + (c * c).sum(1), 0))
     every = np.arange(len(x))
     planes = np.argpartition(d2, PLANES - 1, axis=1)[:, :PLANES] if len(c) > PLANES else np.tile(np.arange(len(c)), (len(x), 1))
     beyond = np.ones(d2.shape, dtype=bool)
@@ -217,10 +227,11 @@ def build_block(part: pd.DataFrame) -> pd.DataFrame:
 
 def searcher(cosine: float):
     def search_block(part: pd.DataFrame) -> pd.DataFrame:
-        """Search the queries of one block among the members of another; id, links, low, audited, found."""
+        """Search the queries of one block among the members of another; id, links, low, audited and found (links of audited
+        queries, and those the graph found), exact (pieces compared as a whole)."""
         targets = part[part["target"]].sort_values("id")
         queries = part[~part["target"]].sort_values("id")
-        empty = pd.DataFrame({k: np.empty(0, dtype=np.int64) for k in ("id", "links", "low", "audited", "found")})
+        empty = pd.DataFrame({k: np.empty(0, dtype=np.int64) for k in ("id", "links", "low", "audited", "found", "exact")})
         if targets.empty or queries.empty:
             return empty
         x, ids, n = stack(targets["vec"]), targets["id"].to_numpy(), targets["n"].to_numpy()
@@ -228,16 +239,23 @@ def searcher(cosine: float):
         place = {int(v): i for i, v in enumerate(ids)}
         lists = [np.array([place[v] for v in (near if near is not None else ()) if v in place], dtype=int) for near in targets["near"]]
         low = np.concatenate((qids, ids))
-        links, audited, recalled = np.zeros(len(qids), dtype=np.int64), np.zeros(len(qids), dtype=np.int64), np.zeros(len(qids), dtype=np.int64)
+        links, audited, recalled, exact = (np.zeros(len(qids), dtype=np.int64) for _ in range(4))
         linked = np.zeros(len(ids), dtype=bool)
         ends: list[tuple[np.ndarray, np.ndarray]] = []
         for at in range(0, len(qids), PIECE):
             part_ids, y = qids[at : at + PIECE], q[at : at + PIECE]
             other = part_ids[:, None] != ids[None, :]
-            truth = (y @ x.T >= cosine) & other
-            found = search(y, x, lists, cosine, BEAM) & other
-            audited[at], recalled[at] = int(truth.sum()), int((found & truth).sum())
-            found |= truth
+            chosen = part_ids % AUDITED == 0
+            truth = (y[chosen] @ x.T >= cosine) & other[chosen]
+            for wider in range(DOUBLED + 1):
+                found = search(y, x, lists, cosine, BEAM << wider) & other
+                audited[at], recalled[at] = int(truth.sum()), int((found[chosen] & truth).sum())
+                if recalled[at] >= RECALL * audited[at]:
+                    break
+            else:
+                exact[at] = 1
+                found |= (y @ x.T >= cosine) & other
+            found[chosen] |= truth
             links[at : at + PIECE] = found @ n
             a, b = np.nonzero(found)
             linked[b] = True
@@ -246,8 +264,8 @@ def searcher(cosine: float):
             moved = np.nonzero(first != np.arange(len(low)))[0]
             ends.append((moved, first[moved]))
         low = forest(*(np.concatenate(e) for e in zip(*ends)), low)
-        own = pd.DataFrame({"id": qids, "links": links, "low": low[: len(qids)], "audited": audited, "found": recalled})
-        others = pd.DataFrame({"id": ids[linked], "links": 0, "low": low[len(qids) :][linked], "audited": 0, "found": 0})
+        own = pd.DataFrame({"id": qids, "links": links, "low": low[: len(qids)], "audited": audited, "found": recalled, "exact": exact})
+        others = pd.DataFrame({"id": ids[linked], "links": 0, "low": low[len(qids) :][linked], "audited": 0, "found": 0, "exact": 0})
         return pd.concat([own, others])
 
     return search_block
@@ -271,7 +289,7 @@ def audit_all(classes: DataFrame, cosine: float) -> DataFrame:
 
 
 def search_shards(classes: DataFrame, cosine: float) -> DataFrame:
-    """id, links, low (and audited, found) of all searches."""
+    """id, links, low (and audited, found, exact) of all searches."""
     spark = classes.sparkSession
     radius = float(np.sqrt(2 - 2 * cosine))
     sizes = {r.grp: r.n for r in classes.groupBy("grp").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "grp").limit(MOST_CENTROIDS).collect()}
@@ -288,16 +306,19 @@ def search_shards(classes: DataFrame, cosine: float) -> DataFrame:
     sent = spark.sparkContext.broadcast(places)  # MOST_CENTROIDS vectors at most
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        apart: dict[str, np.ndarray] = {}
         for batch in batches:
             for grp, part in batch.groupby("grp"):
                 x, ids, n = stack(part["vec"]), part["id"].to_numpy(), part["n"].to_numpy()
                 c = sent.value.get(grp)
                 if c is None:
                     c = np.zeros((1, x.shape[1]))
+                if grp not in apart:
+                    apart[grp] = distances_between(c)
                 some = max(1, DISTANCES // len(c))
                 for start in range(0, len(x), some):
                     own = np.arange(start, min(start + some, len(x)))
-                    row, shard = shards_of(x[own], c, radius)
+                    row, shard = shards_of(x[own], c, apart[grp], radius)
                     for at in range(0, len(row), 5000):
                         r, s = own[row[at : at + 5000]], shard[at : at + 5000]
                         yield pd.DataFrame({"shard": [f"{grp}#{i}" for i in s], "home": np.arange(at, at + len(r)) < len(own), "id": ids[r], "n": n[r], "vec": [x[i] for i in r]})
@@ -312,7 +333,7 @@ def search_shards(classes: DataFrame, cosine: float) -> DataFrame:
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     targets = members.where("home").join(lists, "id").select("shard", "block", every("pieces").alias("piece"), F.lit(True).alias("target"), "id", "n", "vec", "near")
     queries = members.select("shard", every("blocks").alias("block"), "piece", F.lit(False).alias("target"), "id", "n", "vec", F.lit(None).cast("array<long>").alias("near"))
-    found = targets.unionByName(queries).groupBy("shard", "block", "piece").applyInPandas(searcher(cosine), "id long, links long, low long, audited long, found long")
+    found = targets.unionByName(queries).groupBy("shard", "block", "piece").applyInPandas(searcher(cosine), "id long, links long, low long, audited long, found long, exact long")
     found = materialize(found)
     discard(members, lists)
     return found
@@ -324,8 +345,9 @@ def link_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
     Vectors link at the cosine or above, if their labels are equal and not null and they have equally many
     components. Null, empty and zero vectors and those with null or non-finite components have no links
     and are components of their own. Ids are expected to be distinct; repeated rows link with each other
-    and share their id's component. Norms of any size will do. No rows give no rows. audits: gets (links of the
-    audited queries by brute force, links found) over all vectors, then in the blocks.
+    and share their id's component. Norms of any size will do. No rows give no rows. audits: gets (links of AUDIT_ALL
+    vectors by brute force over all others, links found), then (links of the audited queries in their blocks, those that the graphs found,
+    pieces compared as a whole).
     """
     vec = F.col(vec_col).cast("array<double>")
     # scaled by the largest component first, so that no square overflows or vanishes
@@ -344,11 +366,13 @@ def link_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
     classes = materialize(classes)
 
     found = search_shards(classes, cosine)
+    measured = found.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("audited", "found", "exact")]).first()
+    LOG.info("%d of %d audited links found by the graphs, %d pieces compared as a whole", measured["found"], measured["audited"], measured["exact"])
     if audits is not None:
         truth = audit_all(classes, cosine)
         got = found.join(F.broadcast(truth.select("id")), "id").agg(F.sum("links")).first()[0] or 0  # AUDIT_ALL ids
         audits.append((truth.agg(F.sum("links")).first()[0] or 0, got))
-        audits.append(tuple(found.agg(F.coalesce(F.sum("audited"), F.lit(0)), F.coalesce(F.sum("found"), F.lit(0))).first()))
+        audits.append(tuple(measured))
     groups = connected_components(found.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct())
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     known = classes.select("key", "id", "n").join(links, "id", "left").join(groups, F.col("id") == F.col("node"), "left")

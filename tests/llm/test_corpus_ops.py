@@ -82,7 +82,7 @@ def test_vector_links_match_brute_force(spark):
 
 
 def test_vector_search_in_several_shards_and_blocks(spark, monkeypatch):
-    for name, v in {"SHARD": 100, "BLOCK": 60, "ASKED": 50, "PIECE": 20}.items():
+    for name, v in {"SHARD": 100, "BLOCK": 60, "ASKED": 50, "PIECE": 20, "AUDITED": 1}.items():
         monkeypatch.setattr(vector_graph, name, v)
     rng = np.random.default_rng(4)
     base = rng.normal(size=(60, 12))
@@ -92,6 +92,7 @@ def test_vector_search_in_several_shards_and_blocks(spark, monkeypatch):
     want = brute_links(rows)
     assert sum(v[0] for v in out.values()) >= 0.99 * sum(v[0] for v in want.values())
     assert audits[0][1] >= 0.9 * audits[0][0]
+    assert audits[1][1] >= 0.99 * audits[1][0] > 0 and audits[1][2] == 0  # the graphs gave the links
 
 
 def test_links_along_the_line_between_centroids_are_found(spark, monkeypatch):
@@ -108,6 +109,7 @@ def test_links_along_the_line_between_centroids_are_found(spark, monkeypatch):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_scattered_vectors_with_pairs_across_the_plane_between_centroids(spark, monkeypatch, seed):
     monkeypatch.setattr(vector_graph, "SHARD", 1500)
+    monkeypatch.setattr(vector_graph, "AUDITED", 1)
     rng = np.random.default_rng(seed)
     unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
     a, b = unit(rng.normal(size=(2, 64)))
@@ -121,7 +123,45 @@ def test_scattered_vectors_with_pairs_across_the_plane_between_centroids(spark,
     x = np.array([v for _, v, _ in rows])
     want = (unit(x) @ unit(x).T >= 0.98).sum(1) - 1
     assert want[3000:].min() >= 1 and [out[i] for i in range(len(rows))] == want.tolist()
-    assert audits[1][0] >= 120 and audits[1][1] >= 0.9 * audits[1][0]  # what the graph itself finds
+    assert audits[1][0] >= 120 and audits[1][1] >= 0.9 * audits[1][0] and audits[1][2] == 0  # what the graph itself finds
+
+
+def planted(rng, groups, size, dims, noise):
+    """Groups of near copies among scattered vectors: rows of id, vector, label."""
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    centres = unit(rng.normal(size=(groups, dims)))
+    x = np.concatenate([unit(np.repeat(centres, size, 0) + rng.normal(scale=noise / np.sqrt(dims), size=(groups * size, dims))), unit(rng.normal(size=(groups * size // 2, dims)))])
+    x = x[rng.permutation(len(x))]
+    return [(i, v.tolist(), i % 2) for i, v in enumerate(x)]
+
+
+def test_graphs_find_the_links_of_planted_groups_in_many_shards(spark, monkeypatch):
+    for name, v in {"SHARD": 250, "BLOCK": 200, "ASKED": 150, "PIECE": 50}.items():
+        monkeypatch.setattr(vector_graph, name, v)
+    rows = planted(np.random.default_rng(6), 60, 30, 64, 0.12)
+    audits = []
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    out = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vector_graph.link_vectors(df, audits=audits).collect()}
+    want = brute_links(rows)
+    n = sum(v[0] for v in want.values())
+    assert n > 5000 and sum(out[i][0] for i in want) >= 0.999 * n and all(out[i][0] <= want[i][0] for i in want)
+    assert audits[1][0] > 0 and audits[1][2] == 0
+
+    def nothing(queries, x, lists, cosine, beam):
+        return np.zeros((len(queries), len(x)), dtype=bool)
+
+    monkeypatch.setattr(vector_graph, "search", nothing)
+    audits = []
+    vector_graph.link_vectors(df, audits=audits).count()
+    assert audits[1][1] == 0 and audits[1][2] > 0  # without its graphs the operator says that it compared pieces as a whole
+
+
+def test_links_match_sql_where_there_are_some(spark, tmp_path):
+    rows = planted(np.random.default_rng(8), 8, 6, 16, 0.1)
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = vector_graph.op1_vector_graph(spark, str(tmp_path)).toPandas()
+    assert got["n_links"].sum() > 100
+    assert canonical(got) == canonical(duck_rows(vector_graph.OP1_SQL, str(tmp_path)))
 
 
 def test_labels_with_commas_and_norms_of_any_size(spark):
