@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
+from itertools import product
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riverflux.functions.risk import FEATURES, RAIN_BINS, RISKS, SEASONS, SOILS, UPSTREAM_BINS, rain_bin, season, soil_moisture, upstream_bin
@@ -24,13 +26,22 @@ def domain(spark, **columns: tuple[str, ...]) -> DataFrame:
 def nb_fit(profiles: DataFrame, by: list[str] | None = None) -> DataFrame:
     """One row per risk (and value of by): prior, and mean and sample variance of each feature.
 
-    A risk with one row has variance 1; one without rows has mean 0, variance 1 and prior 1/(N + 3)."""
+    A risk with one row has variance 1; one without rows has mean 0, variance 1 and prior 1/(N + 3). by has few values (the
+    folds): what is fitted is a row for each of them and risk, from one aggregate."""
     by = by or []
-    stats = profiles.where("label is not null").groupBy(*by, "label").agg(F.count("*").alias("n"), *[f(c).alias(f"{p}_{c}") for c in FEATURES for p, f in (("mean", F.avg), ("var", F.var_samp))])
-    total = profiles.groupBy(*by).agg(F.count("*").alias("total"))
-    full = total.crossJoin(F.broadcast(domain(profiles.sparkSession, label=RISKS))).join(stats, [*by, "label"], "left")
-    prior = F.when(F.col("n").isNull(), 1 / (F.col("total") + 3)).otherwise(F.col("n") / F.col("total"))
-    return full.select(*by, "label", prior.alias("prior"), *[F.coalesce(f"{p}_{c}", F.lit(d)).alias(f"{p}_{c}") for c in FEATURES for p, d in (("mean", 0.0), ("var", 1.0))])
+    moments = [(f"{p}_{c}", f, d) for c in FEATURES for p, f, d in (("mean", F.avg, 0.0), ("var", F.var_samp, 1.0))]
+    found = profiles.groupBy(*by, "label").agg(F.count("*").alias("n"), *[f(name.split("_", 1)[1]).alias(name) for name, f, _ in moments]).collect()
+    total: dict[tuple, int] = {}
+    for r in found:
+        total[tuple(r[b] for b in by)] = total.get(tuple(r[b] for b in by), 0) + r["n"]
+    known = {(*(r[b] for b in by), r["label"]): r for r in found}
+    rows = []
+    for group, n in sorted(total.items()):
+        for risk in RISKS:
+            r = known.get((*group, risk))
+            rows.append((*group, risk, r["n"] / n if r else 1 / (n + 3), *[d if r is None or r[name] is None else r[name] for name, _, d in moments]))
+    kinds = [f"{b} {dict(profiles.dtypes)[b]}" for b in by] + ["label string", "prior double"] + [f"{name} double" for name, _, _ in moments]
+    return profiles.sparkSession.createDataFrame(rows, ", ".join(kinds))
 
 
 def log_density(x: Column, mean: Column, var: Column) -> Column:
@@ -39,11 +50,13 @@ def log_density(x: Column, mean: Column, var: Column) -> Column:
 
 
 def nb_score(rows: DataFrame, params: DataFrame, id_cols: list[str], on: list[str] | None = None) -> DataFrame:
-    """id_cols with p_normal, p_erhoht, p_gefahr and nb_risk. params: three rows (for each value of on)."""
-    p = params.select(*(on or []), F.col("label").alias("risk"), *[c for c in params.columns if c not in ("label", *(on or []))])
-    joined = rows.join(F.broadcast(p), on) if on else rows.crossJoin(F.broadcast(p))
-    joint = F.log("prior") + sum((log_density(F.col(c), F.col(f"mean_{c}"), F.col(f"var_{c}")) for c in FEATURES), F.lit(0.0))
-    scored = joined.withColumn("joint", joint).groupBy(*id_cols).agg(*[F.max(F.when(F.col("risk") == r, F.col("joint"))).alias(r) for r in RISKS])
+    """id_cols with p_normal, p_erhoht, p_gefahr and nb_risk, for each of rows. params: three rows (for each value of on), which
+    go to all tasks as one, so that rows are not shuffled."""
+    values = F.struct(*[c for c in params.columns if c not in ("label", *(on or []))])
+    wide = F.broadcast(params.groupBy(*(on or [])).agg(*[F.max(F.when(F.col("label") == r, values)).alias(f"of_{r}") for r in RISKS]))
+    joined = rows.join(wide, on) if on else rows.crossJoin(wide)
+    joint = lambda r: F.log(F.col(f"of_{r}.prior")) + sum((log_density(F.col(c), F.col(f"of_{r}.mean_{c}"), F.col(f"of_{r}.var_{c}")) for c in FEATURES), F.lit(0.0))
+    scored = joined.select(*id_cols, *[joint(r).alias(r) for r in RISKS])
     top = F.greatest(*RISKS)
     total = sum((F.exp(F.col(r) - top) for r in RISKS), F.lit(0.0))
     risk = F.when(F.col("NORMAL") == top, "NORMAL").when(F.col("ERHOHT") == top, "ERHOHT").otherwise("GEFAHR")
@@ -88,18 +101,26 @@ def binned(profiles: DataFrame) -> DataFrame:
     return profiles.withColumns({"rain": rain_bin(mm), "season": season(F.col("day")), "upstream": upstream_bin(F.col("upstream_max_cm")), "soil": soil_moisture(F.col("day"), mm)})
 
 
-def cpt(rows: DataFrame, given: dict[str, tuple[str, ...]], of: str, values: tuple[str, ...]) -> DataFrame:
-    """P(of | given) with Laplace smoothing, over all combinations."""
-    counts = rows.groupBy(*given, of).agg(F.count("*").alias("n"))
-    full = domain(rows.sparkSession, **given, **{of: values}).join(counts, [*given, of], "left")
-    n = F.coalesce("n", F.lit(0))
-    return full.withColumn("p", (n + ALPHA) / (F.sum(n).over(Window.partitionBy(*given)) + ALPHA * len(values))).drop("n")
+def cpt(counts: dict[tuple[str, ...], int], given: tuple[tuple[str, ...], ...], values: tuple[str, ...]) -> list[tuple]:
+    """(given..., value, P(value | given)) with Laplace smoothing, for all combinations."""
+    out = []
+    for g in product(*given):
+        n = [counts.get((*g, v), 0) for v in values]
+        out += [(*g, v, (k + ALPHA) / (sum(n) + ALPHA * len(values))) for v, k in zip(values, n)]
+    return out
 
 
 def bn_fit(profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """P(soil | rain, season) and P(risk | upstream, soil) from labelled profiles."""
-    rows = binned(profiles.where("label is not null")).withColumnRenamed("label", "risk")
-    return cpt(rows, {"rain": RAIN_BINS, "season": SEASONS}, "soil", SOILS), cpt(rows, {"upstream": UPSTREAM_BINS, "soil": SOILS}, "risk", RISKS)
+    """P(soil | rain, season) and P(risk | upstream, soil) from labelled profiles: one aggregate to at most 324 counts, which
+    are all that both tables need."""
+    rows = binned(profiles.where(F.col("label").isin(*RISKS)))
+    soils, risks = Counter(), Counter()
+    for r in rows.groupBy("rain", "season", "upstream", "soil", "label").agg(F.count("*").alias("n")).collect():
+        soils[r.rain, r.season, r.soil] += r.n
+        risks[r.upstream, r.soil, r.label] += r.n
+    spark = profiles.sparkSession
+    soil = spark.createDataFrame(cpt(soils, (RAIN_BINS, SEASONS), SOILS), "rain string, season string, soil string, p double")
+    return soil, spark.createDataFrame(cpt(risks, (UPSTREAM_BINS, SOILS), RISKS), "upstream string, soil string, risk string, p double")
 
 
 def bn_infer(profiles: DataFrame, soil_cpt: DataFrame, risk_cpt: DataFrame, id_cols: list[str]) -> DataFrame:

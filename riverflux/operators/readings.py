@@ -49,9 +49,14 @@ def level_analysis(levels: DataFrame) -> DataFrame:
     return out.where("not carried").select("station_id", "measured_at", "level_cm", "avg_7h", "rate_cm_h")
 
 
+def in_time(rows: DataFrame, start: str, end: str) -> DataFrame:
+    """Rows of [start, end), UTC."""
+    return rows.where((F.col("measured_at") >= F.lit(start).cast("timestamp_ntz")) & (F.col("measured_at") < F.lit(end).cast("timestamp_ntz")))
+
+
 def absolute_rates(levels: DataFrame, start: str, end: str, stations: list[int] | None = None, tz: str = BERLIN) -> DataFrame:
     """Readings of [start, end) with their local day and absolute change; the first in range has none."""
-    rows = levels.where((F.col("measured_at") >= F.lit(start).cast("timestamp_ntz")) & (F.col("measured_at") < F.lit(end).cast("timestamp_ntz")))
+    rows = in_time(levels, start, end)
     if stations:
         rows = rows.where(F.col("station_id").isin(stations))
     rows, w = in_order(rows.select("station_id", "measured_at", "level_cm"), 1)
@@ -65,7 +70,7 @@ def daily_levels(rates: DataFrame) -> DataFrame:
 
 def daily_rain(rain: DataFrame, start: str, end: str, tz: str = BERLIN, stations: list[int] | None = None) -> DataFrame:
     """Rain by local day; all stations together unless some are named."""
-    rows = rain.where((F.col("measured_at") >= F.lit(start).cast("timestamp_ntz")) & (F.col("measured_at") < F.lit(end).cast("timestamp_ntz")))
+    rows = in_time(rain, start, end)
     if stations:
         rows = rows.where(F.col("station_id").isin(stations))
     return rows.groupBy(local_day(F.col("measured_at"), tz).alias("day")).agg(F.sum("rainfall_mm").alias("total_precip_mm"))
@@ -83,12 +88,16 @@ def daily_profiles(levels: DataFrame, rain: DataFrame, events: DataFrame, start:
     Days in several floods come once for each (dedupe keeps the one with the highest peak). Intervals are
     spread over their days, so the range join is an equi-join; an event that ends before it starts has none.
     """
-    daily = daily_levels(absolute_rates(levels, start, end, [station, upstream], tz))
-    # main and upstream in one aggregate instead of a self-join of the readings
-    pick = lambda s, c: F.max(F.when(F.col("station_id") == s, F.col(c)))
-    both = daily.groupBy("day").agg(*[pick(station, c).alias(c) for c in ("max_level_cm", "avg_level_cm", "max_rate_cm_h")], pick(upstream, "max_level_cm").alias("up"), F.max(F.when(F.col("station_id") == station, True)).alias("is_main"))
+    level = absolute_rates(levels, start, end, [station, upstream], tz).select("day", "station_id", "level_cm", "rate_cm_h")
+    wet = in_time(rain, start, end).select(local_day(F.col("measured_at"), tz).alias("day"), "rainfall_mm")
+    # both gauges and the rain in one aggregate: a single shuffle by day, and no join of their days
+    of = lambda s, c: F.when(F.col("station_id") == s, F.col(c))
+    both = level.unionByName(wet, allowMissingColumns=True).groupBy("day").agg(
+        F.max(of(station, "level_cm")).alias("max_level_cm"), F.avg(of(station, "level_cm")).alias("avg_level_cm"), F.max(of(station, "rate_cm_h")).alias("max_rate_cm_h"),
+        F.max(of(upstream, "level_cm")).alias("up"), F.sum("rainfall_mm").alias("total_precip_mm"), F.max(of(station, "day")).isNotNull().alias("is_main"),
+    )
     zero = F.lit(0.0)
-    out = both.where("is_main").join(daily_rain(rain, start, end, tz), "day", "left").join(flood_days(events), "day", "left")
+    out = both.where("is_main").join(flood_days(events), "day", "left")
     if dedupe:
         out = out.groupBy("day", "max_level_cm", "avg_level_cm", "max_rate_cm_h", "total_precip_mm", "up").agg(F.max_by("category", "peak_level_cm").alias("category"))
     return out.select("day", "max_level_cm", "avg_level_cm", F.coalesce("max_rate_cm_h", zero).alias("max_rate_cm_h"), F.coalesce("total_precip_mm", zero).alias("total_precip_mm"), F.coalesce("up", zero).alias("upstream_max_cm"), F.col("category").alias("label"))

@@ -174,8 +174,8 @@ query("union_all_inline", "SELECT station_id, measured_at, level_cm FROM water W
 
 # ---- windows
 
-query("water_level_analysis", "SELECT station_id, measured_at, level_cm, round(avg(level_cm) OVER (PARTITION BY station_id ORDER BY measured_at ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 6) AS avg_7h, round(level_cm - lag(level_cm) OVER (PARTITION BY station_id ORDER BY measured_at), 6) AS rate_cm_h FROM water".replace("measured_at, level_cm,", "measured_at, round(level_cm, 6) AS level_cm,"))(
-    lambda s, d: rounded(G.level_analysis(S.water_levels(s, d)))
+query("water_level_analysis", "SELECT station_id, measured_at, level_cm, round(avg(level_cm) OVER (PARTITION BY station_id ORDER BY measured_at ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 6) AS avg_7h, level_cm - lag(level_cm) OVER (PARTITION BY station_id ORDER BY measured_at) AS rate_cm_h FROM water")(
+    lambda s, d: G.level_analysis(S.water_levels(s, d)).withColumn("avg_7h", F.round("avg_7h", 6))
 )
 query("abs_rate_after_filter", "SELECT day, station_id, measured_at, round(level_cm, 6) AS level_cm, round(rate_cm_h, 6) AS rate_cm_h FROM rates")(lambda s, d: rounded(G.absolute_rates(S.water_levels(s, d), START, END, [1, 3])))
 
