@@ -67,3 +67,18 @@ def test_blocks_hold_what_frames_need(spark):
 def test_no_window_takes_all_rows_into_one_task(spark, rows):
     for df in (ordering.numbered(rows[1], ["id"]), ordering.running_sum(rows[1], ["id"], "v"), ordering.dealt(rows[1], ["id"], 3)):
         assert "SinglePartition" not in df._jdf.queryExecution().toString()
+
+
+def test_temporary_tables_go_with_their_scope(spark, tmp_path):
+    import os
+
+    from riverflux import scratch
+    from riverflux.plans.queries import QUERIES
+
+    root = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    tables = lambda: {n for n in os.listdir(root) if n.startswith("table-")}
+    before = tables()
+    with scratch.temporary_tables(spark):
+        QUERIES["cv_accuracy"](spark, os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")).write.parquet(str(tmp_path / "out"))
+        assert tables() > before
+    assert tables() == before and spark.read.parquet(str(tmp_path / "out")).count() == 6
