@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riverflux.scratch import delete, note
+
 _own_scratch: dict[str, str] = {}
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -43,10 +45,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, kept: bool = False) -> DataFrame:
     """Write df as a table in the shared folder and read it back: the lineage ends here, so a lost
-    executor costs a file read and not a recomputation, and several consumers share one pass."""
+    executor costs a file read and not a recomputation, and several consumers share one pass. The table goes at the
+    end of the innermost scratch.temporary_tables(), unless it is to be kept."""
     path = f"{scratch_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    if not kept:
+        note(path)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch_path = path
@@ -58,9 +63,7 @@ def discard(*tables: DataFrame) -> None:
     for df in tables:
         path = getattr(df, "_scratch_path", None)
         if path:
-            sc = df.sparkSession.sparkContext
-            at = sc._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+            delete(df.sparkSession, path)
 
 
 def long_array(values) -> Column:
