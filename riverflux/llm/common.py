@@ -27,6 +27,14 @@ def words(text: Column, separator: str = WHITE) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), separator), "")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with underscores, whichever no column of df has (column names are compared without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once a row, however often the body reads it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riverflux.llm.common import materialize
+from riverflux.llm.common import free_name, materialize
 from riverflux.llm.toxicity import remainder
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -166,8 +166,9 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "t
         for batch in texts:
             yield pd.DataFrame([known.predict(t) for t in batch], columns=["lang", "score"])
 
-    out = docs.withColumn("__judged", judge(F.col(text_col)))
-    return out.withColumns({"lang_pred": F.col("__judged.lang"), "score": F.col("__judged.score")}).drop("__judged")
+    own = free_name(docs, "judged")
+    out = docs.withColumn(own, judge(F.col(text_col)))
+    return out.withColumns({"lang_pred": F.col(own)["lang"], "score": F.col(own)["score"]}).drop(own)
 
 
 def op4_rank_profiles(spark, sf_dir: str) -> DataFrame:

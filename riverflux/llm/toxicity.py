@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riverflux.llm.common import materialize
+from riverflux.llm.common import free_name, materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -172,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score_toxicity(docs: DataFrame, model: dict, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """docs with score_col (0 to 1) added or replaced. Null, empty and wordless texts have no excess and
     get the calibration's score for that; repeated rows score alike; an empty table stays empty."""
-    f = "__features"
+    f = free_name(docs, "features")
     out = docs.withColumn(f, feature_column(docs.sparkSession, F.col(text_col), model["ordinary"], model["toxic"]))
     w = model["weights"]
     x = [F.get(f, 0), F.get(f, 1), F.log1p(100 * F.get(f, 2)), F.log1p(F.get(f, 3)), F.log1p(F.get(f, 4))]
