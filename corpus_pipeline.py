@@ -5,25 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riverflux.llm.common import materialize
+from riverflux.llm.common import discard, free_name, materialize
 from riverflux.llm.decontaminate import contaminated
 from riverflux.llm.language import LEAST_SCORE, UNDETERMINED, identify, learn_profiles
 from riverflux.llm.mixing import mix_sources
 from riverflux.llm.simhash import simhash_groups
 from riverflux.llm.toxicity import THRESHOLD, score_toxicity, train
+from riverflux.scratch import note, temporary_tables
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that score below the threshold."""
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_toxicity(docs, model, score_col="__toxic").where(F.col("__toxic") < THRESHOLD).drop("__toxic")
+    score = free_name(docs, "toxic")
+    return score_toxicity(docs, model, score_col=score).where(F.col(score) < THRESHOLD).drop(score)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose language can be told; the documents' own columns are as they were, whatever their names."""
-    whole = docs.select(F.struct(*docs.columns).alias("__doc"), "text")
+    whole = docs.select(F.struct(*docs.columns).alias("doc"), "text")
     judged = identify(whole, learn_profiles(docs))
-    return judged.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select("__doc.*")
+    return judged.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select("doc.*")
 
 
 def row_key(docs: DataFrame) -> Column:
@@ -33,17 +35,19 @@ def row_key(docs: DataFrame) -> Column:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group: the one with the smallest id, one without an id only where none has any."""
-    keyed = docs.withColumn("__key", row_key(docs))
-    groups = simhash_groups(keyed.select("__key", "text"), id_col="__key")
-    first = groups.where(F.col("__key") == F.col("component_id")).select("__key").distinct()
-    return keyed.join(first, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
+    key = free_name(docs, "key")
+    keyed = docs.withColumn(key, row_key(docs))
+    groups = simhash_groups(keyed.select(F.col(key).alias("key"), "text"), id_col="key")
+    first = groups.where(F.col("key") == F.col("component_id")).select(F.col("key").alias(key)).distinct()
+    return keyed.join(first, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that hold no window of a benchmark item."""
     hits = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated")
-    bad = hits.select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_md5").alias("__key"))
-    return docs.withColumn("__key", row_key(docs)).join(bad, "__key", "left_anti").select(*docs.columns)
+    key = free_name(docs, "key")
+    bad = hits.select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_md5").alias(key))
+    return docs.withColumn(key, row_key(docs)).join(bad, key, "left_anti").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,9 +75,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. Each other stage is written as a table, and what it wrote on its way and the one before it are
+    deleted then; a caller can put the whole run into temporary_tables() too."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = materialize(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        with temporary_tables(spark):
+            out = materialize(stage(spark, docs, sf_dir), kept=True)
+        discard(docs)  # a table of documents that was given is no table of ours
+        note(out._scratch_path)
+        docs = out
+    return STAGES[-1][1](spark, docs, sf_dir)
