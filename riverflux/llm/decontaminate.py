@@ -4,12 +4,13 @@ Texts are words; the hash of every GRAM = 6 consecutive words is taken, and in e
 SPAN = 5 consecutive hashes the smallest is kept as a fingerprint (all equally small ones). A span of
 GRAM + SPAN - 1 = 10 words that a document shares with a benchmark item holds one such window,
 whose smallest hash is a fingerprint of both, so a join of the fingerprints meets every shared span of
-ten words or more. Each hit is then extended word by word on both sides, which makes it exact.
+ten words or more. Each hit is then extended on both sides, which makes it exact.
 
 The words of a document never leave its row: a bit filter over the benchmark's fingerprints, sent
 as a constant of bounded size, decides in the row which fingerprints can join, and only those are
 exploded, with the words around them. False positives of the filter cost a row each and are
-dropped by the join.
+dropped by the join. Each hit is extended to the windows of ten words around it, and these are joined, each once however
+many items have it; items come in groups that have the same windows.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ NOT_A_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, GRAM = 10, 6
 SPAN = WINDOW - GRAM + 1
 #: Bits of the filter: 16 for each fingerprint, this many at most (beyond, it lets more rows through).
-MAX_BITS = 1 << 20
+MAX_BITS = 1 << 23
 PROBES = 4
 #: Most fingerprint rows of the benchmark that are broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 50_000
@@ -79,6 +80,26 @@ def bit_filter(hashes: DataFrame):
     return maybe
 
 
+def extended(n: str, near: str) -> Column:
+    """array of (shift, win) of the windows around a hit whose words are all there; win tells windows apart."""
+    win = lambda w: F.md5(F.concat_ws(" ", F.col(n).cast("string"), w))  # noqa: E731  words hold no spaces
+    whole = lambda w: F.forall(w, lambda x: x.isNotNull())
+    shifts = F.filter(F.sequence(F.lit(0), F.lit(SPAN - 1)), lambda j: whole(F.slice(near, j + 1, WINDOW)))
+    around_ = F.transform(shifts, lambda j: F.struct(j.alias("shift"), win(F.slice(near, j + 1, WINDOW)).alias("win")))
+    return F.when(F.col(n) == 0, around_).otherwise(F.array(F.struct(F.lit(0).alias("shift"), win(F.col(near)).alias("win"))))
+
+
+def item_groups(owners: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """win, group of windows that the same items have, and group, item: so a passage that many items share is one group
+    and not a row for each of them. A window of items without an id has a group without members. Sets of items are told apart by their size and two sums of hashes."""
+    sums = [F.sum(F.when(F.col("item").isNotNull(), F.xxhash64("item", F.lit(i)).cast("decimal(38,0)"))).cast("string") for i in (1, 2)]
+    signed = owners.groupBy("win").agg(F.concat_ws("/", F.count("item").cast("string"), *sums).alias("group"))
+    signed = materialize(signed)
+    shown = signed.groupBy("group").agg(F.min("win").alias("win"))
+    members = materialize(owners.where("item is not null").join(shown, "win").select("group", "item"))
+    return signed, members
+
+
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per row of docs: id, n_words, n_hit (words inside a window of an item), n_items and
     items_sha256 (of the items that have a window in the document), contaminated.
@@ -96,8 +117,10 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     known = parts[0]
     for p in parts[1:]:
         known = known.unionByName(p)
-    known = materialize(known.select("item", F.col("x.n").alias("n"), F.col("x.h").alias("h"), F.col("x.near").alias("item_near")).distinct())
-    maybe = {n: bit_filter(known.where(F.col("n") == n).select("h").distinct()) for n in [0, *short]}
+    known = known.select("item", F.col("x.n").alias("n"), F.col("x.h").alias("h"), F.col("x.near").alias("near"))
+    prints = materialize(known.select("n", "h").distinct())
+    owners, members = item_groups(materialize(known.select("item", F.explode(extended("n", "near")).alias("x")).select("item", "x.win").distinct()))
+    maybe = {n: bit_filter(prints.where(F.col("n") == n).select("h")) for n in [0, *short]}
 
     text = F.col(text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.md5(text.cast("binary")).alias("key"), words(ascii_lower(text), NOT_A_WORD).alias("w"))
@@ -109,21 +132,27 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     rows = materialize(rows.select("id", "key", F.size("w").cast("long").alias("n_words"), F.concat(*found).alias("found")))
 
     some = rows.where(F.size("found") > 0).select("id", "key", F.explode("found").alias("x")).select("id", "key", F.col("x.n").alias("n"), F.col("x.h").alias("h"), F.col("x.at").alias("at"), F.col("x.near").alias("near"))
-    side = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
-    met = some.join(side, ["n", "h"])
-    same = F.zip_with("near", "item_near", lambda a, b: F.coalesce(a == b, F.lit(False)))
-    starts = F.when(
-        F.col("n") == 0,
-        F.transform(F.filter(F.sequence(F.lit(0), F.lit(SPAN - 1)), lambda j: F.forall(F.slice("same", j + 1, WINDOW), lambda x: x)), lambda j: F.struct((F.col("at") - SPAN + 1 + j).alias("first"), F.lit(WINDOW).alias("length"))),
-    ).otherwise(F.when(F.forall("same", lambda x: x), F.array(F.struct(F.col("at").alias("first"), F.col("n").alias("length")))).otherwise(F.array().cast("array<struct<first:int,length:int>>")))
-    windows = materialize(met.withColumn("same", same).select("id", "key", "item", F.explode(starts).alias("x")).select("id", "key", "item", "x.first", "x.length").distinct())
-
-    spans = windows.groupBy("id", "key").agg(F.array_sort(F.collect_set(F.struct("first", "length"))).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
+    few = lambda t: F.broadcast(t) if t.count() <= BROADCAST_ROWS else t
+    # fingerprints meet, then hits are extended to whole windows, which meet as they are: never with an item that only begins alike
+    met = some.join(few(prints), ["n", "h"], "left_semi").select("id", "key", "n", "at", F.explode(extended("n", "near")).alias("x"))
+    first = F.when(F.col("n") == 0, F.col("at") - SPAN + 1 + F.col("x.shift")).otherwise(F.col("at"))
+    length = F.when(F.col("n") == 0, WINDOW).otherwise(F.col("n"))
+    met = met.select("id", "key", F.col("x.win").alias("win"), first.alias("first"), length.alias("length"))
+    windows = materialize(met.join(few(owners), "win").select("id", "key", "win", "group", "first", "length").distinct())
+    groups = windows.groupBy("id", "key").agg(F.array_sort(F.collect_set("group")).alias("groups"))
+    groups = materialize(groups.withColumn("set", F.sha2(F.array_join("groups", ","), 256)))
+    # what items a set of groups has is found once for each set, however many documents have it
+    sets = groups.groupBy("set").agg(F.first("groups").alias("groups")).select("set", F.explode("groups").alias("group")).join(members, "group").groupBy("set").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    sets = sets.select("set", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("sha"))
+    named = groups.join(sets, "set", "left").select(F.col("id").alias("i2"), F.col("key").alias("k2"), "n_items", "sha")
+
+    spans = windows.groupBy("id", "key").agg(F.array_sort(F.collect_set(F.struct("first", "length"))).alias("spans"))
+    spans = spans.join(named, F.col("id").eqNullSafe(F.col("i2")) & F.col("key").eqNullSafe(F.col("k2")), "left")
     step = lambda acc, s: F.struct(  # noqa: E731  words covered so far, and up to where
         (acc["n"] + F.greatest(s["first"] + s["length"] - F.greatest(acc["to"], s["first"]), F.lit(0))).cast("long").alias("n"), F.greatest(acc["to"], s["first"] + s["length"]).cast("int").alias("to")
     )
     n_hit = F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("to")), step)["n"]
-    spans = spans.select(F.col("id").alias("i"), F.col("key").alias("k"), n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("sha"))
+    spans = spans.select(F.col("id").alias("i"), F.col("key").alias("k"), n_hit.alias("n_hit"), "n_items", "sha")
     out = rows.select("id", "key", "n_words").join(spans, F.col("id").eqNullSafe(F.col("i")) & F.col("key").eqNullSafe(F.col("k")), "left")
     none = F.lit(0).cast("long")
     return out.select(

@@ -767,3 +767,15 @@ def test_pipeline_tells_rows_apart_by_id_and_text(spark, tmp_path):
     docs = spark.createDataFrame([(1, item), (1, other[0]), (None, item), (None, other[1]), (None, None)], "doc_id long, text string")
     out = [tuple(r) for r in P.decontamination(spark, docs, str(tmp_path)).collect()]
     assert sorted(out, key=str) == sorted([(1, other[0]), (None, other[1]), (None, None)], key=str)
+
+
+def test_items_with_one_passage_are_one_group(spark):
+    """Many items that share a passage, each with words of its own around it, and many documents that hold it."""
+    passage = [f"shared{i}" for i in range(25)]
+    items = [(i, " ".join([*(f"own{i}x{k}" for k in range(6)), *passage, *(f"after{i}x{k}" for k in range(6))])) for i in range(300)] + [(None, " ".join(passage[:12])), (1000, "two words")]
+    docs = [(d, " ".join([f"doc{d}", *passage, f"end{d}"])) for d in range(200)] + [(500, "has two words"), (501, " ".join(passage[:9])), (502, " ".join(passage[:12]))]
+    out = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id int, text string"))
+    got = {r.doc_id: (r.n_hit, r.n_items) for r in out.collect()}
+    assert got == {d: (25, 300) for d in range(200)} | {500: (2, 1), 501: (0, 0), 502: (12, 300)}
+    owners, members = decontaminate.item_groups(spark.createDataFrame([(i, w) for i in range(50) for w in "ab"] + [(0, "c"), (None, "d")], "item int, win string"))
+    assert owners.select("group").distinct().count() == 3 and members.count() == 51
