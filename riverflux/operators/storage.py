@@ -90,9 +90,10 @@ def screen(df: DataFrame, rules: dict[str, Column], path: str) -> dict[str, int]
     return dict(seen.get)
 
 
-def run_script(spark, text: str) -> list[tuple[str, str | None]]:
+def run_script(spark, text: str, args: dict | None = None) -> list[tuple[str, str | None]]:
     """Run a script's statements one after the other; each with its error, if it failed. Comment lines
-    go, and a statement ends at a semicolon outside of quotes."""
+    go, and a statement ends at a semicolon outside of quotes. args: values for parameters like :day, which are bound and
+    never become part of the text."""
     done, current, quoted = [], [], False
     body = "\n".join(x for x in text.splitlines() if not x.lstrip().startswith("--"))
     for c in body + ";":
@@ -102,7 +103,7 @@ def run_script(spark, text: str) -> list[tuple[str, str | None]]:
             current = []
             if statement:
                 try:
-                    spark.sql(statement)
+                    spark.sql(statement, args)
                     done.append((statement, None))
                 except Exception as e:  # the next statement is independent of this one
                     done.append((statement, str(e).split("\n")[0]))

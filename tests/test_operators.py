@@ -208,6 +208,12 @@ def test_script_goes_on_after_an_error(spark):
     assert [e is None for _, e in done] == [True, False, True]
 
 
+def test_parameters_of_a_script_are_bound(spark):
+    spark.range(5).createOrReplaceTempView("five")
+    done = storage.run_script(spark, "SELECT id FROM five WHERE id = :id; SELECT id FROM five WHERE cast(id AS string) = :what; SELECT :nothing", {"id": 3, "what": "1'; DROP VIEW five; --"})
+    assert [e is None for _, e in done] == [True, True, False] and spark.table("five").count() == 5
+
+
 def test_streams(spark, tmp_path):
     from riverflux.streaming import levels as L
 

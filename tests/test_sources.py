@@ -99,3 +99,25 @@ def test_screened_rows_are_apart_and_counted(spark, tmp_path):
     assert counts == {"accepted": 1, "rows": 4, "no_station": 1, "no_level": 1, "high": 2}
     apart = spark.read.parquet(str(tmp_path / "s")).where("not accepted")
     assert sorted(r.violated for r in apart.collect()) == [["high"], ["no_level"], ["no_station", "high"]]
+
+
+def test_landed_files_are_taken_in_by_source(spark, tmp_path):
+    from riverflux.sources import ingest
+
+    land, tables, state = tmp_path / "in", str(tmp_path / "tables"), str(tmp_path / "state")
+    for source in ingest.SOURCES:
+        (land / source).mkdir(parents=True)
+    saxony = '<td headers="z"><span>x</span>{}</td> <td headers="ws">{}</td>'
+    (land / "saxony" / "1_a.html").write_text(saxony.format("12.01.2026 09:30", 141))
+    (land / "czech" / "3_a.html").write_text(CELL.format("12.01.2026", 90))
+    archive(land / "rain" / "stundenwerte_RR_01684_akt.zip", ["1684;2026011209;10;0.5;0;0;eor"])
+    (land / "rain" / "stundenwerte_RR_00002_akt.zip").write_bytes(b"x")
+    first = ingest.take_in(spark, str(land), tables, state)
+    assert [(n, e) for n, _, e in first] == [("saxony", None), ("czech", None), ("rain", None)]
+    levels = lambda: sorted((r.station_id, str(r.measured_at), r.level_cm, r.source) for r in ingest.readings_of(spark, tables, "water_levels").collect())
+    assert levels() == [(1, "2026-01-12 08:30:00", 141.0, "HWND"), (3, "2026-01-12 05:00:00", 90.0, "CHMI")]
+    assert [(r.station_id, r.rainfall_mm) for r in ingest.readings_of(spark, tables, "precipitation").collect()] == [(1684, 0.5)]
+    (land / "saxony" / "1_b.html").write_text(saxony.format("12.01.2026 09:30", 150) + saxony.format("13.01.2026 09:30", 151))  # a correction and a new reading
+    again = ingest.take_in(spark, str(land), tables, state)
+    assert [e for _, _, e in again] == [None] * 3
+    assert levels() == [(1, "2026-01-12 08:30:00", 150.0, "HWND"), (1, "2026-01-13 08:30:00", 151.0, "HWND"), (3, "2026-01-12 05:00:00", 90.0, "CHMI")]
