@@ -164,34 +164,41 @@ class Piece:
 
     def __init__(self, conv):
         self.conv, self.turns, self.size = conv, [], 0
-        self.matrix: Matrix = [list(row) for row in ONE]
+        self.steps: list[tuple[str, bool, int]] = []
         self.info: dict | None = None
 
     def add(self, turn: int | None, role: str, text: str, duplicate: bool) -> None:
         said = text.rstrip(SPACES)
         fault = "blank" if not said else "duplicate" if duplicate else "truncated" if said[-1] not in ".!?" else None
-        self.matrix = [step(v, role[:1], fault in ("blank", "duplicate"), TRUNCATED if fault == "truncated" else 0) for v in self.matrix]
+        self.steps.append((role[:1], fault in ("blank", "duplicate"), TRUNCATED if fault == "truncated" else 0))
         one = {c: int(c == fault) for c in COUNTS} | {"n_turns": int(turn is not None), "first_turn": turn, "last_turn": turn, "first_role": role[:1], "last_role": role[:1]}
         self.info = one if self.info is None else joined(self.info, one)
         self.turns.append({"role": role, "text": text})
         self.size += len(text)
 
-    def row(self, part: int, seq: int) -> dict:
-        return {"conv": self.conv, "part": part, "seq": seq, "matrix": packed(self.matrix), "info": self.info, "turns": self.turns}
+    def row(self, part: int, seq: int, whole: bool) -> dict:
+        """whole: the piece is all of its conversation, which only begins in the first state, so that no other row of the
+        matrix is ever read."""
+        matrix: Matrix = [list(v) for v in ONE]
+        for i in range(1 if whole else 4):
+            for one in self.steps:
+                matrix[i] = step(matrix[i], *one)
+        return {"conv": self.conv, "part": part, "seq": seq, "matrix": packed(matrix), "info": self.info, "turns": self.turns}
 
 
 def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pieces of a partition whose turns are in order."""
     part, seq, piece, done, held = TaskContext.get().partitionId(), 0, None, [], 0
     columns = {"part": pa.int32(), "seq": pa.int64(), "matrix": MATRIX, "info": INFO, "turns": pa.list_(TURN)}
-    kind = None
+    kind, opening = None, True
     for batch in batches:
         kind = batch.schema.field("conv").type
         for conv, turn, role, text, duplicate in zip(*[batch.column(c).to_pylist() for c in ("conv", "turn", "role", "text", "duplicate")]):
             if piece is not None and (piece.conv != conv or len(piece.turns) == SPAN):
-                done.append(piece.row(part, seq))
+                # a conversation between two others is here as a whole; the first and the last may go on in other partitions
+                done.append(piece.row(part, seq, piece.conv != conv and seq == 0 and not opening))
                 held += piece.size
-                seq = seq + 1 if piece.conv == conv else 0
+                seq, opening = (seq + 1, opening) if piece.conv == conv else (0, False)
                 piece = None
                 if held > FLUSH or len(done) >= FLUSH // SPAN // 16:
                     yield batch_of(done, kind, **columns)
@@ -199,7 +206,7 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             piece = piece or Piece(conv)
             piece.add(turn, role, text, duplicate)
     if piece is not None:
-        yield batch_of([*done, piece.row(part, seq)], kind, **columns)
+        yield batch_of([*done, piece.row(part, seq, False)], kind, **columns)
 
 
 def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
