@@ -27,8 +27,9 @@ RULES = (
     ("org", "/fr/", "allow"),
 )
 MAX_LEVELS = 40
-#: Largest level in bits; 64 MB of longs would be too much to send with a plan.
+#: Largest level in bits, and bits for each key and hash function. Where the listed keys alone need more, they are joined.
 MAX_BITS = 1 << 25
+BITS = 1.45
 
 
 def host_of(url: Column) -> Column:
@@ -65,10 +66,9 @@ class Level:
     """One Bloom filter: k hash functions over an array of longs."""
 
     def __init__(self, keys: DataFrame, n: int, rate: float, seed: int):
-        self.k = max(1, round(-math.log2(rate)))
-        self.bits = 64 * max(1, math.ceil(1.45 * max(n, 1) * self.k / 64))
-        if self.bits > MAX_BITS:
-            raise ValueError(f"a level of {self.bits} bits is over the bound of {MAX_BITS}")
+        # a large level has fewer hash functions, which leaves more to the next one
+        self.k = max(1, min(round(-math.log2(rate)), int(MAX_BITS / (BITS * max(n, 1)))))
+        self.bits = 64 * max(1, math.ceil(BITS * max(n, 1) * self.k / 64))
         self.salts = [seed * 64 + i for i in range(self.k)]
         at = keys.select(F.explode(F.array(*[bit_at(F.col("key"), s, self.bits) for s in self.salts])).alias("at"))
         words = at.groupBy(F.floor(F.col("at") / 64).cast("int").alias("word")).agg(F.bit_or(bit(F.col("at"))).alias("ones"))
@@ -114,24 +114,40 @@ def judge_urls(pages: DataFrame, rules=RULES, url_col: str = "url", default: str
     The longest rule that fits wins, of two equally long ones that with the longer host. Without a
     fitting rule, and so for null, empty or malformed urls, the rule is null and the verdict the
     cascade's answer "not listed": default. Repeated rows are judged alike; no rules or no pages are
-    fine. Rules are a bounded list given by the caller: (host, path prefix, verdict).
+    fine. Rules: a list of (host, path prefix, verdict) or a table of host, path and verdict; of several verdicts for
+    one host and path block holds. Which of them block is told by a second cascade, over the listed keys. More rules than a
+    level can hold (some 20 million) are joined instead.
     """
     spark = pages.sparkSession
-    verdicts = {h + p: v for h, p, v in rules}
-    depths = sorted({h.count(".") + 1 for h, _, _ in rules})
-    lengths = sorted({len(p) for _, p, _ in rules})
+    if not isinstance(rules, DataFrame):
+        rules = spark.createDataFrame([tuple(r) for r in rules], "host string, path string, verdict string")
+    rules = materialize(rules.select("host", "path", F.concat("host", "path").alias("key"), (F.col("verdict") == "block").alias("blocks")))
+    rows = materialize(rules.groupBy("key").agg(F.max("blocks").alias("blocks")))
+    depths = sorted(r.n for r in rules.select(F.size(F.split("host", r"\.")).alias("n")).distinct().collect())  # a few numbers
+    lengths = sorted(r.n for r in rules.select(F.length("path").alias("n")).distinct().collect())
     parts = pages.withColumn("host", host_of(F.col(url_col))).withColumn("path", path_of(F.col(url_col)))
-    if not rules:
+    if not depths:
         return parts.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
     keys = keys_of(F.col("host"), F.col("path"), depths, lengths)
     universe = materialize(parts.select("host", F.substring("path", 1, max(lengths)).alias("path")).distinct().select(F.explode(keys).alias("key")).distinct())
-    rows = materialize(spark.createDataFrame([(k,) for k in sorted(verdicts)], "key string"))
-    levels = build_cascade(universe, rows)
+    if rows.count() * BITS > MAX_BITS:
+        return by_join(parts, keys, rows, max(lengths), default)
+    levels = build_cascade(universe, rows.select("key"))
     parts = parts.withColumn("rule", F.try_element_at(F.filter(keys, lambda k: listed(levels, k)), F.lit(1)))
-    blocked = F.col("rule").isin([k for k, v in verdicts.items() if v == "block"])
+    blocked = listed(build_cascade(rows.select("key"), rows.where("blocks").select("key")), F.col("rule"))
     return parts.withColumn("verdict", F.when(F.col("rule").isNull(), F.lit(default)).when(blocked, F.lit("block")).otherwise(F.lit("allow")))
 
 
+def by_join(parts: DataFrame, keys: Column, rows: DataFrame, longest: int, default: str) -> DataFrame:
+    """The same by a join of the distinct keys with the rules, and one of the pages with what is found for their place."""
+    place = F.struct("host", F.substring("path", 1, longest).alias("path"))
+    each = parts.select(place.alias("place"), keys.alias("keys")).distinct().select("place", F.posexplode("keys").alias("at", "key"))
+    best = each.join(rows.select("key", "blocks"), "key").groupBy("place").agg(F.min(F.struct("at", "key", "blocks")).alias("best"))
+    found = parts.withColumn("rule", place).join(best, F.col("rule") == F.col("place"), "left")
+    verdict = F.when(F.col("best").isNull(), F.lit(default)).when(F.col("best.blocks"), F.lit("block")).otherwise(F.lit("allow"))
+    return found.withColumns({"rule": F.col("best.key"), "verdict": verdict}).drop("place", "best")
+
+
 def op10_url_cascade(spark, sf_dir: str) -> DataFrame:
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host", "path", "rule", "verdict")
 

@@ -779,3 +779,15 @@ def test_items_with_one_passage_are_one_group(spark):
     assert got == {d: (25, 300) for d in range(200)} | {500: (2, 1), 501: (0, 0), 502: (12, 300)}
     owners, members = decontaminate.item_groups(spark.createDataFrame([(i, w) for i in range(50) for w in "ab"] + [(0, "c"), (None, "d")], "item int, win string"))
     assert owners.select("group").distinct().count() == 3 and members.count() == 51
+
+
+@pytest.mark.parametrize("bits", [1 << 25, 1 << 16, 64])
+def test_many_rules_are_judged_whatever_a_level_holds(spark, monkeypatch, bits):
+    """The levels of 20 000 rules with as many hash functions as are asked for, with fewer, and a join where they don't fit."""
+    monkeypatch.setattr(url_cascade, "MAX_BITS", bits)
+    rules = [(f"h{i}.net", "/a/" if i % 3 else "/", "block" if i % 2 else "allow") for i in range(20_000)]
+    table = spark.createDataFrame(rules, "host string, path string, verdict string")
+    pages = spark.range(3000).select("id", F.concat(F.lit("http://x.h"), (F.col("id") * 9).cast("string"), F.lit(".net/a/"), F.col("id").cast("string")).alias("url"))
+    got = {r.id: (r.rule, r.verdict) for r in url_cascade.judge_urls(pages, table).collect()}
+    known = {h: (h + p, v) for h, p, v in rules}
+    assert got == {i: known.get(f"h{9 * i}.net", (None, "allow")) for i in range(3000)}
