@@ -11,7 +11,7 @@ vector come from its cluster. Near and random candidates are thinned by robust p
 candidate goes if a kept one is nearer to it by a factor than the vector itself), the clusters' adjacency lists are
 united with their reverse arcs, and whatever the medoid does not reach is tied to what it does. A block's graph holds
 the vectors at home there; guests only ask. Every member of a shard is then searched in its blocks: greedily from the
-medoid with a beam, then outwards through all vectors in the range and a margin. The queries whose id is divisible by
+medoid (of each part, if a graph has several) with a beam, then outwards through all vectors in the range and a margin. The queries whose id is divisible by
 AUDITED are audited by the exact product with their block, piece by piece: where the graph's recall falls short, the piece is searched
 again with a wider beam, and compared as a whole only if the widest doesn't help. Found pairs are verified by
 their cosine in double precision, and the recall of each run is logged.
@@ -74,11 +74,12 @@ def distances_between(c: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((c * c).sum(1)[:, None] - 2 * c @ c.T + (c * c).sum(1), 0))
 
 
-def shards_of(x: np.ndarray, c: np.ndarray, apart: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+def shards_of(x: np.ndarray, c: np.ndarray, radius: float, apart: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(row, centroid) of every shard a row belongs to, its home first; no shard is left out that is the home of
     a point within the radius. apart: the distances between the centroids c."""
     d2 = np.maximum((x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1), 0)
     home = np.argmin(d2, axis=1)
+    apart = distances_between(c) if apart is None else apart
     every = np.arange(len(x))
     planes = np.argpartition(d2, PLANES - 1, axis=1)[:, :PLANES] if len(c) > PLANES else np.tile(np.arange(len(c)), (len(x), 1))
     beyond = np.ones(d2.shape, dtype=bool)
@@ -147,22 +148,37 @@ def prune(x: np.ndarray, seed: int = 0) -> list[np.ndarray]:
         frontier = [u]
 
 
+def medoids(x: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """A row near the middle of each part of a graph that arcs (table, -1 for none) hold together: one, if prune() made it."""
+    left, out = np.arange(len(x)), []
+    while len(left):
+        frontier = left[[np.argmax(x[left] @ x[left].sum(0))]]
+        out.append(frontier[0])
+        seen = np.zeros(len(x), dtype=bool)
+        while len(frontier):
+            seen[frontier] = True
+            found = np.unique(table[frontier])
+            frontier = found[(found >= 0) & ~seen[found]]
+        left = left[~seen[left]]
+    return np.array(out)
+
+
 def search(queries: np.ndarray, x: np.ndarray, lists: list[np.ndarray], cosine: float, beam: int) -> np.ndarray:
     """Boolean matrix of the rows of x that each query's search finds at the cosine or above."""
     n, m = len(x), len(queries)
-    beam = min(beam, n)
     table = np.full((n, max(1, max(len(a) for a in lists))), -1)
     for i, a in enumerate(lists):
         table[i, : len(a)] = a
     small, q32 = x.astype(np.float32), queries.astype(np.float32)
     outer = 1 - (MARGIN * np.sqrt(2 - 2 * cosine)) ** 2 / 2
-    medoid = int(np.argmax(x @ x.sum(0)))
+    starts = medoids(x, table)
+    beam = min(max(beam, len(starts)), n)
     seen, opened = np.zeros((m, n), dtype=bool), np.zeros((m, n), dtype=bool)
     near = np.zeros((m, n), dtype=bool)  # in the range or its margin
     ids, sims = np.full((m, beam), -1), np.full((m, beam), -np.inf, np.float32)
-    ids[:, 0], sims[:, 0] = medoid, q32 @ small[medoid]
-    seen[:, medoid] = True
-    near[:, medoid] = sims[:, 0] >= outer
+    ids[:, : len(starts)], sims[:, : len(starts)] = starts, q32 @ small[starts].T
+    seen[:, starts] = True
+    near[:, starts] = sims[:, : len(starts)] >= outer
 
     def look(q: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Open node v for query q: its neighbours and their cosines, -inf for those already seen."""
@@ -318,7 +334,7 @@ def search_shards(classes: DataFrame, cosine: float) -> DataFrame:
                 some = max(1, DISTANCES // len(c))
                 for start in range(0, len(x), some):
                     own = np.arange(start, min(start + some, len(x)))
-                    row, shard = shards_of(x[own], c, apart[grp], radius)
+                    row, shard = shards_of(x[own], c, radius, apart[grp])
                     for at in range(0, len(row), 5000):
                         r, s = own[row[at : at + 5000]], shard[at : at + 5000]
                         yield pd.DataFrame({"shard": [f"{grp}#{i}" for i in s], "home": np.arange(at, at + len(r)) < len(own), "id": ids[r], "n": n[r], "vec": [x[i] for i in r]})
