@@ -19,7 +19,7 @@ from __future__ import annotations
 import sys
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -33,18 +33,20 @@ from riverflux.llm.toxicity import remainder
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Words with an output of their own, kinds of rarer words, state size, words whose counts are sent.
-HEAD, KINDS, STATE, FAST = 2048, 64, 16, 65536
+HEAD, KINDS, STATE, FAST = 2048, 64, 16, 131072
 #: Steps of a window, documents trained side by side, step size, rounds of averaging.
 WINDOW, LANES, RATE, ROUNDS = 24, 256, 0.3, 2
 #: Longest piece of a document that a training lane takes at once.
 PIECE = 768
 #: Distinct words that a counting task holds, tokens that a scoring task has in hand.
-HELD, IN_HAND = 400_000, 1_500_000
+HELD, IN_HAND = 400_000, 4_000_000
 #: Tokens that a learner is meant to get in all rounds, most learners (beyond, each gets more).
 TOKENS, MOST_LEARNERS = 3_000_000, 2048
 #: Partitions in which weights are averaged before the driver gets them.
 AVERAGERS = 8
 END = b""
+#: How a head word or a kind is stored.
+ID = np.dtype("<u2")
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -96,7 +98,6 @@ class Vocabulary:
         """fast: the commonest words and their counts; mass: (c + 1) summed by kind over all words but the head."""
         head = [(END, dict(fast).get(END, 0))] + [x for x in fast if x[0] != END][: HEAD - 1]
         self.head = {w: i for i, (w, _) in enumerate(head)}
-        self.fast = {w: c for w, c in fast}
         self.n, self.v = total, distinct
         self.denominator = float(total + distinct + 1)
         # a kind has one more for its unseen words, as the base has
@@ -149,133 +150,194 @@ def start(vocab: Vocabulary, seed: int = 7) -> dict[str, np.ndarray]:
     }
 
 
-def sigmoid(a: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * a) + 0.5
+def gates_of(p: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Gates of all inputs, and of the state, a row for each gate; those of z and r are negated, as step() has them."""
+    x, u = np.ascontiguousarray((p["x"] + p["b"]).T), np.ascontiguousarray(p["u"].T)
+    x[: 2 * STATE] *= -1
+    u[: 2 * STATE] *= -1
+    return x, u
 
 
-def step(p: dict, gx: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-    """One step of the gated unit from the inputs' gates gx and the state h."""
+def step(gx: np.ndarray, u: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One step of the gated unit from the inputs' gates gx and the state h; a column for each document."""
     s = STATE
-    gh = h @ p["u"]
-    zr = sigmoid(gx[:, : 2 * s] + gh[:, : 2 * s])
-    z, r = zr[:, :s], zr[:, s:]
-    a = np.tanh(gx[:, 2 * s :] + r * gh[:, 2 * s :])
-    return a + z * (h - a), z, r, a, gh[:, 2 * s :]
-
-
-def softmax_at(a: np.ndarray, at: np.ndarray, want_rest: bool) -> tuple[np.ndarray, np.ndarray | None]:
-    """Log of each row's softmax at one column, and (a is overwritten) the softmax less one there: its gradient."""
-    rows = np.arange(len(a))
-    a -= a.max(axis=1, keepdims=True)
-    own = a[rows, at]
-    np.exp(a, out=a)
-    total = a.sum(axis=1, keepdims=True)
-    if want_rest:
-        a /= total
-        a[rows, at] -= 1
-    return own - np.log(total[:, 0]), a if want_rest else None
+    gh = u @ h
+    zr = gx[: 2 * s] + gh[: 2 * s]
+    np.exp(zr, out=zr)  # infinite where a gate is shut: its reciprocal is 0
+    zr += 1
+    np.reciprocal(zr, out=zr)
+    z, r = zr[:s], zr[s:]
+    a = gh[2 * s :] * r
+    a += gx[2 * s :]
+    np.tanh(a, out=a)
+    h = h - a
+    h *= z
+    h += a
+    return h, z, r, a, gh[2 * s :]
+
+
+def with_bias(w: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    return np.concatenate((w, bias[:, None]), axis=1)
+
+
+def exp_sums(h: np.ndarray, w: np.ndarray, small: bool, sums: np.ndarray, grad: np.ndarray | None) -> np.ndarray | int:
+    """exp(h @ w.T) summed over each row, in the last column of sums (the last column of h is 1, that of w the biases). With
+    grad, the exps times w are summed before it, and the gradient of the sums' logs is added to grad. small: no product is
+    too large or small for exp; else each row's largest is taken off, which is returned."""
+    e, off = h @ w.T, 0
+    if not small:
+        off = e.max(axis=1)
+        e -= off[:, None]
+    np.exp(e, out=e)
+    if grad is None:
+        np.matmul(e, np.ones(len(w), e.dtype), out=sums[:, -1])
+    else:
+        ones = w.copy()
+        ones[:, -1] = 1
+        np.matmul(e, ones, out=sums)
+        grad += e.T @ (h / sums[:, -1:])
+    return off
 
 
 def outputs(p: dict, vocab: Vocabulary, h: np.ndarray, target: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Natural log probability of each target, a head word or a kind, given the states h. With grad,
     gradients of the negative sum are added there and the one by h is returned."""
-    cls = vocab.class_of[target]
-    order = np.argsort(cls, kind="stable")  # the tokens of a class stand together
-    h, target, cls = h[order], target[order], cls[order]
-    lp, d = softmax_at(h @ p["c"] + p["cb"], cls, grad is not None)
-    dh = None
-    if grad is not None:
-        grad["c"] += h.T @ d
-        grad["cb"] += d.sum(0)
-        dh = d @ p["c"].T
+    cls = np.take(vocab.class_of, target)
+    order = np.argsort(cls.astype(np.int16), kind="stable")  # the tokens of a class stand together
+    target, cls = np.take(target, order), np.take(cls, order)
+    hs = np.ones((len(h), h.shape[1] + 1), h.dtype)
+    hs[:, :-1] = np.take(h, order, axis=0)
+    c, w = with_bias(p["c"].T, p["cb"]), with_bias(p["w"], p["wb"])
+    reach = max(1.0, float(np.abs(h).max(initial=0)))
+    small = [bool(np.abs(x).sum(1).max() * reach < 60) for x in (c, w)]
+    gc, gw = (None, None) if grad is None else (np.zeros_like(c), np.zeros_like(w))
+    in_class, in_all = np.empty_like(hs), np.empty_like(hs)
+    off = np.zeros(len(h), h.dtype)
+    off += exp_sums(hs, c, small[0], in_all, gc)
     bounds = np.searchsorted(cls, np.arange(vocab.classes + 1))
     for k in np.nonzero(bounds[1:] > bounds[:-1])[0]:
-        a, b = vocab.first[k], vocab.first[k + 1]
-        if b - a == 1:
-            continue
-        at = slice(bounds[k], bounds[k + 1])
-        w, hk = p["w"][a:b], h[at]
-        lw, d = softmax_at(hk @ w.T + p["wb"][a:b], target[at] - a, grad is not None)
-        lp[at] += lw
-        if grad is not None:
-            grad["w"][a:b] += d.T @ hk
-            grad["wb"][a:b] += d.sum(0)
-            dh[at] += d @ w
-    back = np.empty_like(order)
-    back[order] = np.arange(len(order))
-    return lp[back], None if dh is None else dh[back]
-
-
-def windows_of(texts: Iterator[list[int]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Lanes that are live, their next tokens (lane, step), the tokens before these, and where the state starts anew.
+        at, of = slice(bounds[k], bounds[k + 1]), slice(vocab.first[k], vocab.first[k + 1])
+        off[at] += exp_sums(hs[at], w[of], small[1], in_class[at], None if gw is None else gw[of])
+    own = np.take(c, cls, axis=0)
+    own += np.take(w, target, axis=0)
+    lp = np.empty(len(h), h.dtype)
+    lp[order] = np.einsum("ij,ij->i", hs, own) - np.log(in_all[:, -1]) - np.log(in_class[:, -1]) - off
+    if grad is None:
+        return lp, None
+    of_words = np.stack([np.bincount(target, weights=column, minlength=len(w)) for column in hs.T])
+    gw -= of_words.T
+    gc -= np.add.reduceat(of_words, vocab.first[:-1], axis=1).T
+    for k, g in (("c", gc.T[:-1]), ("cb", gc[:, -1]), ("w", gw[:, :-1]), ("wb", gw[:, -1])):
+        grad[k] += g
+    in_all /= in_all[:, -1:].copy()
+    in_class /= in_class[:, -1:].copy()
+    in_all += in_class
+    in_all -= own
+    dh = np.empty_like(h)
+    dh[order] = in_all[:, :-1]
+    return lp, dh
+
+
+def windows_of(texts: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Lanes that are live, their next tokens (step, lane), the tokens before these, where the state starts anew, and which of them
+    there are: all but at the end.
 
     A lane is an endless row of pieces of documents of at most PIECE tokens, so that no long document runs on
-    by itself at the end; a piece knows the token before it. When no more come, the lanes run out."""
-    pieces = ((np.asarray(doc, dtype=np.int64), at) for doc in texts for at in range(0, len(doc), PIECE))
-    lanes = [np.empty((3, 0), dtype=np.int64)] * LANES  # token, token before, 1 at a piece's start
-    left = np.zeros(LANES, dtype=np.int64)
+    by itself at the end; a piece knows the token before it. When no more come, the lanes run out; those
+    that do so before the others of a window are filled up."""
+    pieces = ((doc, at) for doc in texts for at in range(0, len(doc), PIECE))
+    room = WINDOW + PIECE
+    lanes = np.zeros((3, LANES, room), dtype=np.int32)  # token, token before, 1 at a piece's start
+    first, left = np.zeros(LANES, dtype=np.int64), np.zeros(LANES, dtype=np.int64)
     more = True
     while more or left.any():
-        for i in np.nonzero(left < WINDOW)[0]:
-            while more and left[i] < WINDOW:
+        for i in np.nonzero(left < WINDOW)[0] if more else ():
+            n = int(left[i])
+            lanes[:, i, :n] = lanes[:, i, first[i] : first[i] + n].copy()
+            while n < WINDOW:
                 doc, at = next(pieces, (None, 0))
                 if doc is None:
                     more = False
                     break
                 tok = doc[at : at + PIECE]
-                new = np.zeros((3, len(tok)), dtype=np.int64)
-                new[0], new[1, 1:], new[1, 0], new[2, 0] = tok, tok[:-1], doc[at - 1] if at else 0, 1
-                lanes[i] = np.concatenate((lanes[i], new), axis=1)
-                left[i] += len(tok)
+                end = n + len(tok)
+                lanes[0, i, n:end], lanes[1, i, n + 1 : end], lanes[1, i, n] = tok, tok[:-1], doc[at - 1] if at else 0
+                lanes[2, i, n:end] = 0
+                lanes[2, i, n] = 1
+                n = end
+            first[i], left[i] = 0, n
         use = np.nonzero(left)[0]
         if not len(use):
             return
-        steps = int(min(WINDOW, left[use].min()))
-        out = np.stack([lanes[i][:, :steps] for i in use])
-        for i in use:
-            lanes[i] = lanes[i][:, steps:]
-        left[use] -= steps
-        yield use, out[:, 0], out[:, 1], out[:, 2] > 0
+        steps = np.arange(min(WINDOW, int(left.max())))[:, None]
+        out = lanes[:, use, np.minimum(first[use] + steps, room - 1)]
+        there = steps < left[use]
+        taken = np.minimum(left, len(steps))
+        first += taken
+        left -= taken
+        yield use, out[0], out[1], out[2] > 0, there
 
 
-def train_on(p: dict, vocab: Vocabulary, texts: Iterator[list[int]]) -> int:
+def train_on(p: dict, vocab: Vocabulary, texts: Iterator[np.ndarray]) -> int:
     """Fit p in place to the documents, LANES side by side; the number of tokens seen."""
     s, seen = STATE, 0
     memory = {k: np.full_like(v, 0.1) for k, v in p.items()}
-    state = np.zeros((LANES, s), np.float32)
-    for use, tok, prev, begins in windows_of(texts):
-        lanes, steps = tok.shape
+    state = np.zeros((s, LANES), np.float32)
+    spaces = [np.empty(k * s * WINDOW * LANES, np.float32) for k in (3, 6, 4)]  # used by each window
+    for use, tok, prev, begins, there in windows_of(texts):
+        steps, lanes = tok.shape
         keep = (~begins).astype(np.float32)
-        gates = p["x"][prev.T] + p["b"]
-        h = state[use]
-        h_in, z, r, a, g = (np.empty((steps, lanes, s), np.float32) for _ in range(5))
-        hs = np.empty((steps, lanes, s), np.float32)
-        for t in range(steps):
-            h_in[t] = h * keep[:, t : t + 1]
-            h, z[t], r[t], a[t], g[t] = step(p, gates[t], h_in[t])
-            hs[t] = h
-        state[use] = h
+        x, u = gates_of(p)
+        gates, kept, back = (space[: k * s * tok.size].reshape(k * s, steps, lanes) for k, space in zip((3, 6, 4), spaces))
+        np.take(x, prev, axis=1, out=gates, mode="clip")
+        h = state[:, use]
+        # a row for each feature, then steps and lanes
+        h_in, z, r, a, g, hs = kept.reshape(6, s, steps, lanes)
+        with np.errstate(over="ignore"):
+            for t in range(steps):
+                h = h * keep[t]
+                h_in[:, t] = h
+                h, z[:, t], r[:, t], a[:, t], g[:, t] = step(gates[:, t], u, h)
+                hs[:, t] = h
+        state[:, use] = h
         grad = {k: np.zeros_like(v) for k, v in p.items() if k not in ("x", "u", "b")}
-        _, dh = outputs(p, vocab, hs.reshape(-1, s), tok.T.ravel(), grad)
-        dh = dh.reshape(steps, lanes, s)
-        carry = np.zeros((lanes, s), np.float32)
-        gx, gh = np.empty((steps, lanes, 3 * s), np.float32), np.empty((steps, lanes, 3 * s), np.float32)
+        real = np.nonzero(there.ravel())[0]
+        whole = len(real) == tok.size
+        rows = hs.reshape(s, -1).T
+        _, d_rows = outputs(p, vocab, np.ascontiguousarray(rows if whole else rows[real]), tok.ravel()[real], grad)
+        if whole:
+            dh = np.ascontiguousarray(d_rows.T)
+        else:
+            dh = np.zeros((s, tok.size), np.float32)  # what fills a lane up changes nothing
+            dh[:, real] = d_rows.T
+        dh = dh.reshape(s, steps, lanes)
+        carry = np.zeros((s, lanes), np.float32)
+        # back: gates of the state for the candidate, z and r; then z, r and the candidate's gates of the input
         da_z, back_z, back_r = (1 - z) * (1 - a * a), (h_in - a) * z * (1 - z), g * r * (1 - r)
-        u = np.ascontiguousarray(p["u"].T)
+        u = np.ascontiguousarray(np.roll(p["u"], s, axis=1))
         for t in reversed(range(steps)):
-            d = dh[t] + carry
-            da = d * da_z[t]
-            gx[t, :, :s], gx[t, :, s : 2 * s], gx[t, :, 2 * s :] = d * back_z[t], da * back_r[t], da
-            gh[t, :, : 2 * s], gh[t, :, 2 * s :] = gx[t, :, : 2 * s], da * r[t]
-            carry = (d * z[t] + gh[t] @ u) * keep[:, t : t + 1]
-        gx, n = gx.reshape(-1, 3 * s), tok.size
-        grad["u"] = h_in.reshape(-1, s).T @ gh.reshape(-1, 3 * s)
-        grad["b"] = gx.sum(axis=0)
-        flat = prev.T.ravel()
-        order = np.argsort(flat, kind="stable")
-        ids, at = np.unique(flat[order], return_index=True)
+            d = dh[:, t] + carry
+            now = back[:, t]
+            da = now[3 * s :]
+            np.multiply(d, da_z[:, t], out=da)
+            np.multiply(da, r[:, t], out=now[:s])
+            np.multiply(d, back_z[:, t], out=now[s : 2 * s])
+            np.multiply(da, back_r[:, t], out=now[2 * s : 3 * s])
+            d *= z[:, t]
+            d += u @ now[: 3 * s]
+            d *= keep[t]
+            carry = d
+        back, n = back.reshape(4 * s, -1), len(real)
+        gh, gx = back[: 3 * s], back[s:]
+        grad["u"] = np.roll(h_in.reshape(s, -1) @ gh.T, -s, axis=1)
+        grad["b"] = gx.sum(axis=1)
+        met = np.bincount(prev.ravel()[real], minlength=vocab.inputs) > 0
+        ids, place = np.nonzero(met)[0], np.cumsum(met) - 1
+        at = place[prev.ravel()]
         scale = np.float32(1 / np.sqrt(n))
-        gids = np.add.reduceat(gx[order], at, axis=0) * scale
+        if not whole:
+            at, gx = at[real], gx[:, real]
+        gids = np.stack([np.bincount(at, weights=one, minlength=len(ids)) for one in gx], axis=1).astype(np.float32) * scale
         memory["x"][ids] += gids * gids
         p["x"][ids] -= np.float32(RATE) * gids / np.sqrt(memory["x"][ids])
         for k, gk in grad.items():
@@ -312,6 +374,7 @@ def average(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def encode(rows: DataFrame, vocab: Vocabulary) -> DataFrame:
     """rows (id, text) as a table with their tokens: row, id (as text), learn, deal, ids, n_known, fast, tail, rare.
 
+    ids: the tokens' head words and kinds, two bytes each;
     fast and tail: log10 of the counts summed over the words that were sent, and over those of them outside the head;
     rare: the words that were not."""
     sent = rows.sparkSession.sparkContext.broadcast(vocab)
@@ -327,14 +390,14 @@ def encode(rows: DataFrame, vocab: Vocabulary) -> DataFrame:
                 ids, at = vocab.looked_up(words)
                 known, tail = at[at >= 0], at[(at >= 0) & (ids[:-1] >= head)]
                 rare = [words[j] for j in np.nonzero(at < 0)[0].tolist()]
-                out.append((ids.astype(np.int32), len(known) + (end > 0), float(vocab.log_of[known].sum()) + end, float(vocab.log_of[tail].sum()), rare))
+                out.append((ids.astype(ID).tobytes(), len(known) + (end > 0), float(vocab.log_of[known].sum()) + end, float(vocab.log_of[tail].sum()), rare))
             found = pd.DataFrame(out, columns=["ids", "n_known", "fast", "tail", "rare"])
             yield pd.concat([batch[["id", "learn", "deal"]].reset_index(drop=True), found], axis=1)
 
     # only rows without an id are dealt by position, as a mass of them may share one text
     deal = F.xxhash64("id", "text", F.when(F.col("id").isNull(), F.monotonically_increasing_id()), F.lit(11))
     ready = rows.select(F.col("id").cast("string").alias("id"), (remainder(F.col("id"), 7) != 2).alias("learn"), deal.alias("deal"), "text")
-    schema = "id string, learn boolean, deal long, ids array<int>, n_known long, fast double, tail double, rare array<binary>"
+    schema = "id string, learn boolean, deal long, ids binary, n_known long, fast double, tail double, rare array<binary>"
     return materialize(ready.mapInPandas(code, schema).withColumn("row", F.monotonically_increasing_id()))
 
 
@@ -354,7 +417,7 @@ def fit(coded: DataFrame, vocab: Vocabulary) -> dict[str, np.ndarray]:
         def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             before = unpack(now.value, start(sent.value))
             p = {k: v.copy() for k, v in before.items()}
-            n = train_on(p, sent.value, chain.from_iterable(batch["ids"] for batch in batches))
+            n = train_on(p, sent.value, (np.frombuffer(ids, ID) for batch in batches for ids in batch["ids"]))
             if n:
                 yield pd.DataFrame({"change": [b"".join((p[k] - before[k]).astype("<f2").tobytes() for k in NAMES)], "tokens": [n]})
 
@@ -372,31 +435,35 @@ def fit(coded: DataFrame, vocab: Vocabulary) -> dict[str, np.ndarray]:
     return params
 
 
-def score_ids(p: dict, vocab: Vocabulary, docs: list[list[int]]) -> np.ndarray:
+def score_ids(p: dict, vocab: Vocabulary, docs: list[np.ndarray]) -> np.ndarray:
     """Natural log probability of the classes and head words of each document, all in step."""
-    out = np.zeros(len(docs))
-    order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
-    lengths = np.array([len(docs[i]) for i in order])
-    at = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    flat = np.concatenate([np.asarray(docs[i], dtype=np.int64) for i in order]) if len(docs) else np.empty(0, np.int64)
-    gates = p["x"] + p["b"]
-    h, totals = np.zeros((len(docs), STATE), np.float32), np.zeros(len(docs))
-    prev, done = np.zeros(len(docs), dtype=np.int64), 0
-    states, targets, owners, held = [], [], [], 0
-    for t in range(int(lengths[0]) if len(docs) else 0):
-        n = int(np.searchsorted(-lengths, -t, side="left"))  # documents longer than t come first
-        h = step(p, gates[prev[:n]], h[:n])[0]
-        prev = flat[at[:n] + t]
-        states.append(h)
-        targets.append(prev)
-        owners.append(n)
-        held += n
-        done = t + 1
-        if held >= 16384 or done == lengths[0]:
-            lp, _ = outputs(p, vocab, np.concatenate(states), np.concatenate(targets))
-            who = np.concatenate([np.arange(k) for k in owners])
-            totals += np.bincount(who, weights=lp, minlength=len(docs))
-            states, targets, owners, held = [], [], [], 0
+    if not docs:
+        return np.zeros(0)
+    out, totals = np.zeros(len(docs)), np.zeros(len(docs))
+    lengths = np.array([len(x) for x in docs])
+    order = np.argsort(-lengths, kind="stable")
+    lengths = lengths[order]
+    flat = np.concatenate([np.asarray(docs[i]) for i in order])
+    # documents longer than t come first, so the tokens of step t are those of the first live[t] documents
+    live = len(docs) - np.searchsorted(lengths[::-1], np.arange(lengths[0]), side="right")
+    step_of = np.arange(len(flat), dtype=np.int32) - np.repeat((np.cumsum(lengths) - lengths).astype(np.int32), lengths)
+    flat = flat[np.argsort(step_of.astype(np.uint16) if lengths[0] <= 65536 else step_of, kind="stable")]
+    del step_of
+    x, u = gates_of(p)
+    h, prev = np.zeros((STATE, len(docs)), np.float32), np.zeros(len(docs), dtype=np.int64)
+    states, owners, at, held = [], [], 0, 0
+    with np.errstate(over="ignore"):
+        for t, n in enumerate(live.tolist()):
+            h = step(np.take(x, prev[:n], axis=1), u, h if n == h.shape[1] else np.ascontiguousarray(h[:, :n]))[0]
+            prev = flat[at + held : at + held + n]
+            states.append(h)
+            owners.append(n)
+            held += n
+            if held >= 16384 or t == lengths[0] - 1:
+                lp, _ = outputs(p, vocab, np.ascontiguousarray(np.concatenate(states, axis=1).T), flat[at : at + held].astype(np.int64))
+                who = np.arange(held) - np.repeat(np.cumsum(owners) - owners, owners)
+                totals += np.bincount(who, weights=lp, minlength=len(docs))
+                states, owners, at, held = [], [], at + held, 0
     out[order] = totals
     return out
 
@@ -429,14 +496,14 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocab, raw = sent.value
         p = unpack(raw, start(vocab))
-        head, log_mass = len(vocab.head), np.log10(vocab.mass)
+        log_mass = np.concatenate((np.zeros(len(vocab.head)), np.log10(vocab.mass)))
 
         def finish(held: list[pd.DataFrame]) -> pd.DataFrame:
             some = pd.concat(held, ignore_index=True)
-            ids = [np.asarray(x, dtype=np.int64) for x in some["ids"]]
-            flat, lengths = np.concatenate(ids), [len(x) for x in ids]
-            owner, tail = np.repeat(np.arange(len(ids)), lengths), flat >= head
-            kinds = np.bincount(owner[tail], weights=log_mass[flat[tail] - head], minlength=len(ids))
+            ids = [np.frombuffer(x, ID) for x in some["ids"]]
+            lengths = np.array([len(x) for x in ids])
+            # every text has a token, its end
+            kinds = np.add.reduceat(np.take(log_mass, np.concatenate(ids)), np.cumsum(lengths) - lengths)
             model = score_ids(p, vocab, ids) / np.log(10) + some["tail"] - kinds
             return some[["row", "id", "n_known", "fast"]].assign(n_tokens=lengths, model=model)
 
@@ -444,7 +511,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         for batch in batches:
             first = 0
             for at, ids in enumerate(batch["ids"], 1):
-                tokens += len(ids)
+                tokens += len(ids) // ID.itemsize
                 if tokens >= IN_HAND:
                     yield finish([*held, batch.iloc[first:at]])
                     held, tokens, first = [], 0, at

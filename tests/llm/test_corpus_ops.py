@@ -672,6 +672,46 @@ def test_scores_match_a_plain_evaluation():
         assert total == pytest.approx(want, rel=1e-4)
 
 
+def test_lanes_that_run_out_do_not_shorten_the_windows_of_others():
+    docs = [np.arange(1, n + 1) for n in np.random.default_rng(5).integers(1, lm_score.PIECE, 700)]
+    windows = list(lm_score.windows_of(iter(docs)))
+    tokens = sum(map(len, docs))
+    assert len(windows) <= (tokens / lm_score.LANES + lm_score.PIECE) / lm_score.WINDOW + 2
+    got = [(t, q, b) for _, tok, prev, begins, there in windows for t, q, b in zip(tok[there], prev[there], begins[there])]
+    assert Counter(t for t, _, _ in got) == Counter(np.concatenate(docs).tolist())
+    assert all(b == (t == 1) and q == t - 1 for t, q, b in got)
+
+
+def test_documents_of_all_lengths_train_as_one_by_one_gradients_do():
+    """The weights' change in one window, some lanes of which run out, against finite differences."""
+    rng = np.random.default_rng(3)
+    fast = [(f"w{i}".encode(), 90 - i) for i in range(30)] + [(b"", 9)]
+    vocab = lm_score.Vocabulary(sorted(fast, key=lambda x: (-x[1], x[0])), [4.0] * lm_score.KINDS, 4000, 80)
+    p = {k: (v + rng.normal(scale=0.3, size=v.shape)).astype(np.float32) for k, v in lm_score.start(vocab).items()}
+    docs = [rng.integers(0, vocab.inputs, n) for n in (3, 1, 9, 5)]
+    q = {k: v.copy() for k, v in p.items()}
+    assert lm_score.train_on(q, vocab, iter(docs)) == 18
+    # gradient g, scaled by 1 / sqrt(18), moves a weight by RATE * g / sqrt(0.1 + g * g)
+    for k in lm_score.NAMES:
+        moved = (p[k] - q[k]).astype(float) / lm_score.RATE
+        got = moved * np.sqrt(0.1 / (1 - moved**2)) * np.sqrt(18)
+        for at in (np.unravel_index(np.abs(got).argmax(), got.shape), tuple(int(rng.integers(n)) for n in got.shape)):
+            ends = []
+            for e in (0.01, -0.01):
+                near = {n: v.copy() for n, v in p.items()}
+                near[k][at] += e
+                ends.append(-lm_score.score_ids(near, vocab, docs).sum())
+            assert got[at] == pytest.approx((ends[0] - ends[1]) / 0.02, rel=0.02, abs=0.02)
+
+
+def test_large_weights_score_without_overflow():
+    vocab = lm_score.Vocabulary([(b"a", 5), (b"b", 4), (b"", 3)], [2.0] * lm_score.KINDS, 12, 3)
+    p = {k: v * np.float32(1) for k, v in lm_score.start(vocab).items()}
+    p["wb"], p["cb"] = p["wb"] + np.float32(500), p["cb"] - np.float32(500)
+    got = lm_score.score_ids(p, vocab, [np.arange(vocab.inputs)])
+    assert got == pytest.approx(lm_score.score_ids(lm_score.start(vocab), vocab, [np.arange(vocab.inputs)]), rel=1e-3)
+
+
 def test_weights_do_not_depend_on_the_partitions(spark):
     words = [f"w{i}".encode() for i in range(60)]
     vocab = lm_score.Vocabulary([(w, 2) for w in words] + [(b"", 60)], [0.0] * lm_score.KINDS, 180, 61)
